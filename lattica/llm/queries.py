@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.common import table
-from lattica.llm import langid
+from lattica.llm import langid, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,3 +40,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p3_record_languages")
 def p3_record_languages(spark: SparkSession, d: str) -> DataFrame:
     return langid.document_languages(table(spark, d, "chunks"), table(spark, d, "results"))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.found(table(spark, d, "results"), table(spark, d, "chunks"))
+
+
+@query("p1_tag_coverage")
+def p1_tag_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.tag(table(spark, d, "results"), table(spark, d, "chunks")).dropDuplicates(["result_id"])
