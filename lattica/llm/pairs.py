@@ -91,6 +91,7 @@ def clauses(text: str) -> list[str]:
 
 
 FEATURES = 24
+LEAD_IN = 5
 
 
 def features(parts: list[str], scores: np.ndarray, question_words: set[str], question_lang: int, terms: set[str]) -> np.ndarray:
@@ -220,7 +221,10 @@ def train(rows: list[tuple[str | None, str | None]], model: langid.Backoff, term
 def defect(tags: list[int], parts: list[str]) -> str | None:
     """The defect of a pair, from the share of the response that each tag covers."""
     cover = [0] * len(TAGS)
-    for t, p in zip(tags, parts):
+    echo = tags.index(E) if E in tags else 0
+    for i, (t, p) in enumerate(zip(tags, parts)):
+        if i < echo and len(WORDS.findall(p)) <= LEAD_IN:
+            continue  # a few words before the question, such as a greeting, are no reply
         cover[t] += max(1, len(p))
     if tags[-1] == U:
         return "truncated"

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattica.common import table
-from lattica.llm import langid, pairs
+from lattica.llm import groups, langid, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,3 +51,23 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p1_tag_coverage")
 def p1_tag_coverage(spark: SparkSession, d: str) -> DataFrame:
     return pairs.tag(table(spark, d, "results"), table(spark, d, "chunks")).dropDuplicates(["result_id"])
+
+
+P4_REACH = """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT left_group AS u, right_group AS v FROM match_pairs
+  WHERE same_entity AND left_group <> right_group
+    AND left_group IN (SELECT entity_id FROM registry) AND right_group IN (SELECT entity_id FROM registry)),
+a AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r(s, t) AS (SELECT u, v FROM a UNION SELECT r.s, a.v FROM r JOIN a ON r.t = a.u)
+"""
+
+
+@query("p4_found", P4_REACH + "SELECT s AS entity_id, least(s, min(t)) AS group_id FROM r GROUP BY s")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return groups.entity_groups(table(spark, d, "match_pairs"), table(spark, d, "registry"))
+
+
+@query("p4_group_sizes", P4_REACH + ", g AS (SELECT s AS entity_id, least(s, min(t)) AS group_id FROM r GROUP BY s) SELECT group_id, count(*) AS n_records FROM g GROUP BY group_id")
+def p4_group_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return p4_found(spark, d).groupBy("group_id").agg(F.count(F.lit(1)).alias("n_records"))
