@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.common import table
-from lattica.llm import groups, langid, pairs
+from lattica.llm import digest, groups, langid, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,3 +71,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p4_group_sizes", P4_REACH + ", g AS (SELECT s AS entity_id, least(s, min(t)) AS group_id FROM r GROUP BY s) SELECT group_id, count(*) AS n_records FROM g GROUP BY group_id")
 def p4_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).groupBy("group_id").agg(F.count(F.lit(1)).alias("n_records"))
+
+
+P2_CLEAN = """
+WITH one AS (SELECT result_id, min({s: strategy, d: started_at, l: latency_ms}) AS r FROM results GROUP BY result_id),
+v AS (SELECT regexp_replace(lower(trim(r.s)), '[\\s-]+', '_', 'g') AS strategy, r.l AS v FROM one WHERE r.l IS NOT NULL AND NOT isnan(r.l) AND r.l >= 0 AND NOT isinf(r.l)),
+n AS (SELECT strategy, count(*) AS n FROM v GROUP BY strategy),
+q AS (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])::DOUBLE AS q)
+"""
+
+
+@query("p2_percentiles")
+def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    got = digest.daily_then_whole(table(spark, d, "results"))
+    return got.select("strategy", "q", "n", F.round("estimate", 6).alias("estimate"), "below", "upto", F.round("rank_error", 8).alias("rank_error"), F.lit(digest.RANK_ERROR).alias("error_bound"), "certified")
+
+
+@query("p2_certificates", P2_CLEAN + "SELECT strategy, q, n, true AS certified FROM n CROSS JOIN q")
+def p2_certificates(spark: SparkSession, d: str) -> DataFrame:
+    return digest.daily_then_whole(table(spark, d, "results")).select("strategy", "q", "n", "certified")
