@@ -46,7 +46,16 @@ REFUSALS = (
     r"\bnicht (?:beantworten|helfen|bekannt|sagen|angeben|möglich|beurteilen|erwähn|weiterhelfen)|\bkenne ich\b.*\bnicht\b|\bweiß (?:ich )?(?:es )?nicht\b|\bleider\b|\btut mir leid\b|\bkeine (?:grundlage|angaben|antwort|belege|auskunft|hinweise|information)|\bzu dünn\b|\bzu schwach\b|\bkann ich\b.*\bnicht\b|\bkann\b.*\bnicht\b.*\b(?:geben|beantworten|helfen)|\blieber nicht\b|\bnichts\b.*\b(?:über|zu)\b",
     r"\bnão (?:posso|sei|conheço|encontr|mencionam|consigo|há (?:base|dados|factos)|contém|é possível|seria)|\binfelizmente\b|\blamento\b|\babster|\bdemasiado escass|\bprefiro não\b|\bimpossível\b|\bnenhuma base\b",
 )
-REFUSAL = re.compile("|".join(REFUSALS), re.I)
+REFUSAL = re.compile("|".join(REFUSALS))
+# Each phrase above has one of these words, so the others need no search.
+REFUSAL_WORDS = set(
+    "can cannot unable able know decline rather thin basis supporting not nothing appropriate share further sorry unfortunately insufficient enough without don doesn"
+    " non purtroppo dispiace astenermi astenersi astenerci scarse invii azzardare impossibile insufficiente insufficienti preferisco nessuna condividi"
+    " ne n malheureusement désolé désolée abstenir maigres minces faibles rares aucun aucune impossible"
+    " no lamentablemente desgraciadamente siento abstenerme abstenernos escasas escasos escasa prefiero imposible ninguna env envía envías envíe"
+    " nicht leider leid keine dünn schwach nichts"
+    " não infelizmente lamento abster abstenho escassas escassos escassa prefiro impossível nenhuma".split()
+)
 
 TAGS_OR_MARKS = re.compile(r"<[^<>]{0,40}>|[\W_]", re.UNICODE)
 WORDS = re.compile(r"[^\W_]+")
@@ -83,7 +92,7 @@ def clauses(text: str) -> list[str]:
     for s in CLAUSE.split(text.strip()):
         if not s or s.isspace():
             continue
-        if out and not WORDS.search(CITATION.sub("", " " + s)) and not BARE_BULLET.match(s):
+        if out and s[0] in "[(" and not WORDS.search(CITATION.sub("", " " + s)):
             out[-1] += " " + s
         else:
             out.append(s)
@@ -94,52 +103,58 @@ FEATURES = 24
 LEAD_IN = 5
 
 
-def features(parts: list[str], scores: np.ndarray, question_words: set[str], question_lang: int, terms: set[str]) -> np.ndarray:
-    """Features of the clauses of one response."""
+def features(parts: list[str], best: list[float], gaps: list[float], question_words: set[str], terms: set[str]) -> list[list[float]]:
+    """Features of the clauses of one response; gaps are best score less that of the question's language."""
     n = len(parts)
-    f = np.zeros((n, FEATURES))
-    f[:, 0] = 1
-    is_list = [bool(BULLET.match(p)) for p in parts]
+    out = []
+    nq = len(question_words)
     for i, p in enumerate(parts):
-        row = f[i]
+        row = [0.0] * FEATURES
+        row[0] = 1.0
         last = i == n - 1
-        ws = WORDS.findall(p.lower())
-        if question_words and ws:
-            hit = len(question_words.intersection(ws))
-            over, back = hit / len(set(ws)), hit / len(question_words)
-            row[1], row[2], row[3] = over > 0.6 and back > 0.8, back > 0.85, over > 0.85 and back > 0.7
-            row[4] = p.rstrip(" \"'*»”)_`").endswith("?")
-        s = scores[i]
-        if question_lang >= 0:
-            best = s.max()
-            gap = best - s[question_lang]
-            row[5], row[6], row[7] = gap > 6, 2.5 < gap <= 6, gap <= 0
-            row[8] = best < 1.5
-        if REFUSAL.search(p):
-            row[9] = 1
-            row[10] = i == 0
-            row[11] = len(ws) < 22
-        row[12] = last
-        row[13] = bool(is_list[i])
-        body = CITATION.sub("", p).rstrip()
+        low = p.lower()
+        ws = set(WORDS.findall(low))
+        if nq and ws:
+            hit = len(question_words & ws)
+            if hit > 0.6 * len(ws):
+                over, back = hit / len(ws), hit / nq
+                row[1], row[2], row[3] = float(back > 0.8), float(back > 0.85), float(over > 0.85 and back > 0.7)
+            elif hit > 0.85 * nq:
+                row[2] = 1.0
+            row[4] = float(p.rstrip(" \"'*»”)_`").endswith("?"))
+        gap = gaps[i]
+        if gap == gap:
+            row[5], row[6], row[7] = float(gap > 6), float(2.5 < gap <= 6), float(gap <= 0)
+            row[8] = float(best[i] < 1.5)
+        if not ws.isdisjoint(REFUSAL_WORDS) and REFUSAL.search(low):
+            row[9] = 1.0
+            row[10] = float(i == 0)
+            row[11] = float(len(ws) < 22)
+        listed = p.lstrip()[:1] in "-*•–0123456789" and bool(BULLET.match(p))
+        row[13] = float(listed)
         if last:
-            done = bool(TERMINAL.search(body)) and not body.endswith("...") and not body.endswith(("…", '."."'))
+            row[12] = 1.0
+            body = p.rstrip()
+            if body[-1] in "])":
+                body = CITATION.sub("", p).rstrip()
+            done = bool(TERMINAL.search(body)) and not body.endswith("...")
             quote = body.count('"') % 2 == 1 or body.count("«") > body.count("»")
-            row[14] = not done
-            row[15] = bool(DANGLING.search(body)) and not (done and not body.endswith("..."))
+            row[14] = float(not done)
+            row[15] = float(bool(DANGLING.search(body)) and not (done and not body.endswith("...")))
             item = BULLET.sub("", body).strip(" *_").lower()
-            bare = n == 1 and len(ws) <= 5 and not is_list[i]
-            listed = is_list[i] or BARE_BULLET.match(body) is not None
-            row[16] = bare and not done
-            row[17] = listed and (item in terms or done)
-            row[18] = listed and not (item in terms or done)
-            row[19] = not done and not listed and not bare
-            row[20] = quote and not done
-            row[21] = body.endswith(":") and n > 0
-            row[22] = bare and bool(DANGLING.search(body))
+            bare = n == 1 and len(ws) <= 5 and not listed
+            inlist = listed or BARE_BULLET.match(body) is not None
+            row[16] = float(bare and not done)
+            row[17] = float(inlist and (item in terms or done))
+            row[18] = float(inlist and not (item in terms or done))
+            row[19] = float(not done and not inlist and not bare)
+            row[20] = float(quote and not done)
+            row[21] = float(body.endswith(":"))
+            row[22] = float(bare and bool(DANGLING.search(body)))
         else:
-            row[23] = 1
-    return f
+            row[23] = 1.0
+        out.append(row)
+    return out
 
 
 def batch_features(questions: list[str | None], answers: list[str], scorer: Scorer, terms: set[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
@@ -153,12 +168,17 @@ def batch_features(questions: list[str | None], answers: list[str], scorer: Scor
         else:
             s = scorer.score([langid.tokens(q)])[0]
             known[q] = (set(WORDS.findall(q.lower())), int(s.argmax()) if s.max() > 0 else -1)
-    out, at = [], 0
+    lens = np.array([len(p) for p in parts], dtype=np.int64)
+    lang = np.repeat(np.array([known[q][1] for q in questions], dtype=np.int64), lens)
+    best = scores.max(axis=1) if len(scores) else np.zeros(0)
+    gap = np.where(lang >= 0, best - scores[np.arange(len(scores)), lang], np.nan)
+    best_list, gap_list = best.tolist(), gap.tolist()
+    rows: list[list[float]] = []
+    at = 0
     for q, ps in zip(questions, parts):
-        out.append(features(ps, scores[at : at + len(ps)], *known[q], terms))
+        rows += features(ps, best_list[at : at + len(ps)], gap_list[at : at + len(ps)], known[q][0], terms)
         at += len(ps)
-    lens = np.array([len(p) for p in parts], dtype=np.int64)
-    return (np.vstack(out) if out else np.zeros((0, FEATURES))), lens, parts
+    return np.array(rows).reshape(-1, FEATURES), lens, parts
 
 
 def cue_labels(f: np.ndarray) -> list[int]:

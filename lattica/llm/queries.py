@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.common import table
-from lattica.llm import digest, groups, langid, pairs
+from lattica.llm import canonical, digest, groups, langid, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,3 +90,15 @@ def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
 @query("p2_certificates", P2_CLEAN + "SELECT strategy, q, n, true AS certified FROM n CROSS JOIN q")
 def p2_certificates(spark: SparkSession, d: str) -> DataFrame:
     return digest.daily_then_whole(table(spark, d, "results")).select("strategy", "q", "n", "certified")
+
+
+@query("p5_found", canonical.found_sql())
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.found(table(spark, d, "triples"), table(spark, d, "relation_vocab"))
+
+
+@query("p5_unmatched_values", f"SELECT predicate, count(*) AS n_triples FROM ({canonical.found_sql()}) f JOIN triples t USING (triple_id) WHERE canonical = 'UNMATCHED' GROUP BY predicate")
+def p5_unmatched_values(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "triples")
+    none = p5_found(spark, d).filter("canonical = 'UNMATCHED'")
+    return none.join(t.select("triple_id", "predicate"), "triple_id").groupBy("predicate").agg(F.count(F.lit(1)).alias("n_triples"))
