@@ -3,8 +3,9 @@
 Method: partition-based pigeonhole join, in SQL. Each reference wording is cut into k + 1 segments; a value
 within k edits holds at least one of them unchanged, at a place shifted by at most k. Segments meet the
 substrings of the values in an equality join; `levenshtein` verifies the pairs; an anti join gives the values
-without a partner. k follows the length of the wording (0 below 4 characters, then 1, 2, 3, and 4 from 14 on);
-of two edits in a short wording, both must be one swap of neighbours, i.e. leave the letters the same.
+without a partner. k follows the length of the wording: 0 below 4 characters, 1 below 5, 2 below 9, else 4. Of these edits, one is
+taken as it is below 9 characters, three below 14 and four beyond; up to k where the letters are the same in
+another order, as after swaps of neighbours.
 
 Values are cleaned alike on both sides: full-width letters, camel case, separators, wrapping marks, counters
 and a leading auxiliary ("is", "was", "being", "to") are taken off; a wording stands also with its first word
@@ -41,7 +42,7 @@ def clean_sql(col: str, engine: str = "spark") -> str:
     x = sub(x, "[\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}\\x{2060}]", "")
     x = sub(x, "([a-z])([A-Z][a-z])", ref)
     x = f"lower({x})"
-    x = sub(x, "\\([a-z0-9 ]*\\)\\s*$", "")
+    x = sub(x, "\\([a-z0-9 ]*\\)[^\\p{L}\\p{N}]*$", "")
     x = sub(x, "^\\s*(rel|kg|pred|edge|onto|schema)\\s*[:/]", "")
     x = sub(x, "[^\\p{L}\\p{N}]+", " ")
     x = f"trim({x})"
@@ -72,7 +73,7 @@ f AS (
   UNION ALL SELECT vocab_id, predicate, concat(CASE WHEN base LIKE '%e' AND base NOT LIKE '%ee' THEN substr(base, 1, length(base) - 1) ELSE base END, 'ing', rest) FROM b WHERE base IS NOT NULL
   UNION ALL SELECT vocab_id, predicate, concat(substr(base, 1, length(base) - 1), rest) FROM b WHERE base LIKE '%_e' AND a LIKE '%shes'),
 l AS (SELECT t, min(vocab_id) AS vocab_id, length(t) AS n,
-        CASE WHEN length(t) < 4 THEN 0 WHEN length(t) < 5 THEN 1 WHEN length(t) < 9 THEN 2 WHEN length(t) < 14 THEN 3 ELSE 4 END AS k
+        CASE WHEN length(t) < 4 THEN 0 WHEN length(t) < 5 THEN 1 WHEN length(t) < 9 THEN 2 ELSE 4 END AS k
       FROM f GROUP BY t)
 SELECT l.t AS wording, l.vocab_id, v.predicate AS canonical, l.n, l.k FROM l JOIN {vocab} v ON l.vocab_id = v.vocab_id
 """
@@ -97,7 +98,7 @@ SELECT DISTINCT sub.value, s.wording, s.vocab_id, s.canonical, s.n, s.k
 FROM sub JOIN {segments} s ON s.piece = sub.piece AND s.n = sub.n AND s.at = sub.at
 """
 
-IN_REACH = "d <= CASE WHEN n < 9 THEN least(k, 1) ELSE k END OR (d = 2 AND n >= 5 AND length(value) = n AND {sorted_value} = {sorted_wording})"
+IN_REACH = "d <= CASE WHEN n < 9 THEN least(k, 1) WHEN n < 14 THEN 3 ELSE 4 END OR (d <= k AND n >= 5 AND length(value) = n AND {sorted_value} = {sorted_wording})"
 
 # The best wording of each value in reach.
 VERIFIED = """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.common import table
-from lattica.llm import canonical, digest, groups, langid, pairs
+from lattica.llm import canonical, digest, groups, langid, leaks, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,3 +102,14 @@ def p5_unmatched_values(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "triples")
     none = p5_found(spark, d).filter("canonical = 'UNMATCHED'")
     return none.join(t.select("triple_id", "predicate"), "triple_id").groupBy("predicate").agg(F.count(F.lit(1)).alias("n_triples"))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p7_near")
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks within two word edits."""
+    return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=2)
