@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.common import table
-from lattica.llm import canonical, digest, groups, langid, leaks, pairs
+from lattica.llm import canonical, digest, groups, langid, leaks, pairs, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,3 +113,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
     """Leaks within two word edits."""
     return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=2)
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.found(table(spark, d, "documents"))
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shares(table(spark, d, "documents"))
