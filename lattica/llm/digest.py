@@ -27,69 +27,72 @@ from lattica.common import materialize
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 RANK_ERROR = 0.002
 DELTA = 400
-FAN_IN = 64
+FAN_IN = 16
+HELD_ROWS = 500_000
 MAX_GROUPS = 100_000
 
 
-def cluster(mean: np.ndarray, weight: np.ndarray, delta: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge weighted values into clusters whose size follows the quantile."""
+def cluster(code: np.ndarray, mean: np.ndarray, weight: np.ndarray, delta: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merge the weighted values of each group (by code) into clusters whose size follows the quantile; all groups at once."""
     if not len(mean):
-        return mean, weight
-    order = np.argsort(mean, kind="stable")
-    m, w = mean[order], weight[order]
-    q = (np.cumsum(w) - w / 2) / w.sum()
-    k = np.floor(delta / (2 * np.pi) * np.arcsin(2 * q - 1) + delta / 4).astype(np.int64)
-    starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        return code, mean, weight
+    order = np.lexsort((mean, code))
+    g, m, w = code[order], mean[order], weight[order]
+    heads = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    sizes = np.diff(np.r_[heads, len(g)])
+    total = np.add.reduceat(w, heads)
+    run = np.cumsum(w)
+    before = np.repeat(run[heads] - w[heads], sizes)
+    q = (run - before - w / 2) / np.repeat(total, sizes)
+    k = np.floor(delta / (2 * np.pi) * np.arcsin(np.clip(2 * q - 1, -1, 1)) + delta / 4).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])])
     ws = np.add.reduceat(w, starts)
-    return np.add.reduceat(m * w, starts) / ws, ws
+    return g[starts], np.add.reduceat(m * w, starts) / ws, ws
 
 
-def digests(values: DataFrame, groups: list[str], value: str, delta: int = DELTA) -> DataFrame:
-    """Digests of the groups: rows (groups, mean, weight), at most about `delta` for each group."""
-    schema = ", ".join(f"`{g}` {t}" for g, t in values.select(*groups).dtypes)
-    cols = [*groups, "mean", "weight"]
+def merge_in_task(parts: DataFrame, groups: list[str], delta: int) -> DataFrame:
+    """One digest for each group of each task, from rows (groups, mean, weight)."""
+    schema = ", ".join(f"`{g}` {t}" for g, t in parts.select(*groups).dtypes)
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes: dict[tuple, int] = {}
+        held = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
         for pdf in batches:
-            for key, part in pdf.groupby(groups, dropna=False, sort=False):
-                key = tuple(None if pd.isna(k) else k for k in key)
-                v = part[value].to_numpy(dtype=float)
-                new = (v, np.ones(len(v)))
-                if key in held:
-                    new = (np.concatenate([held[key][0], v]), np.concatenate([held[key][1], new[1]]))
-                held[key] = cluster(*new, delta) if len(new[0]) > 4 * delta else new
-        for key, (m, w) in held.items():
-            m, w = cluster(m, w, delta)
-            yield pd.DataFrame({**{g: [k] * len(m) for g, k in zip(groups, key)}, "mean": m, "weight": w})[cols]
-
-    def again(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, w = cluster(pdf["mean"].to_numpy(), pdf["weight"].to_numpy(), delta)
-        head = pdf.iloc[:1][groups]
-        return pd.concat([head] * len(m), ignore_index=True).assign(mean=m, weight=w)[cols]
+            at = pdf.groupby(groups, dropna=False, sort=False)
+            number = at.ngroup().to_numpy()
+            heads = pdf.iloc[np.unique(number, return_index=True)[1]][groups]
+            own = [codes.setdefault(tuple(None if pd.isna(v) else v for v in key), len(codes)) for key in heads.itertuples(index=False)]
+            new = (np.array(own, dtype=np.int64)[number], pdf["mean"].to_numpy(dtype=float), pdf["weight"].to_numpy(dtype=float))
+            held = tuple(np.concatenate(x) for x in zip(held, new))
+            if len(held[0]) > HELD_ROWS:
+                held = cluster(*held, delta)
+        c, m, w = cluster(*held, delta)
+        keys = list(codes)
+        out = pd.DataFrame({g: pd.Series([keys[i][k] for i in c], dtype=object) for k, g in enumerate(groups)})
+        yield out.assign(mean=m, weight=w)
 
-    out = f"{schema}, mean double, weight double"
-    ok = F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) >= 0) & (F.col(value) < float("inf"))
-    parts = values.filter(ok).select(*groups, value).mapInPandas(first, out)
-    salted = parts.withColumn("salt", F.spark_partition_id() % FAN_IN)
-    once = salted.groupBy(*groups, "salt").applyInPandas(lambda pdf: again(pdf.drop(columns="salt")), out)
-    return once.groupBy(*groups).applyInPandas(again, out)
+    return parts.select(*groups, "mean", "weight").mapInPandas(run, f"{schema}, mean double, weight double")
 
 
-def combine(parts: DataFrame, groups: list[str], delta: int = DELTA) -> DataFrame:
-    """Digests of a longer period from those of its days or partitions; `groups` are the columns that stay."""
-    schema = ", ".join(f"`{g}` {t}" for g, t in parts.select(*groups).dtypes)
-    cols = [*groups, "mean", "weight"]
+def valid(value: str) -> Column:
+    v = F.col(value)
+    return v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < float("inf"))
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, w = cluster(pdf["mean"].to_numpy(), pdf["weight"].to_numpy(), delta)
-        head = pdf.iloc[:1][groups]
-        return pd.concat([head] * len(m), ignore_index=True).assign(mean=m, weight=w)[cols]
 
-    out = f"{schema}, mean double, weight double"
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("mean", "weight"), F.lit(FAN_IN)))
-    once = salted.groupBy(*groups, "salt").applyInPandas(lambda pdf: merge(pdf.drop(columns="salt")), out)
-    return once.groupBy(*groups).applyInPandas(merge, out)
+def digests(values: DataFrame, groups: list[str], value: str, delta: int = DELTA) -> DataFrame:
+    """Digests of the groups: rows (groups, mean, weight), at most about `delta` for each group."""
+    rows = values.filter(valid(value)).select(*groups, F.col(value).cast("double").alias("mean"), F.lit(1.0).alias("weight"))
+    return combine(merge_in_task(rows, groups, delta), groups, delta)
+
+
+def combine(parts: DataFrame, groups: list[str], delta: int = DELTA) -> DataFrame:
+    """Digests of a longer period from those of its days or partitions; `groups` are the columns that stay.
+
+    The parts of a group are merged in FAN_IN heaps first, then the heaps.
+    """
+    salted = parts.repartition(*groups, F.spark_partition_id() % FAN_IN)
+    once = merge_in_task(salted, groups, delta)
+    return merge_in_task(once.repartition(*groups), groups, delta)
 
 
 def estimates(parts: DataFrame, groups: list[str], qs: tuple[float, ...] = QUANTILES) -> DataFrame:
@@ -97,7 +100,7 @@ def estimates(parts: DataFrame, groups: list[str], qs: tuple[float, ...] = QUANT
     schema = ", ".join(f"`{g}` {t}" for g, t in parts.select(*groups).dtypes)
 
     def read(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, w = cluster(pdf["mean"].to_numpy(), pdf["weight"].to_numpy(), 1 << 30)
+        _, m, w = cluster(np.zeros(len(pdf), np.int64), pdf["mean"].to_numpy(), pdf["weight"].to_numpy(), 1 << 30)
         centre = (np.cumsum(w) - w / 2) / w.sum()
         head = pdf.iloc[:1][groups]
         return pd.concat([head] * len(qs), ignore_index=True).assign(q=list(qs), estimate=np.interp(qs, centre, m))[[*groups, "q", "estimate"]]
@@ -114,8 +117,7 @@ def certify(values: DataFrame, est: DataFrame, groups: list[str], value: str, bo
     null_safe = [F.coalesce(F.col(g).cast("string"), F.lit("\0")).alias(f"k{i}") for i, g in enumerate(groups)]
     keys = [f"k{i}" for i in range(len(groups))]
     lists = est.groupBy(*null_safe).agg(F.array_sort(F.collect_list("estimate")).alias("marks"))
-    ok = F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) >= 0) & (F.col(value) < float("inf"))
-    v = values.filter(ok).select(*null_safe, F.col(value).alias("v"))
+    v = values.filter(valid(value)).select(*null_safe, F.col(value).alias("v"))
     if est.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS:
         lists = F.broadcast(lists)  # its size was just checked
     placed = v.join(lists, keys).select(
@@ -167,6 +169,6 @@ def latencies(results: DataFrame) -> DataFrame:
 
 def daily_then_whole(results: DataFrame) -> DataFrame:
     """Percentiles of each strategy over all days, from the combined digests of single days."""
-    v = latencies(results)
+    v = materialize(latencies(results), "latencies")
     daily = materialize(digests(v, ["strategy", "day"], "latency_ms"), "daily")
     return percentiles(v, ["strategy"], "latency_ms", parts=combine(daily, ["strategy"]))

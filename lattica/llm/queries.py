@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.common import table
-from lattica.llm import canonical, digest, groups, langid, leaks, pairs, spans
+from lattica.llm import canonical, digest, groups, langid, leaks, pages, pairs, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,3 +123,21 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_shares")
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shares(table(spark, d, "documents"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pages.found(table(spark, d, "page_chunks"))
+
+
+@query("p6_paragraphs")
+def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return pages.paragraphs(table(spark, d, "page_chunks"))
+
+
+@query("p6_document_paragraphs")
+def p6_document_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of whole documents: each block between blank lines of markdown_text is taken as a page."""
+    docs = table(spark, d, "doc_records").groupBy("doc_id").agg(F.max("markdown_text").alias("t"))
+    blocks = docs.select("doc_id", F.posexplode(F.split("t", r"\n\s*\n")).alias("k", "text"))
+    return pages.paragraphs(blocks.select("doc_id", (F.col("k") + 1).alias("page_number"), "text"))
