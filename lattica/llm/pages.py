@@ -169,11 +169,19 @@ def ends_broken(line: Column) -> Column:
     return line.rlike(r"\p{L}[-\x{2010}\x{00AC}\x{00AD}]$")
 
 
-def word_counts(body: DataFrame) -> DataFrame:
-    """(word, n): counts of tokens and of their pieces in lower case; the ends of broken words are left out."""
+def readable(lab: DataFrame) -> DataFrame:
+    """Body lines and headings with `tokens`: their words, without the two parts of words broken at line ends."""
+    w = Window.partitionBy("doc_id").orderBy("page_number", "line_no")
+    text = lab.filter("state IN ('body', 'break')").withColumn("before", F.lag("line").over(w))
     toks = F.split(F.trim("line"), r"\s+")
-    whole = F.when(ends_broken(F.col("line")), F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0)))).otherwise(toks)
-    t = body.select(F.explode(whole).alias("t")).select(F.lower(stripped(F.col("t"))).alias("t")).filter("t <> ''")
+    skip = F.when(ends_broken(F.col("before")), 1).otherwise(0)
+    cut = F.when(ends_broken(F.col("line")), 1).otherwise(0)
+    return text.withColumn("tokens", F.slice(toks, skip + 1, F.greatest(F.size(toks) - skip - cut, F.lit(0)))).drop("before")
+
+
+def word_counts(text: DataFrame) -> DataFrame:
+    """(word, n): counts of the tokens and of their pieces in lower case."""
+    t = text.select(F.explode("tokens").alias("t")).select(F.lower(stripped(F.col("t"))).alias("t")).filter("t <> ''")
     counts = t.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     parts = counts.select("t", "n", F.explode(F.array_distinct(F.concat(F.array("t"), F.split("t", r"[^\p{L}\p{N}]+")))).alias("word"))
     return parts.filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
@@ -254,7 +262,7 @@ def broken_words(lab: DataFrame, counts: DataFrame) -> DataFrame:
 def noise(pages: DataFrame, lab: DataFrame | None = None) -> DataFrame:
     """(doc_id, page_number, line_no, noise, repaired), distinct."""
     lab = labelled(pages) if lab is None else lab
-    text = lab.filter("state IN ('body', 'break')")
+    text = readable(lab)
     counts = materialize(word_counts(text), "words")
     key = ["doc_id", "page_number", "line_no"]
     lines = lab.filter("state IN ('header', 'number')").select(*key, F.when(F.col("state") == "header", "running_line").otherwise("page_number").alias("noise"), F.lit("").alias("repaired"))
@@ -265,9 +273,7 @@ def noise(pages: DataFrame, lab: DataFrame | None = None) -> DataFrame:
 def misread_tokens(text: DataFrame, counts: DataFrame) -> DataFrame:
     """(doc_id, page_number, line_no, token, repaired): tokens of which a piece is misread."""
     fixes = misread(counts)
-    toks = F.split(F.trim("line"), r"\s+")
-    whole = F.when(ends_broken(F.col("line")), F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0)))).otherwise(toks)
-    t = text.select("doc_id", "page_number", "line_no", F.explode(whole).alias("t")).withColumn("token", stripped(F.col("t"))).filter("token <> ''")
+    t = text.select("doc_id", "page_number", "line_no", F.explode("tokens").alias("t")).withColumn("token", stripped(F.col("t"))).filter("token <> ''")
     t = t.select("doc_id", "page_number", "line_no", "token").distinct()
     pieces = t.select("*", F.posexplode(F.regexp_extract_all("token", F.lit(f"({WORD_PIECE})"), 1)).alias("i", "piece"))
     # codes such as KT-19910 and plain numbers are no words
@@ -286,7 +292,7 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     next page. Its lines are put together inside one small group for each paragraph, never for a whole document.
     """
     lab = labelled(pages)
-    text = lab.filter("state IN ('body', 'break')")
+    text = readable(lab)
     counts = materialize(word_counts(text), "words")
     fixes = misread_tokens(text, counts).groupBy("doc_id", "page_number", "line_no").agg(F.array_sort(F.collect_list(F.struct("token", "repaired"))).alias("swaps"))
     cuts = broken_words(lab, counts).select("doc_id", "page_number", "line_no", F.col("repaired").alias("joined"), "first", F.col("raw").alias("taken"))
