@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.common import table
-from lattica.llm import canonical, digest, groups, langid, leaks, pages, pairs, spans
+from lattica.llm import canonical, digest, groups, langid, leaks, mixing, pages, pairs, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -141,3 +141,23 @@ def p6_document_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "doc_records").groupBy("doc_id").agg(F.max("markdown_text").alias("t"))
     blocks = docs.select("doc_id", F.posexplode(F.split("t", r"\n\s*\n")).alias("k", "text"))
     return pages.paragraphs(blocks.select("doc_id", (F.col("k") + 1).alias("page_number"), "text"))
+
+
+@query("p8_mix")
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+@query("p8_report")
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(*mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
+@query("p8_temperature_report")
+def p8_temperature_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(*mixing.temperature_mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), by="repeats"))
+
+
+@query("p8_entropy_report")
+def p8_entropy_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(*mixing.temperature_mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), by="entropy"))
