@@ -5,8 +5,9 @@ Method: vertices of degree one are stripped and chains of degree-two vertices ar
 shortcuts; then labels are restored to the removed vertices, the last removed first.
 
 Every vertex carries `low`, the smallest id among itself and what was folded into it, so the label of a group
-is its smallest id. Nothing is collected: the driver only reads counts. A vertex with a third of all edges is
-met by lookup_join, and degrees are counted before any shuffle.
+is its smallest id. Nothing is collected: the driver only reads counts. Degrees and smallest labels are aggregated
+before the shuffle, so a vertex with a third of all edges costs one row a task there; where such a vertex is the
+key of a join, one side has it once, and the adaptive skew join splits the other.
 
 Defined results: null ids, self pairs, pairs with an id outside `vertices`, and repeated or reversed pairs add
 nothing; an empty input gives an empty result; vertices without a link are absent from `components`.
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.common import lookup_join, materialize
+from lattica.common import materialize
 
 MAX_ROUNDS = 40
 CORE_ROUNDS = 60
@@ -106,19 +107,19 @@ def solve_core(edges: DataFrame, low: DataFrame) -> DataFrame:
     arcs = materialize(both_ways(edges), "core")
     lab = materialize(arcs.select(F.col("x").alias("id")).distinct().select("id", F.col("id").alias("c")), "labels")
     for _ in range(CORE_ROUNDS):
-        near = lookup_join(arcs.withColumnRenamed("y", "id"), lab, "id").groupBy(F.col("x").alias("id")).agg(F.min("c").alias("n"))
+        near = arcs.withColumnRenamed("y", "id").join(lab, "id").groupBy(F.col("x").alias("id")).agg(F.min("c").alias("n"))
         hook = lab.join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "n").alias("c"))
         # shortcut: a vertex takes the label of its label
         up = hook.select(F.col("id").alias("c"), F.col("c").alias("c2"))
-        new = lookup_join(hook, up, "c", "left").select("id", "old", F.coalesce("c2", "c").alias("c"))
+        new = hook.join(up, "c", "left").select("id", "old", F.coalesce("c2", "c").alias("c"))
         new = materialize(new, "labels")
         lab = new.select("id", "c")
         if not new.filter("old <> c").limit(1).count():
             break
     else:
         raise RuntimeError("the core did not settle")
-    best = lookup_join(lab.withColumnRenamed("c", "root"), lab.select(F.col("id").alias("root")).distinct(), "root").join(low, "id").groupBy("root").agg(F.min("low").alias("label"))
-    return lookup_join(lab.withColumnRenamed("c", "root"), best, "root").select("id", "label")
+    best = lab.withColumnRenamed("c", "root").join(low, "id").groupBy("root").agg(F.min("low").alias("label"))
+    return lab.withColumnRenamed("c", "root").join(best, "root").select("id", "label")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -130,10 +131,9 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         removed, edges = strip_leaves(edges, low)
         edges = materialize(edges, "edges")
-        low = materialize(fold_low(low, removed), "low")
         taken.append(removed)
-        before = edges.count()
-        if not before:
+        low = materialize(fold_low(low, removed), "low")
+        if not edges.limit(1).count():
             break
         got = compress_chains(edges, low)
         if got is None:
@@ -153,7 +153,7 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         label = low.select("id", F.col("low").alias("label"))
     for removed in reversed(taken):
-        back = lookup_join(removed.select(F.col("id").alias("v"), F.col("to").alias("id")), label, "id").select(F.col("v").alias("id"), "label")
+        back = removed.select(F.col("id").alias("v"), F.col("to").alias("id")).join(label, "id").select(F.col("v").alias("id"), "label")
         label = materialize(label.unionByName(back), "restored")
     return label
 
