@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("q_text",)
+MODULES: tuple[str, ...] = ("q_text", "q_graph")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
