@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.common import lookup_join, materialize
+from lattica.common import materialize
 
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 NARROW = "".join(chr(c) for c in range(0x21, 0x7F))
@@ -111,12 +111,15 @@ SELECT value, min(struct(d / n AS share, vocab_id, canonical)).canonical AS cano
 
 
 def match_values(values: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(value, canonical) for the distinct cleaned values of `values`; UNMATCHED where nothing is in reach."""
+    """(value, canonical) for the distinct cleaned values of `values`; UNMATCHED where nothing is in reach.
+
+    The wordings, their segments and the matches are written once: each is read at several places of the plan.
+    """
     s = values.sparkSession
-    forms = s.sql(FORMS.replace("{clean}", clean_sql("x")).replace("{key}", key_sql("concat(a, rest)")).replace("{explode}", "explode(aliases)"), vocab=vocab)
-    segments = s.sql(SEGMENTS, forms=forms)
+    forms = materialize(s.sql(FORMS.replace("{clean}", clean_sql("x")).replace("{key}", key_sql("concat(a, rest)")).replace("{explode}", "explode(aliases)"), vocab=vocab), "wordings")
+    segments = materialize(s.sql(SEGMENTS, forms=forms), "segments")
     candidates = s.sql(CANDIDATES, segments=segments, values=values)
-    best = s.sql(VERIFIED, candidates=candidates)
+    best = materialize(s.sql(VERIFIED, candidates=candidates), "matches")
     rest = s.sql("SELECT v.value, 'UNMATCHED' AS canonical FROM {values} v LEFT ANTI JOIN {best} b ON v.value = b.value", values=values, best=best)
     return s.sql("SELECT value, canonical FROM {best} UNION ALL SELECT value, canonical FROM {rest}", best=best, rest=rest)
 
@@ -125,16 +128,17 @@ def map_column(rows: DataFrame, column: str, vocab: DataFrame) -> DataFrame:
     """(raw, value, canonical) for each distinct raw spelling of the column."""
     s = rows.sparkSession
     raw = s.sql(f"SELECT DISTINCT `{column}` AS raw FROM {{rows}} WHERE `{column}` IS NOT NULL", rows=rows)
-    cleaned = s.sql("SELECT raw, {key} AS value FROM (SELECT raw, {clean} AS c FROM {raw})".replace("{key}", key_sql("c")).replace("{clean}", clean_sql("raw")), raw=raw)
-    values = s.sql("SELECT DISTINCT value FROM {cleaned}", cleaned=cleaned)
+    cleaned = materialize(s.sql("SELECT raw, {key} AS value FROM (SELECT raw, {clean} AS c FROM {raw})".replace("{key}", key_sql("c")).replace("{clean}", clean_sql("raw")), raw=raw), "cleaned")
+    values = materialize(s.sql("SELECT DISTINCT value FROM {cleaned}", cleaned=cleaned), "values")
     return s.sql("SELECT c.raw, c.value, m.canonical FROM {cleaned} c JOIN {matched} m ON c.value = m.value", cleaned=cleaned, matched=match_values(values, vocab))
 
 
 def found(triples: DataFrame, vocab: DataFrame) -> DataFrame:
     """p5_found."""
-    mapped = materialize(map_column(triples, "predicate", vocab).select(F.col("raw").alias("predicate"), "canonical"), "mapped")
-    free = triples.select("triple_id", "predicate").filter(F.col("predicate").isNotNull()).join(vocab.select("predicate"), "predicate", "left_anti")
-    return lookup_join(free, mapped, "predicate").select("triple_id", "canonical").distinct()
+    mapped = map_column(triples, "predicate", vocab).select(F.col("raw").alias("predicate"), "canonical")
+    mapped = materialize(mapped.join(vocab.select("predicate"), "predicate", "left_anti"), "mapped")
+    # the spellings that are entries already, the frequent ones, are gone; what is left is met by key
+    return triples.select("triple_id", "predicate").join(mapped, "predicate").select("triple_id", "canonical").distinct()
 
 
 def found_sql() -> str:

@@ -167,8 +167,16 @@ def latencies(results: DataFrame) -> DataFrame:
     return one.select(preset(F.col("r.strategy")).alias("strategy"), F.to_date("r.started_at").alias("day"), F.col("r.latency_ms").alias("latency_ms"))
 
 
-def daily_then_whole(results: DataFrame) -> DataFrame:
+def whole_period(results: DataFrame) -> DataFrame:
     """Percentiles of each strategy over all days, from the combined digests of single days."""
     v = materialize(latencies(results), "latencies")
     daily = materialize(digests(v, ["strategy", "day"], "latency_ms"), "daily")
     return percentiles(v, ["strategy"], "latency_ms", parts=combine(daily, ["strategy"]))
+
+
+def days_and_whole(results: DataFrame) -> DataFrame:
+    """Percentiles of each strategy by day, and over all days (day null) from the combined digests of the days."""
+    v = materialize(latencies(results), "latencies")
+    daily = materialize(digests(v, ["strategy", "day"], "latency_ms"), "daily")
+    whole = percentiles(v, ["strategy"], "latency_ms", parts=combine(daily, ["strategy"])).withColumn("day", F.lit(None).cast("date"))
+    return percentiles(v, ["strategy", "day"], "latency_ms", parts=daily).unionByName(whole)
