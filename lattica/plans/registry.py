@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("q_text", "q_graph")
+MODULES: tuple[str, ...] = ("q_text", "q_graph", "q_retrieval", "q_eval")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
