@@ -107,25 +107,25 @@ def a07(spark, d) -> DataFrame:
     return _runs(spark, d).groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("latency"), 4).alias("avg_latency"), F.round(F.avg("kg_triples_used"), 4).alias("avg_triples"), F.round(F.avg("sub_questions"), 4).alias("avg_sub_questions"), F.count_if("insufficient").alias("n_insufficient"), F.round(F.avg(F.coalesce("insufficient", F.lit(False)).cast("int")), 6).alias("insufficient_rate"))
 
 
-@BOOK.add("A08_run_statistics", f"""WITH {RUNS} SELECT CASE WHEN grouping(strategy) = 1 THEN '(all)' ELSE strategy END AS strategy, count(latency) AS n, round(avg(latency), 3) AS mean, round(coalesce(stddev_samp(latency), 0), 3) AS std, round(quantile_cont(latency, 0.5), 4) AS p50, round(quantile_cont(latency, 0.95), 4) AS p95, round(quantile_cont(latency, 0.99), 4) AS p99, round(min(latency), 4) AS lo, round(max(latency), 4) AS hi, round(count(latency) / (sum(latency) / 1000), 6) AS qps
+@BOOK.add("A08_run_statistics", f"""WITH {RUNS} SELECT CASE WHEN grouping(strategy) = 1 THEN '(all)' ELSE strategy END AS strategy, count(latency) AS n, round(avg(latency), 3) AS mean, round(coalesce(stddev_samp(latency), 0), 3) AS std, round(quantile_cont(latency, 0.5), 9) AS p50, round(quantile_cont(latency, 0.95), 9) AS p95, round(quantile_cont(latency, 0.99), 9) AS p99, min(latency) AS lo, max(latency) AS hi, round(count(latency) / (sum(latency) / 1000), 6) AS qps
 FROM runs WHERE strategy IS NOT NULL AND latency < 1000000 GROUP BY GROUPING SETS ((strategy), ())""")
 def a08(spark, d) -> DataFrame:
     r = _runs(spark, d).filter("strategy IS NOT NULL AND latency < 1000000").groupingSets([["strategy"], []], "strategy")
     got = r.agg(
         F.grouping("strategy").alias("g"), F.count("latency").alias("n"), F.round(F.avg("latency"), 3).alias("mean"), F.round(F.coalesce(F.stddev_samp("latency"), F.lit(0.0)), 3).alias("std"),
-        F.round(F.percentile("latency", 0.5), 4).alias("p50"), F.round(F.percentile("latency", 0.95), 4).alias("p95"), F.round(F.percentile("latency", 0.99), 4).alias("p99"),
-        F.round(F.min("latency"), 4).alias("lo"), F.round(F.max("latency"), 4).alias("hi"), F.round(F.count("latency") / (F.sum("latency") / 1000), 6).alias("qps"),
+        F.round(F.percentile("latency", 0.5), 9).alias("p50"), F.round(F.percentile("latency", 0.95), 9).alias("p95"), F.round(F.percentile("latency", 0.99), 9).alias("p99"),
+        F.min("latency").alias("lo"), F.max("latency").alias("hi"), F.round(F.count("latency") / (F.sum("latency") / 1000), 6).alias("qps"),
     )
     return got.withColumn("strategy", F.when(F.col("g") == 1, "(all)").otherwise(F.col("strategy"))).drop("g")
 
 
 @BOOK.add("A09_model_matrix", f"""WITH {RUNS}, v AS (SELECT model, strategy, query_id, latency, row_number() OVER (PARTITION BY model, strategy ORDER BY latency, result_id) AS r, count(*) OVER (PARTITION BY model, strategy) AS n FROM runs WHERE latency IS NOT NULL)
-SELECT model, strategy, max(n) AS runs, count(DISTINCT query_id) AS questions, round(avg(latency), 3) AS mean, round(max(CASE WHEN r = greatest(1, floor(0.95 * n)) THEN latency END), 4) AS p95_index FROM v GROUP BY model, strategy""")
+SELECT model, strategy, max(n) AS runs, count(DISTINCT query_id) AS questions, round(avg(latency), 3) AS mean, max(CASE WHEN r = greatest(1, floor(0.95 * n)) THEN latency END) AS p95_index FROM v GROUP BY model, strategy""")
 def a09(spark, d) -> DataFrame:
     w = Window.partitionBy("model", "strategy")
     v = _runs(spark, d).filter("latency IS NOT NULL").withColumn("r", F.row_number().over(w.orderBy("latency", "result_id"))).withColumn("n", F.count(F.lit(1)).over(w))
     at = F.when(F.col("r") == F.greatest(F.lit(1), F.floor(0.95 * F.col("n"))), F.col("latency"))
-    return v.groupBy("model", "strategy").agg(F.max("n").alias("runs"), F.countDistinct("query_id").alias("questions"), F.round(F.avg("latency"), 3).alias("mean"), F.round(F.max(at), 4).alias("p95_index"))
+    return v.groupBy("model", "strategy").agg(F.max("n").alias("runs"), F.countDistinct("query_id").alias("questions"), F.round(F.avg("latency"), 3).alias("mean"), F.max(at).alias("p95_index"))
 
 
 @BOOK.add("A13_group_summary", f"""WITH {RUNS}, v AS (SELECT r.model, r.strategy, q.lang AS segment, r.latency FROM runs r LEFT JOIN questions q ON r.query_id = q.query_id WHERE latency < 1000000)
@@ -178,20 +178,20 @@ def a28(spark, d) -> DataFrame:
     return one.select(F.explode(F.create_map(*[x for c in COLS for x in (F.lit(c), F.col(c))])).alias("col", "filled"))
 
 
-@BOOK.add("A29_describe", f"WITH {RUNS} SELECT model, round(min(latency), 4) AS lo, round(quantile_cont(latency, 0.05), 4) AS p05, round(median(latency), 4) AS med, round(max(latency), 4) AS hi FROM runs GROUP BY model")
+@BOOK.add("A29_describe", f"WITH {RUNS} SELECT model, min(latency) AS lo, round(quantile_cont(latency, 0.05), 9) AS p05, round(median(latency), 9) AS med, max(latency) AS hi FROM runs GROUP BY model")
 def a29(spark, d) -> DataFrame:
-    return _runs(spark, d).groupBy("model").agg(F.round(F.min("latency"), 4).alias("lo"), F.round(F.percentile("latency", 0.05), 4).alias("p05"), F.round(F.percentile("latency", 0.5), 4).alias("med"), F.round(F.max("latency"), 4).alias("hi"))
+    return _runs(spark, d).groupBy("model").agg(F.min("latency").alias("lo"), F.round(F.percentile("latency", 0.05), 9).alias("p05"), F.round(F.percentile("latency", 0.5), 9).alias("med"), F.max("latency").alias("hi"))
 
 
-@BOOK.add("A30_trend", f"WITH {RUNS} SELECT CAST(date_trunc('week', started_at) AS DATE)::VARCHAR AS week, count(*) AS n, round(median(latency), 4) AS med FROM runs GROUP BY 1")
+@BOOK.add("A30_trend", f"WITH {RUNS} SELECT CAST(date_trunc('week', started_at) AS DATE)::VARCHAR AS week, count(*) AS n, round(median(latency), 9) AS med FROM runs GROUP BY 1")
 def a30(spark, d) -> DataFrame:
-    return _runs(spark, d).groupBy(F.to_date(F.date_trunc("week", "started_at")).cast("string").alias("week")).agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("latency", 0.5), 4).alias("med"))
+    return _runs(spark, d).groupBy(F.to_date(F.date_trunc("week", "started_at")).cast("string").alias("week")).agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("latency", 0.5), 9).alias("med"))
 
 
-@BOOK.add("A38_bench_pivot", f"WITH {RUNS}, m AS (SELECT strategy, run_index, median(latency) AS m FROM runs WHERE run_index IN ('1', '2', '3') GROUP BY ALL) SELECT strategy, round(max(m) FILTER (WHERE run_index = '1'), 4) AS first, round(max(m) FILTER (WHERE run_index = '3'), 4) AS last, round(max(m) FILTER (WHERE run_index = '3') - max(m) FILTER (WHERE run_index = '1'), 4) AS delta FROM m GROUP BY strategy")
+@BOOK.add("A38_bench_pivot", f"WITH {RUNS}, m AS (SELECT strategy, run_index, median(latency) AS m FROM runs WHERE run_index IN ('1', '2', '3') GROUP BY ALL) SELECT strategy, round(max(m) FILTER (WHERE run_index = '1'), 9) AS first, round(max(m) FILTER (WHERE run_index = '3'), 9) AS last, round(max(m) FILTER (WHERE run_index = '3') - max(m) FILTER (WHERE run_index = '1'), 9) AS delta FROM m GROUP BY strategy")
 def a38(spark, d) -> DataFrame:
     p = _runs(spark, d).groupBy("strategy").pivot("run_index", ["1", "2", "3"]).agg(F.percentile("latency", 0.5))
-    return p.filter("`1` IS NOT NULL OR `2` IS NOT NULL OR `3` IS NOT NULL").select("strategy", F.round("1", 4).alias("first"), F.round("3", 4).alias("last"), F.round(F.col("3") - F.col("1"), 4).alias("delta"))
+    return p.filter("`1` IS NOT NULL OR `2` IS NOT NULL OR `3` IS NOT NULL").select("strategy", F.round("1", 9).alias("first"), F.round("3", 9).alias("last"), F.round(F.col("3") - F.col("1"), 9).alias("delta"))
 
 
 @BOOK.add("F33_wilson_intervals", f"""WITH {RUNS}, s AS (SELECT strategy, count(*) FILTER (WHERE insufficient) AS k, count(insufficient) AS n FROM runs GROUP BY strategy)

@@ -30,19 +30,15 @@ def _scores(spark, d):
     return R.bm25_scores(_post(spark, d), table(spark, d, "questions").select("query_id", "question").distinct(), "query_id", "question")
 
 
-def _round5(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", F.round("score", 4))
-
-
 @BOOK.add("R01_bm25_idf", f"WITH {BM25} SELECT token, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, size")
 def r01(spark, d) -> DataFrame:
     df, size = R.index_stats(_post(spark, d))
     return df.join(F.broadcast(size)).select("token", "df", F.round(F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
-@BOOK.add("R02_bm25_topk", f"WITH {BM25} SELECT query, key, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key)::INT AS rank FROM scores) WHERE rank <= 10")
+@BOOK.add("R02_bm25_topk", f"WITH {BM25} SELECT query, key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key)::INT AS rank FROM scores) WHERE rank <= 10")
 def r02(spark, d) -> DataFrame:
-    return _round5(R.top_k(_scores(spark, d), 10))
+    return R.top_k(_scores(spark, d), 10)
 
 
 @BOOK.add("R03_lexical_mmr")
@@ -55,10 +51,10 @@ def r03(spark, d) -> DataFrame:
 VEC = """u AS (SELECT vec_id AS key, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)"""
 
 
-@BOOK.add("R04_vector_topk", f"WITH {VEC}, s AS (SELECT a.key AS query, b.key, round(list_inner_product(a.v, b.v), 6) AS score FROM u a, u b WHERE a.key % 100 = 0) SELECT query, key, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key)::INT AS rank FROM s) WHERE rank <= 10")
+@BOOK.add("R04_vector_topk", f"WITH {VEC}, s AS (SELECT a.key AS query, b.key, round(list_inner_product(a.v, b.v), 6) AS score FROM u a, u b WHERE a.key % 100 = 0) SELECT query, key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key)::INT AS rank FROM s) WHERE rank <= 10")
 def r04(spark, d) -> DataFrame:
     v = R.unit(table(spark, d, "embeddings"), "vec_id", "embedding")
-    return _round5(R.vector_top_k(v, v.filter("key % 100 = 0"), 10))
+    return R.vector_top_k(v, v.filter("key % 100 = 0"), 10)
 
 
 @BOOK.add("R05_label_vote", f"""WITH {VEC}, s AS (SELECT a.key AS query, b.label, row_number() OVER (PARTITION BY a.key ORDER BY round(list_inner_product(a.v, b.v), 6) DESC, b.key) AS r FROM u a, u b WHERE a.key % 100 = 0 AND a.key <> b.key),
@@ -100,10 +96,10 @@ tt AS (SELECT triple_id, m, link, unnest(tw) AS w FROM t), qq AS (SELECT query,
 h AS (SELECT query, n, triple_id, m, link, count(*) AS c FROM tt JOIN qq USING (w) GROUP BY ALL),
 x AS (SELECT *, max(m) OVER (PARTITION BY query) AS most FROM h),
 s AS (SELECT query, triple_id, round((0.7 * c / n + 0.3 * CASE WHEN most <= 1 THEN 1.0 ELSE ln(1 + m) / ln(1 + most) END) * CASE WHEN link THEN 0.5 ELSE 1.0 END, 6) AS score FROM x)
-SELECT query, triple_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, triple_id)::INT AS rank FROM s) WHERE rank <= 20""")
+SELECT query, triple_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, triple_id)::INT AS rank FROM s) WHERE rank <= 20""")
 def r13(spark, d) -> DataFrame:
     q = table(spark, d, "questions").select(F.col("query_id").alias("query"), T.search_words(F.col("question")).alias("words")).filter(F.size("words") > 0)
-    return _round5(R.top_k(R.ranked_triples(table(spark, d, "triples"), q), 20, key="triple_id"))
+    return R.top_k(R.ranked_triples(table(spark, d, "triples"), q), 20, key="triple_id")
 
 
 @BOOK.add("R15_capped_sources", f"""WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM scores), p AS (SELECT r.query, r.key, r.rank, coalesce(d.source, '') AS source FROM r JOIN documents d ON r.key = d.doc_id WHERE rank <= 20),
