@@ -193,7 +193,7 @@ UNDO_DIGIT = {"0": "o", "1": "il", "5": "s", "9": "g", "6": "b", "8": "b", "2":
 
 
 def restorations(word: str) -> list[tuple[str, bool]]:
-    """What a word may have been, as (word, weak): one confusion undone, or all digits inside letters."""
+    """What a word may have been, as (word, weak): one confusion undone once or throughout, or all digits inside letters."""
     out: dict[str, bool] = {}
     if HAS_DIGIT.search(word) and HAS_LETTER.search(word):
         if sum(map(str.isdigit, word)) <= 3 and not re.search(r"\d{2}", word):
@@ -211,6 +211,9 @@ def restorations(word: str) -> list[tuple[str, bool]]:
             weak = (true, read) in WEAK
             out[w] = out.get(w, True) and weak
             i = word.find(read, i + 1)
+        if word.count(read) > 1:
+            w = word.replace(read, true)
+            out[w] = out.get(w, True) and (true, read) in WEAK
     return list(out.items())
 
 
