@@ -44,6 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -52,9 +55,19 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"lattica-{label}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Delete what this session has materialised; results that still read it must be written before."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def hot_keys(df: DataFrame, key: str, fraction: float = 0.002) -> DataFrame:
     """Keys holding at least `fraction` of the rows: at most 1/fraction of them, so always small."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
