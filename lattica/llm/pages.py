@@ -231,7 +231,7 @@ def misread(counts: DataFrame) -> DataFrame:
     made = counts.filter(F.length("word").between(2, 40)).mapInPandas(run, "word string, n long, cand string, weak boolean, digit boolean")
     known = counts.filter(~F.col("word").rlike(r"\d")).select(F.col("word").alias("cand"), F.col("n").alias("m"))
     got = made.join(known, "cand", "left").fillna(0, ["m"])
-    enough = F.when(F.col("digit"), F.lit(True)).when(F.col("weak"), (F.col("m") >= 30) & (F.col("m") >= 40 * F.col("n"))).otherwise((F.col("m") >= 4) & (F.col("m") >= 8 * F.col("n")))
+    enough = F.when(F.col("digit"), F.lit(True)).when(F.col("weak"), (F.col("m") >= 30) & (F.col("m") >= 40 * F.col("n"))).otherwise((F.col("m") >= 3) & (F.col("m") >= 4 * F.col("n")))
     # of several, the most frequent; among unseen ones i stands between consonants, l elsewhere
     between = F.when(F.col("cand").rlike("[^aeiouàèéìòù]i[^aeiouàèéìòù]"), 1).otherwise(0)
     best = F.max(F.struct("m", between.alias("b"), "cand")).alias("x")

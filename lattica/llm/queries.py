@@ -104,7 +104,17 @@ def p5_unmatched_values(spark: SparkSession, d: str) -> DataFrame:
     return none.join(t.select("triple_id", "predicate"), "triple_id").groupBy("predicate").agg(F.count(F.lit(1)).alias("n_triples"))
 
 
-@query("p7_found")
+P7_SQL = r"""
+WITH f AS (SELECT item_id, unnest([question, canonical_answer, passage]) AS t FROM eval_items),
+i AS (SELECT item_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM f WHERE t IS NOT NULL),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k:(k + 24)], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 23)) AS k FROM i)),
+dw AS (SELECT DISTINCT doc_id, array_to_string(w[k:(k + 24)], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 23)) AS k FROM d))
+SELECT DISTINCT item_id, doc_id FROM iw JOIN dw USING (run)
+"""
+
+
+@query("p7_found", P7_SQL)
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -115,7 +125,16 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=2)
 
 
-@query("p9_found")
+P9_SQL = """
+WITH w AS (SELECT doc_id, p, md5(substr(text, p + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS p FROM documents WHERE length(text) >= 200)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS b FROM w WHERE h IN (SELECT h FROM s)),
+g AS (SELECT doc_id, p, sum((b IS NULL OR p > b + 200)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM m)
+SELECT doc_id, min(p) AS span_start, max(p) + 200 AS span_end FROM g GROUP BY doc_id, k
+"""
+
+
+@query("p9_found", P9_SQL)
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.found(table(spark, d, "documents"))
 
