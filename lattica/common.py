@@ -68,6 +68,11 @@ def clean(spark: SparkSession) -> int:
     return n
 
 
+def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows, which is counted; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def hot_keys(df: DataFrame, key: str, fraction: float = 0.002) -> DataFrame:
     """Keys holding at least `fraction` of the rows: at most 1/fraction of them, so always small."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))

@@ -124,19 +124,23 @@ def rouge_bleu(pairs: DataFrame, key: str, candidate: str, reference: str) -> Da
     return pairs.select(key, candidate, reference).mapInPandas(run, f"{key} {kind}, rouge_l double, bleu double")
 
 
-def hashed_bootstrap(values: DataFrame, group: str, key: str, value: str, resamples: int = 100) -> DataFrame:
-    """(group, mean, lo, hi, n): bootstrap interval of the mean with Poisson weights drawn from a hash of row and resample.
+def resampled(values: DataFrame, key: str, value: str, groups: list[str], resamples: int = 100) -> DataFrame:
+    """(groups, r, m): means of bootstrap resamples, with Poisson weights drawn from a hash of row and resample.
 
     Weights of different rows are independent, so each task adds up its own rows and only sums are shuffled: the
     resampling needs no group in one place. Both engines can draw the same weights.
     """
-    v = values.filter(F.col(value).isNotNull()).select(group, key, value)
-    r = v.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    r = values.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("r").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     weight = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).otherwise(5)
-    sums = r.withColumn("w", weight).groupBy(group, "r").agg(F.sum(F.col("w") * F.col(value)).alias("s"), F.sum("w").alias("n")).filter("n > 0")
-    means = sums.select(group, (F.col("s") / F.col("n")).alias("m"))
-    ci = means.groupBy(group).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
+    sums = r.withColumn("w", weight).groupBy(*groups, "r").agg(F.sum(F.col("w") * F.col(value)).alias("s"), F.sum("w").alias("n")).filter("n > 0")
+    return sums.select(*groups, "r", (F.col("s") / F.col("n")).alias("m"))
+
+
+def hashed_bootstrap(values: DataFrame, group: str, key: str, value: str, resamples: int = 100) -> DataFrame:
+    """(group, mean, lo, hi, n): 95 % bootstrap interval of the mean; see resampled."""
+    v = values.filter(F.col(value).isNotNull()).select(group, key, value)
+    ci = resampled(v, key, value, [group], resamples).groupBy(group).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
     base = v.groupBy(group).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     return base.join(ci, base[group].eqNullSafe(ci[group])).select(base[group], "mean", "lo", "hi", "n")
 

@@ -10,35 +10,47 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.common import materialize
+from lattica.common import bounded, materialize
 from lattica.functions import text as T
 
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(token, key, tf, dl): term frequencies of each document; dl is its length in tokens."""
+def postings(docs: DataFrame, key: str, text: str, tokens: DataFrame | None = None) -> DataFrame:
+    """(token, key, dl, tf): term frequencies of each document; dl is its length in tokens.
+
+    With `tokens` (a frame of them) only these are kept, before anything is shuffled, and the rows of a document
+    stay together, so that scores of documents need no further shuffle.
+    """
     w = docs.select(F.col(key).alias("key"), T.words(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
-    return w.select("key", "dl", F.explode("w").alias("token")).groupBy("token", "key", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    e = w.select("key", "dl", F.explode("w").alias("token"))
+    if tokens is not None:
+        e = e.join(bounded(tokens), "token", "left_semi").repartition("key")
+    return e.groupBy("token", "key", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
 
+def index_stats(post: DataFrame) -> DataFrame:
+    """(token, df): the number of documents with each token."""
+    return post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
-def index_stats(post: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Document frequency of each token, and one row with the number of documents with tokens and their mean length."""
-    df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    size = post.select("key", "dl").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return df, size
 
+def corpus_size(docs: DataFrame, text: str) -> DataFrame:
+    """One row: the number of documents with tokens, and their mean length."""
+    return docs.select(F.size(T.words(F.col(text))).alias("dl")).filter("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
-def bm25_scores(post: DataFrame, queries: DataFrame, query: str, text: str) -> DataFrame:
-    """(query, key, score): documents that share a token with the query; a query's token counts once."""
-    q = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(T.words(F.col(text)))).alias("token"))
-    used = post.join(q.select("token").distinct(), "token", "left_semi")
-    df, size = index_stats(post)
-    df = df.join(q.select("token").distinct(), "token", "left_semi")
+
+def bm25_scores(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, question: str) -> DataFrame:
+    """(query, key, score): documents that share a token with the query; a query's token counts once.
+
+    One shuffle brings the tokens that matter together by document; weights of tokens are met from the query side,
+    and the sums of a document are made where it lies.
+    """
+    q = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(T.words(F.col(question)))).alias("token"))
+    post = postings(docs, key, text, q.select("token").distinct())
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = used.join(df, "token").join(F.broadcast(size)).select("token", "key", part.alias("w"))
-    return weighed.join(q, "token").groupBy("query", "key").agg(F.round(F.sum("w"), 6).alias("score"))
+    terms = q.join(index_stats(post), "token").join(F.broadcast(corpus_size(docs, text))).select("query", "token", idf.alias("idf"), "avgdl")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return post.join(bounded(terms), "token").groupBy("query", "key").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, group: str = "query", score: str = "score", key: str = "key") -> DataFrame:

@@ -22,17 +22,13 @@ q AS (SELECT DISTINCT query_id AS query, unnest(list_distinct({W.format('questio
 scores AS (SELECT query, key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN df USING (token) JOIN q USING (token), size GROUP BY query, key)"""
 
 
-def _post(spark, d):
-    return R.postings(table(spark, d, "documents"), "doc_id", "text")
-
-
 def _scores(spark, d):
-    return R.bm25_scores(_post(spark, d), table(spark, d, "questions").select("query_id", "question").distinct(), "query_id", "question")
+    return R.bm25_scores(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "questions").select("query_id", "question").distinct(), "query_id", "question")
 
 
 @BOOK.add("R01_bm25_idf", f"WITH {BM25} SELECT token, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, size")
 def r01(spark, d) -> DataFrame:
-    df, size = R.index_stats(_post(spark, d))
+    df, size = R.index_stats(R.postings(table(spark, d, "documents"), "doc_id", "text")), R.corpus_size(table(spark, d, "documents"), "text")
     return df.join(F.broadcast(size)).select("token", "df", F.round(F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 

@@ -10,7 +10,7 @@ from lattica.operators import retrieval as R
 def test_bm25_does_not_reward_padding(spark):
     docs = spark.createDataFrame([(1, "olive pomace dried"), (2, "olive pomace dried " + "filler " * 60), (3, "nothing"), (4, None), (5, "")], "id long, t string")
     q = spark.createDataFrame([(9, "olive olive pomace")], "q long, t string")
-    s = {r.key: r.score for r in R.bm25_scores(R.postings(docs, "id", "t"), q, "q", "t").collect()}
+    s = {r.key: r.score for r in R.bm25_scores(docs, "id", "t", q, "q", "t").collect()}
     assert set(s) == {1, 2} and s[1] > s[2]
     avgdl = (3 + 63 + 1) / 3
     idf = math.log(1 + (3 - 2 + 0.5) / 2.5)
