@@ -170,13 +170,36 @@ def ends_broken(line: Column) -> Column:
 
 
 def readable(lab: DataFrame) -> DataFrame:
-    """Body lines and headings with `tokens`: their words, without the two parts of words broken at line ends."""
-    w = Window.partitionBy("doc_id").orderBy("page_number", "line_no")
-    text = lab.filter("state IN ('body', 'break')").withColumn("before", F.lag("line").over(w))
+    """Body lines and headings with their neighbours and their words.
+
+    prev, next: the lines with text before and after (structs of page_number, line_no, line, state), also over page
+    ends. They are found inside each page; over page ends from one row for each page, so a document with most of
+    all lines is never sorted whole. tokens: the words without the two parts of words broken at line ends.
+    """
+    text = lab.filter("state IN ('body', 'break')").withColumn("me", F.struct("page_number", "line_no", "line", "state"))
+    page = Window.partitionBy("doc_id", "page_number").orderBy("line_no")
+    text = text.withColumn("prev", F.lag("me").over(page)).withColumn("next", F.lead("me").over(page))
+    ends = text.groupBy("doc_id", "page_number").agg(F.min("me").alias("head"), F.max("me").alias("foot"))
+    doc = Window.partitionBy("doc_id").orderBy("page_number")
+    ends = ends.select("doc_id", "page_number", F.lag("foot").over(doc).alias("above"), F.lead("head").over(doc).alias("below"))
+    text = text.join(ends, ["doc_id", "page_number"]).withColumn("prev", F.coalesce("prev", "above")).withColumn("next", F.coalesce("next", "below")).drop("above", "below", "me")
     toks = F.split(F.trim("line"), r"\s+")
-    skip = F.when(ends_broken(F.col("before")), 1).otherwise(0)
+    skip = F.when(ends_broken(F.col("prev.line")), 1).otherwise(0)
     cut = F.when(ends_broken(F.col("line")), 1).otherwise(0)
-    return text.withColumn("tokens", F.slice(toks, skip + 1, F.greatest(F.size(toks) - skip - cut, F.lit(0)))).drop("before")
+    text = text.withColumn("tokens", F.slice(toks, skip + 1, F.greatest(F.size(toks) - skip - cut, F.lit(0))))
+    return materialize(text, "readable")
+
+
+SUSPENDED = ("and", "or", "e", "ed", "o", "und", "oder", "et", "ou", "y", "u")
+
+
+def fragments(line: Column, following: Column) -> tuple[Column, Column, Column, Column]:
+    """Of a line and the one after it: whether a word is broken between them, its two parts, and the token taken from the second."""
+    first = F.regexp_replace(F.regexp_extract(line, r"(\S+)[-\x{2010}\x{00AC}\x{00AD}]$", 1), r"^[^\p{L}\p{N}]+", "")
+    raw = F.regexp_extract(following, r"^\s*(\S+)", 1)
+    rest = F.regexp_replace(raw, r"[^\p{L}\p{N}]+$", "")
+    broken = ends_broken(line) & following.rlike(r"^\s*[\p{L}\p{N}]") & (first != "") & (rest != "") & ~F.lower(rest).isin(*SUSPENDED)
+    return F.coalesce(broken, F.lit(False)), first, rest, raw
 
 
 def word_counts(text: DataFrame) -> DataFrame:
@@ -245,21 +268,15 @@ def recase(read: Column, fixed: Column) -> Column:
     return F.when(upper, F.upper(fixed)).when(capital, F.concat(F.upper(F.substring(fixed, 1, 1)), F.substring(fixed, 2, 1000))).otherwise(fixed)
 
 
-def broken_words(lab: DataFrame, counts: DataFrame) -> DataFrame:
-    """(doc_id, page_number, line_no, first, rest, repaired): words broken at the end of body lines."""
-    w = Window.partitionBy("doc_id").orderBy("page_number", "line_no")
-    text = lab.filter("state IN ('body', 'break')").withColumn("next", F.lead("line").over(w))
-    cut = text.filter(ends_broken(F.col("line")) & F.col("next").rlike(r"^\s*[\p{L}\p{N}]"))
-    first = F.regexp_extract(F.col("line"), r"(\S+)[-\x{2010}\x{00AC}\x{00AD}]$", 1)
-    rest = F.regexp_extract(F.col("next"), r"^\s*(\S+)", 1)
-    cut = cut.select("doc_id", "page_number", "line_no", F.regexp_replace(first, r"^[^\p{L}\p{N}]+", "").alias("first"), rest.alias("raw"))
-    cut = cut.withColumn("rest", F.regexp_replace("raw", r"[^\p{L}\p{N}]+$", "")).filter("first <> '' AND rest <> ''")
-    cut = cut.filter(~F.lower("rest").isin("and", "or", "e", "ed", "o", "und", "oder", "et", "ou", "y", "u"))
+def broken_words(text: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, page_number, line_no, first, raw, repaired): words broken at the end of body lines."""
+    broken, first, rest, raw = fragments(F.col("line"), F.col("next.line"))
+    cut = text.filter(broken).select("doc_id", "page_number", "line_no", first.alias("first"), rest.alias("rest"), raw.alias("raw"))
     plain, kept = F.concat("first", "rest"), F.concat_ws("-", "first", "rest")
     cut = cut.withColumn("p", F.lower(plain)).withColumn("k", F.lower(kept))
     cut = cut.join(counts.select(F.col("word").alias("p"), F.col("n").alias("np")), "p", "left").join(counts.select(F.col("word").alias("k"), F.col("n").alias("nk")), "k", "left")
     np_, nk = F.coalesce("np", F.lit(0)), F.coalesce("nk", F.lit(0))
-    return cut.select("doc_id", "page_number", "line_no", "first", "raw", "rest", F.when(nk > np_, kept).otherwise(plain).alias("repaired"))
+    return cut.select("doc_id", "page_number", "line_no", "first", "raw", F.when(nk > np_, kept).otherwise(plain).alias("repaired"))
 
 
 def noise(pages: DataFrame, lab: DataFrame | None = None) -> DataFrame:
@@ -269,7 +286,7 @@ def noise(pages: DataFrame, lab: DataFrame | None = None) -> DataFrame:
     counts = materialize(word_counts(text), "words")
     key = ["doc_id", "page_number", "line_no"]
     lines = lab.filter("state IN ('header', 'number')").select(*key, F.when(F.col("state") == "header", "running_line").otherwise("page_number").alias("noise"), F.lit("").alias("repaired"))
-    hyphen = broken_words(lab, counts).select(*key, F.lit("hyphen").alias("noise"), "repaired")
+    hyphen = broken_words(text, counts).select(*key, F.lit("hyphen").alias("noise"), "repaired")
     return lines.unionByName(hyphen).unionByName(misread_tokens(text, counts).select(*key, F.lit("ocr").alias("noise"), "repaired")).distinct()
 
 
@@ -298,19 +315,26 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     text = readable(lab)
     counts = materialize(word_counts(text), "words")
     fixes = misread_tokens(text, counts).groupBy("doc_id", "page_number", "line_no").agg(F.array_sort(F.collect_list(F.struct("token", "repaired"))).alias("swaps"))
-    cuts = broken_words(lab, counts).select("doc_id", "page_number", "line_no", F.col("repaired").alias("joined"), "first", F.col("raw").alias("taken"))
-    w = Window.partitionBy("doc_id").orderBy("page_number", "line_no")
-    one = text.join(fixes, ["doc_id", "page_number", "line_no"], "left").join(cuts, ["doc_id", "page_number", "line_no"], "left")
+    key = ["doc_id", "page_number", "line_no"]
+    cuts = broken_words(text, counts).select(*key, F.col("repaired").alias("joined"), "first", F.col("raw").alias("taken"))
+    one = text.join(fixes, key, "left").join(cuts, key, "left")
     fixed = F.when(F.col("swaps").isNull(), F.col("line")).otherwise(F.aggregate("swaps", F.col("line"), lambda a, s: F.replace(a, s["token"], s["repaired"])))
-    one = one.withColumn("fixed", F.trim(fixed)).withColumn("lost", F.lag("taken").over(w)).withColumn("before", F.lag("line").over(w)).withColumn("at", F.lag(F.struct("page_number", "line_no", "state")).over(w))
+    lost, _, _, raw = fragments(F.col("prev.line"), F.col("line"))
+    one = one.withColumn("fixed", F.trim(fixed)).withColumn("lost", F.when(lost, raw))
     body = F.when(F.col("lost").isNotNull(), F.trim(F.expr("substr(fixed, length(lost) + 1)"))).otherwise(F.col("fixed"))
     tail = F.regexp_extract(F.col("taken"), r"([^\p{L}\p{N}]*)$", 1)
     one = one.withColumn("b", body).withColumn("tail", F.coalesce(tail, F.lit("")))
     whole = F.when(F.col("joined").isNotNull(), F.expr("substr(b, 1, greatest(length(b) - length(first) - 1, 0)) || joined || tail")).otherwise(F.col("b"))
-    gap = (F.col("at.page_number") != F.col("page_number")) | (F.col("line_no") - F.col("at.line_no") > 1)
-    ended = F.col("before").rlike(r"[.!?:][\"»”')\]]*$") & gap
-    new = F.when(F.col("at").isNull() | (F.col("state") == "break") | (F.col("at.state") == "break") | ended, 1).otherwise(0)
-    one = one.withColumn("whole", whole).withColumn("new", new).withColumn("paragraph_no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    gap = (F.col("prev.page_number") != F.col("page_number")) | (F.col("line_no") - F.col("prev.line_no") > 1)
+    ended = F.col("prev.line").rlike(r"[.!?:][\"»”')\]]*$") & gap
+    new = F.when(F.col("prev").isNull() | (F.col("state") == "break") | (F.col("prev.state") == "break") | ended, 1).otherwise(0)
+    one = one.withColumn("whole", whole).withColumn("new", new)
+    # numbers run inside the pages first, then over one sum for each page
+    page = Window.partitionBy("doc_id", "page_number").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = one.groupBy("doc_id", "page_number").agg(F.sum("new").alias("s"))
+    doc = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("doc_id", "page_number", F.coalesce(F.sum("s").over(doc), F.lit(0)).alias("before"))
+    one = one.withColumn("k", F.sum("new").over(page)).join(sums, ["doc_id", "page_number"]).withColumn("paragraph_no", F.col("before") + F.col("k"))
     got = one.groupBy("doc_id", "paragraph_no").agg(F.min("page_number").alias("first_page"), F.array_sort(F.collect_list(F.struct("page_number", "line_no", "whole"))).alias("ls"))
     return got.select("doc_id", "paragraph_no", "first_page", F.regexp_replace(F.concat_ws(" ", F.filter(F.transform("ls", lambda s: s["whole"]), lambda x: x != "")), r"\s+", " ").alias("text"))
 
