@@ -44,12 +44,14 @@ WORD_PIECE = r"[\p{L}\p{N}]+"
 
 
 def skeleton(line: Column) -> Column:
-    """A line without page number, case, marks and the marks of misreading, to compare running lines."""
+    """A line without page number, case and marks, and with characters that are read for each other as one.
+
+    Single characters are folded first and pairs then, so a line and its misreading fold alike.
+    """
     x = F.regexp_replace(F.trim(line), r"^(?:\W*\d{1,4}\W*\s+)|(?:\s+\W*\d{1,4}\W*)$", "")
-    x = F.lower(x)
-    for a, b in (("rn", "m"), ("cl", "d"), ("li", "h"), ("ii", "u"), ("ri", "n"), ("in", "m")):
+    x = F.translate(F.lower(x), "1i0596cf82unb", "llosghethzhhh")
+    for a, b in (("rh", "m"), ("lh", "m"), ("el", "d"), ("ll", "h"), ("rl", "h"), ("vv", "w")):
         x = F.replace(x, F.lit(a), F.lit(b))
-    x = F.translate(x, "1i0596cf82ub", "llosgbetbznh")
     return F.regexp_replace(x, r"[^\p{L}\p{N}]+", "")
 
 
@@ -280,14 +282,16 @@ def broken_words(text: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def noise(pages: DataFrame, lab: DataFrame | None = None) -> DataFrame:
-    """(doc_id, page_number, line_no, noise, repaired), distinct."""
+    """(doc_id, page_number, line_no, noise, repaired), distinct. Misread words count in running lines too."""
     lab = labelled(pages) if lab is None else lab
     text = readable(lab)
-    counts = materialize(word_counts(text), "words")
     key = ["doc_id", "page_number", "line_no"]
+    heads = lab.filter("state = 'header'").select(*key, F.split(F.trim("line"), r"\s+").alias("tokens"))
+    every = text.select(*key, "tokens").unionByName(heads)
+    counts = materialize(word_counts(every), "words")
     lines = lab.filter("state IN ('header', 'number')").select(*key, F.when(F.col("state") == "header", "running_line").otherwise("page_number").alias("noise"), F.lit("").alias("repaired"))
     hyphen = broken_words(text, counts).select(*key, F.lit("hyphen").alias("noise"), "repaired")
-    return lines.unionByName(hyphen).unionByName(misread_tokens(text, counts).select(*key, F.lit("ocr").alias("noise"), "repaired")).distinct()
+    return lines.unionByName(hyphen).unionByName(misread_tokens(every, counts).select(*key, F.lit("ocr").alias("noise"), "repaired")).distinct()
 
 
 def misread_tokens(text: DataFrame, counts: DataFrame) -> DataFrame:
