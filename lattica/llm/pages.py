@@ -282,16 +282,14 @@ def broken_words(text: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def noise(pages: DataFrame, lab: DataFrame | None = None) -> DataFrame:
-    """(doc_id, page_number, line_no, noise, repaired), distinct. Misread words count in running lines too."""
+    """(doc_id, page_number, line_no, noise, repaired), distinct. A running line is one case, also where a word of it is misread."""
     lab = labelled(pages) if lab is None else lab
     text = readable(lab)
     key = ["doc_id", "page_number", "line_no"]
-    heads = lab.filter("state = 'header'").select(*key, F.split(F.trim("line"), r"\s+").alias("tokens"))
-    every = text.select(*key, "tokens").unionByName(heads)
-    counts = materialize(word_counts(every), "words")
+    counts = materialize(word_counts(text), "words")
     lines = lab.filter("state IN ('header', 'number')").select(*key, F.when(F.col("state") == "header", "running_line").otherwise("page_number").alias("noise"), F.lit("").alias("repaired"))
     hyphen = broken_words(text, counts).select(*key, F.lit("hyphen").alias("noise"), "repaired")
-    return lines.unionByName(hyphen).unionByName(misread_tokens(every, counts).select(*key, F.lit("ocr").alias("noise"), "repaired")).distinct()
+    return lines.unionByName(hyphen).unionByName(misread_tokens(text, counts).select(*key, F.lit("ocr").alias("noise"), "repaired")).distinct()
 
 
 def misread_tokens(text: DataFrame, counts: DataFrame) -> DataFrame:
