@@ -185,10 +185,10 @@ def cue_labels(f: np.ndarray) -> list[int]:
     """First labels of the clauses of a response, from single cues."""
     out = []
     for r in f:
-        if r[14] and (r[15] or r[18] or r[19] or r[20]) and not r[16] or r[21] and r[12]:
+        if r[3] or (r[1] or r[2]) and r[4]:
+            out.append(E)  # also where the question's mark is gone
+        elif r[14] and (r[15] or r[18] or r[19] or r[20]) and not r[16] or r[21] and r[12]:
             out.append(U)
-        elif (r[1] or r[3]) and (r[4] or r[3]) or (r[2] and r[4]):
-            out.append(E)
         elif r[9]:
             out.append(R)
         elif r[5]:
@@ -201,6 +201,12 @@ def cue_labels(f: np.ndarray) -> list[int]:
     return out
 
 
+def copied(q: str, k: int) -> str:
+    """A question as responses repeat it: as it is, with a lead-in or marks, without its mark, or with a word lost."""
+    ws = q.split()
+    return (q, f"The question is: {q}", f'"{q}"', f"**{q}**", q.rstrip("?"), " ".join(ws[: len(ws) // 2] + ws[len(ws) // 2 + 1 :]), q.upper(), f"> {q}")[k % 8]
+
+
 def train(rows: list[tuple[str | None, str | None]], model: langid.Backoff, terms: set[str]) -> CRF:
     """Fit the field on sampled (question, answer) pairs and on pairs made from them."""
     scorer = Scorer(model)
@@ -210,7 +216,7 @@ def train(rows: list[tuple[str | None, str | None]], model: langid.Backoff, term
     made: list[tuple[str | None, str, str]] = [(q, a, "") for q, a in rows]
     for i, (q, a) in enumerate(rows):
         if i % 6 == 0 and q and q.strip():
-            made.append((q, ("", "The question is: ", '"', "**")[i % 4] + q.strip() + ("", "", '"', "**")[i % 4], "echo"))
+            made.append((q, copied(q.strip(), i // 6), "echo"))
         if i % 6 == 1 and len(a) > 90 and not BULLET.search(a):
             cut = a[: 60 + (i * 37) % (len(a) - 70)].rstrip(" .!?\"»”)")
             made.append((q, cut + ("", "...", "…", "-", "")[i % 5], "cut"))
