@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 LANGS = ("en", "it", "fr", "es", "de", "pt")
 PER_LANGUAGE = 800
 MIN_WORDS = 5
-SWITCH_COST = 5.0
+SWITCH_COST = 7.0
 KNOWN_LIMIT = 400_000
 
 # Frequent function words of each language, the prior of the model.
