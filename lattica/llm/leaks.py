@@ -31,8 +31,10 @@ from lattica.common import materialize
 
 WINDOW = 25
 SAMPLED = 12
+SAMPLED_ONE_EDIT = 24
 RECALL = 0.95
 BITMAP_LOG2 = 26
+BITMAP_LOG2_NEAR = 28
 BLOCK_LOG2 = 19
 SLICE_WORDS = 1 << 18
 WORDS = re.compile(r"[^\W_]+")
@@ -123,7 +125,7 @@ def item_fields(items: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.col("text").isNotNull()).distinct()
 
 
-def item_keys(fields: DataFrame, reps: int, window: int = WINDOW) -> DataFrame:
+def item_keys(fields: DataFrame, reps: int, window: int = WINDOW, sampled: int = SAMPLED) -> DataFrame:
     """(key, item_id, field), distinct."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,7 +140,7 @@ def item_keys(fields: DataFrame, reps: int, window: int = WINDOW) -> DataFrame:
                 if not len(starts):
                     continue
                 for rep in range(reps):
-                    key = embedding_keys(h, starts, rep, window)
+                    key = embedding_keys(h, starts, rep, window, sampled)
                     yield pd.DataFrame({"key": key.view(np.int64), "item_id": ids[a + text], "field": fs[a + text]})
 
     return fields.mapInPandas(run, "key long, item_id long, field int").distinct()
@@ -180,7 +182,7 @@ def in_bitmap(keys: np.ndarray, bits: np.ndarray, log2: int) -> np.ndarray:
     return ok
 
 
-def stretches(documents: DataFrame, bits: np.ndarray, reps: int, window: int = WINDOW, slack: int = 0, log2: int = BITMAP_LOG2) -> DataFrame:
+def stretches(documents: DataFrame, bits: np.ndarray, reps: int, window: int = WINDOW, slack: int = 0, log2: int = BITMAP_LOG2, sampled: int = SAMPLED) -> DataFrame:
     """(doc_id, stretch, keys, text): runs of document windows that may meet an item, with their words."""
     held = documents.sparkSession.sparkContext.broadcast(bits)
 
@@ -198,7 +200,7 @@ def stretches(documents: DataFrame, bits: np.ndarray, reps: int, window: int = W
                 starts, text = window_starts(lens, window)
                 if not len(starts):
                     continue
-                keys = [embedding_keys(h, starts, rep, window) for rep in range(reps)]
+                keys = [embedding_keys(h, starts, rep, window, sampled) for rep in range(reps)]
                 hits = [in_bitmap(k, bits, log2) for k in keys]
                 any_hit = np.flatnonzero(np.logical_or.reduce(hits))
                 if not len(any_hit):
@@ -228,7 +230,12 @@ def common_run(a: list[str], b: list[str], n: int) -> bool:
 
 
 def near_window(item: list[str], doc: list[str], n: int, edits: int) -> bool:
-    """Whether a window of n words of the item is within `edits` word edits of some stretch of the document."""
+    """Whether a window of n words of the item is within `edits` word edits of some stretch of the document.
+
+    Such a window holds (n - edits) // (edits + 1) words in a row unchanged at least, which is tested first.
+    """
+    if not common_run(item, doc, max(1, (n - edits) // (edits + 1))):
+        return False
     for s in range(len(item) - n + 1):
         w = item[s : s + n]
         prev = [0] * (len(doc) + 1)
@@ -247,10 +254,13 @@ def near_window(item: list[str], doc: list[str], n: int, edits: int) -> bool:
 
 def find(documents: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: int = 0, recall: float = RECALL) -> DataFrame:
     """(item_id, doc_id, field): each item field of which the document holds a window, within max_edits word edits."""
-    reps = repetitions(max_edits, recall, window=window)
+    # one edit still allows many sampled positions, which keeps texts of one template apart
+    sampled = SAMPLED_ONE_EDIT if max_edits == 1 else SAMPLED
+    log2 = BITMAP_LOG2_NEAR if max_edits else BITMAP_LOG2
+    reps = repetitions(max_edits, recall, sampled, window)
     fields = materialize(item_fields(items), "fields")
-    keys = materialize(item_keys(fields, reps, window), "itemkeys")
-    some = materialize(stretches(documents, bitmap(keys), reps, window, max_edits), "stretches")
+    keys = materialize(item_keys(fields, reps, window, sampled), "itemkeys")
+    some = materialize(stretches(documents, bitmap(keys, log2), reps, window, max_edits, log2, sampled), "stretches")
     meet = some.select("doc_id", "stretch", F.explode("keys").alias("key")).join(keys, "key").select("doc_id", "stretch", "item_id", "field").distinct()
     pairs = meet.join(some.select("doc_id", "stretch", "text"), ["doc_id", "stretch"]).join(fields.withColumnRenamed("text", "item_text"), ["item_id", "field"])
 

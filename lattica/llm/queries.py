@@ -121,8 +121,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p7_near")
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
-    """Leaks within two word edits."""
-    return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=2)
+    """Leaks within one word edit."""
+    return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=1)
 
 
 P9_SQL = """
