@@ -85,20 +85,33 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node of each undirected component, spread with shortcuts."""
-    inc = incident(edges).select("node", "other").distinct()
-    arcs = materialize(inc.unionByName(inc.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "arcs")
-    lab = arcs.select("node", F.col("node").alias("c")).distinct()
-    for _ in range(rounds):
-        near = arcs.join(lab.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("c").alias("n"))
-        hook = lab.join(near, "node").select("node", F.col("c").alias("old"), F.least("c", "n").alias("c"))
-        up = hook.select(F.col("node").alias("c"), F.col("c").alias("c2"))
-        new = materialize(hook.join(up, "c", "left").select("node", "old", F.coalesce("c2", "c").alias("c")), "labels")
-        lab = new.select("node", "c")
-        if not new.filter("old <> c").limit(1).count():
-            return lab.withColumnRenamed("c", "component")
-    raise RuntimeError("components did not settle")
+def smallest_labels(pairs: DataFrame) -> DataFrame:
+    """(v, m) of every vertex v of the undirected pairs (u, v) that is not the smallest, m, of its component.
+
+    Alternating large and small stars: each round hooks neighbours to the smallest one they know, which keeps the
+    components and about halves every path, so the rounds are logarithmic; it ends only when stars are left.
+    """
+    e = pairs.select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("m")).filter("v <> m").distinct()
+    e = materialize(e, "stars")
+    while True:
+        arcs = e.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(e.select(F.col("m").alias("u"), F.col("v").alias("w")))
+        low = arcs.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m"))
+        e = materialize(arcs.filter("w > u").join(low, "u").select(F.col("w").alias("v"), "m").distinct(), "large")
+        own = e.groupBy("v").agg(F.min("m").alias("low"))
+        down = e.join(own, "v").filter("m <> low").select(F.col("m").alias("v"), F.col("low").alias("m"))
+        e = materialize(down.unionByName(own.select("v", F.col("low").alias("m"))).distinct(), "stars")
+        # stars: no centre hangs on another vertex, and no vertex on two
+        hangs = e.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        if not hangs.filter("n > 1").limit(1).count() and not e.join(hangs.select(F.col("v").alias("m")), "m", "left_semi").limit(1).count():
+            return e
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node of each undirected component."""
+    pairs = materialize(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).filter("u IS NOT NULL AND v IS NOT NULL").distinct(), "pairs")
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    low = smallest_labels(pairs).select(F.col("v").alias("node"), "m")
+    return nodes.join(low, "node", "left").select("node", F.coalesce("m", "node").alias("component"))
 
 
 def contract(edges: DataFrame, into: DataFrame, drop_loops: bool = True) -> DataFrame:

@@ -238,7 +238,17 @@ def o06(spark, d) -> DataFrame:
 c AS (SELECT u, least(u, min(v)) AS c FROM r GROUP BY u), g AS (SELECT entity_id, max(len(aliases)) AS degree FROM registry GROUP BY entity_id), k AS (SELECT c, u, row_number() OVER (PARTITION BY c ORDER BY coalesce(degree, 0) DESC, u) AS rn FROM c LEFT JOIN g ON u = entity_id)
 SELECT c.u AS entity_id, k.u AS keep FROM c JOIN k ON c.c = k.c AND k.rn = 1""")
 def g09(spark, d) -> DataFrame:
-    m = table(spark, d, "match_pairs").filter("same_entity AND similarity >= 0.95")
+    """The slice that its SQL can close; all confirmed pairs are G09_same_as_contracted_all."""
+    return _contracted(spark, d, table(spark, d, "match_pairs").filter("same_entity AND similarity >= 0.95"))
+
+
+@BOOK.add("G09_same_as_contracted_all")
+def g09a(spark, d) -> DataFrame:
+    return _contracted(spark, d, table(spark, d, "match_pairs").filter("same_entity"))
+
+
+def _contracted(spark, d, m: DataFrame) -> DataFrame:
+    """(entity_id, keep): records of the pairs m, and the one of their component that stays."""
     c = G.components(m.select(F.col("left_group").alias("src"), F.lit("SAME_AS").alias("type"), F.col("right_group").alias("dst"), F.col("pair_id").alias("edge_id")))
     g = table(spark, d, "registry").groupBy(F.col("entity_id").alias("node")).agg(F.max(F.size("aliases")).alias("degree"))
     k = c.join(g, "node", "left").groupBy("component").agg(F.min(F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), "node")).alias("k"))

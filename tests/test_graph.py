@@ -1,6 +1,7 @@
 import random
 
 from lattica.operators import graph as G
+from lattica.plans import registry
 
 
 def edges_of(spark, pairs):
@@ -71,3 +72,32 @@ def test_empty_graph(spark):
     e = edges_of(spark, [("a", "b")]).filter("false")
     assert G.components(e).count() == 0
     assert G.degrees(e).count() == 0
+
+
+def test_components_of_long_chains_settle(spark):
+    rnd = random.Random(7)
+    ids = [f"m{i:04d}" for i in range(900)]
+    rnd.shuffle(ids)
+    # a chain, a ladder and a band (each with the next two), with ids in no order
+    pairs = [(ids[i], ids[i + 1]) for i in range(299)]
+    pairs += [(ids[i], ids[i + 2]) for i in range(300, 598)] + [(ids[i], ids[i + 1]) for i in range(300, 600, 2)]
+    pairs += [(ids[i], ids[j]) for i in range(600, 900) for j in (i + 1, i + 2) if j < 900] + [("solo", "solo")]
+    assert {r.node: r.component for r in G.components(edges_of(spark, pairs)).collect()} == brute_components(pairs)
+
+
+def tables_of(spark, path):
+    t = [(1, "A", "PARTNER_OF", "B"), (2, "B", "PRODUCES", "C"), (3, "D", "USES", "E")]
+    spark.createDataFrame(t, "triple_id long, subject string, predicate string, object string").write.parquet(f"{path}/triples.parquet")
+    m = [(1, 1, 2, True, 0.99), (2, 2, 3, True, 0.5), (3, 3, 4, True, None), (4, 4, 5, False, 0.99), (5, 6, 7, None, 0.99)]
+    spark.createDataFrame(m, "pair_id long, left_group long, right_group long, same_entity boolean, similarity double").write.parquet(f"{path}/match_pairs.parquet")
+    r = [(i, ["x"] * (9 if i == 3 else 1)) for i in range(1, 8)]
+    spark.createDataFrame(r, "entity_id long, aliases array<string>").write.parquet(f"{path}/registry.parquet")
+
+
+def test_components_of_all_relations_and_confirmed_pairs(spark, tmp_path):
+    q = registry.queries()
+    tables_of(spark, tmp_path)
+    got = {tuple(r) for r in q["G07_components_whole_graph"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")}
+    got = {tuple(r) for r in q["G09_same_as_contracted_all"](spark, str(tmp_path)).collect()}
+    assert got == {(i, 3) for i in (1, 2, 3, 4)}
