@@ -232,26 +232,41 @@ def common_run(a: list[str], b: list[str], n: int) -> bool:
 def near_window(item: list[str], doc: list[str], n: int, edits: int) -> bool:
     """Whether a window of n words of the item is within `edits` word edits of some stretch of the document.
 
-    Such a window holds (n - edits) // (edits + 1) words in a row unchanged at least, which is tested first.
+    Such a window holds a run of r = (n - edits) // (edits + 1) words at least that stands unchanged in the stretch, at
+    most `edits` words off the window's diagonal. So only windows over a common run are compared, and each only with
+    the words around that run's diagonal.
     """
-    if not common_run(item, doc, max(1, (n - edits) // (edits + 1))):
+    r = max(1, (n - edits) // (edits + 1))
+    if len(item) < n or len(doc) < r:
         return False
-    for s in range(len(item) - n + 1):
-        w = item[s : s + n]
-        prev = [0] * (len(doc) + 1)
-        for i, x in enumerate(w, 1):
-            cur = [i]
-            for j, y in enumerate(doc, 1):
-                cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (x != y)))
-            prev = cur
-            if min(prev) > edits:
-                break
-        else:
-            if min(prev) <= edits:
-                return True
+    at: dict[tuple[str, ...], list[int]] = {}
+    for q in range(len(doc) - r + 1):
+        at.setdefault(tuple(doc[q : q + r]), []).append(q)
+    tried: set[tuple[int, int]] = set()
+    for p in range(len(item) - r + 1):
+        for q in at.get(tuple(item[p : p + r]), ()):
+            for s in range(max(0, p - n + r), min(p, len(item) - n) + 1):
+                if (s, q - p) not in tried:
+                    tried.add((s, q - p))
+                    lo = s + q - p - edits
+                    if near_stretch(item[s : s + n], doc[max(0, lo) : max(0, lo + n + 3 * edits)], edits):
+                        return True
     return False
 
 
+def near_stretch(w: list[str], doc: list[str], edits: int) -> bool:
+    """Whether w is within `edits` word edits of some stretch of doc."""
+    prev = [0] * (len(doc) + 1)
+    for i, x in enumerate(w, 1):
+        cur = [i]
+        for j, y in enumerate(doc, 1):
+            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (x != y)))
+        prev = cur
+        if min(prev) > edits:
+            return False
+    return min(prev) <= edits
+
+
 def find(documents: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: int = 0, recall: float = RECALL) -> DataFrame:
     """(item_id, doc_id, field): each item field of which the document holds a window, within max_edits word edits."""
     # one edit still allows many sampled positions, which keeps texts of one template apart

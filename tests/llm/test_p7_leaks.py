@@ -1,6 +1,6 @@
 import random
 
-from lattica.llm import leaks
+from lattica.llm import leaks, queries
 
 
 def make(spark):
@@ -60,3 +60,44 @@ def test_near_runs_reach_recall(spark):
     got = {(r.item_id, r.doc_id) for r in leaks.find(d, i, max_edits=2).collect()}
     want = {(k, k) for k in range(60)}
     assert len(got & want) >= 0.9 * len(want) and got <= want
+
+
+def test_registered_near_query_reports_two_edits(spark, tmp_path):
+    rnd = random.Random(12)
+    vocab = [f"v{i}" for i in range(300)]
+    items = [(k, " ".join(rnd.choice(vocab) for _ in range(25)), None, None) for k in range(60)]
+    docs = []
+    for k, t, _, _ in items:
+        w = t.split()
+        w[8], w[16] = "changed", "too"
+        if k % 3 == 2:
+            w[12] = "third"
+        docs.append((k, " ".join(rnd.choice(vocab) for _ in range(10)) + " " + " ".join(w)))
+    spark.createDataFrame(items, "item_id long, question string, canonical_answer string, passage string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.item_id, r.doc_id) for r in queries.queries()["p7_near"](spark, str(tmp_path)).collect()}
+    want = {(k, k) for k in range(60) if k % 3 != 2}
+    assert len(got & want) >= 0.9 * len(want) and got <= want
+
+
+def edit_distance(a, b):
+    prev = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        cur = [i]
+        for j, y in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (x != y)))
+        prev = cur
+    return prev[-1]
+
+
+def test_near_window_agrees_with_all_stretches():
+    rnd = random.Random(3)
+    for _ in range(300):
+        n, edits = rnd.choice([(6, 1), (8, 2), (9, 2)])
+        item = [str(rnd.randint(0, 4)) for _ in range(rnd.randint(n - 1, n + 3))]
+        doc = [str(rnd.randint(0, 4)) for _ in range(rnd.randint(0, 3))] + item[rnd.randint(0, 2) :]
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(doc))
+            doc[at : at + 1] = rnd.choice([["z"], [], [doc[at], "y"]])
+        want = any(edit_distance(item[s : s + n], doc[a:b]) <= edits for s in range(len(item) - n + 1) for a in range(len(doc)) for b in range(a + 1, len(doc) + 1))
+        assert leaks.near_window(item, doc, n, edits) == want
