@@ -1,8 +1,8 @@
 """Problem 4: one group identifier for all records linked directly or through others.
 
 Method: vertices of degree one are stripped and chains of degree-two vertices are compressed by list ranking
-(pointer jumping over arcs), again and again; the reduced core is solved by spreading the smallest label with
-shortcuts; then labels are restored to the removed vertices, the last removed first.
+(pointer jumping over arcs), again and again; the reduced core is solved by large and small stars, without a round
+limit; then labels are restored to the removed vertices, the last removed first.
 
 Every vertex carries `low`, the smallest id among itself and what was folded into it, so the label of a group
 is its smallest id. Nothing is collected: the driver only reads counts. Degrees and smallest labels are aggregated
@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.common import materialize
+from lattica.operators.graph import smallest_labels
 
 MAX_ROUNDS = 40
-CORE_ROUNDS = 60
 
 
 def undirected(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -103,23 +103,12 @@ def compress_chains(edges: DataFrame, low: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def solve_core(edges: DataFrame, low: DataFrame) -> DataFrame:
-    """Label (id, label) of every vertex of `edges`: the smallest id spreads along edges, with shortcuts."""
-    arcs = materialize(both_ways(edges), "core")
-    lab = materialize(arcs.select(F.col("x").alias("id")).distinct().select("id", F.col("id").alias("c")), "labels")
-    for _ in range(CORE_ROUNDS):
-        near = arcs.withColumnRenamed("y", "id").join(lab, "id").groupBy(F.col("x").alias("id")).agg(F.min("c").alias("n"))
-        hook = lab.join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "n").alias("c"))
-        # shortcut: a vertex takes the label of its label
-        up = hook.select(F.col("id").alias("c"), F.col("c").alias("c2"))
-        new = hook.join(up, "c", "left").select("id", "old", F.coalesce("c2", "c").alias("c"))
-        new = materialize(new, "labels")
-        lab = new.select("id", "c")
-        if not new.filter("old <> c").limit(1).count():
-            break
-    else:
-        raise RuntimeError("the core did not settle")
-    best = lab.withColumnRenamed("c", "root").join(low, "id").groupBy("root").agg(F.min("low").alias("label"))
-    return lab.withColumnRenamed("c", "root").join(best, "root").select("id", "label")
+    """Label (id, label) of every vertex of `edges`, by large and small stars, which settle in logarithmic rounds."""
+    ids = both_ways(edges).select(F.col("x").alias("id")).distinct()
+    hangs = smallest_labels(edges).select(F.col("v").alias("id"), "m")
+    lab = materialize(ids.join(hangs, "id", "left").select("id", F.coalesce("m", "id").alias("root")), "labels")
+    best = lab.join(low, "id").groupBy("root").agg(F.min("low").alias("label"))
+    return lab.join(best, "root").select("id", "label")
 
 
 def components(edges: DataFrame) -> DataFrame:

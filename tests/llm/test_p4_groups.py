@@ -46,3 +46,16 @@ def test_only_confirmed_pairs_of_known_records(spark):
     r = spark.createDataFrame([(i, "n") for i in (1, 1, 2, 3, 4, 5, 6, 7, 8)], "entity_id long, canonical_name string")
     assert sorted(tuple(x) for x in groups.entity_groups(p, r).collect()) == [(1, 1), (2, 1), (6, 6), (8, 6)]
     assert groups.entity_groups(p.filter("false"), r).count() == 0
+
+
+def test_cores_of_any_diameter_settle(spark):
+    rnd = random.Random(5)
+    ids = list(range(1, 2801))
+    rnd.shuffle(ids)
+    # a band (each with the next two) and a ladder, with ids in no order
+    band = [(ids[i], ids[j]) for i in range(1600) for j in (i + 1, i + 2) if j < 1600]
+    ladder = [(ids[i], ids[i + 2]) for i in range(1600, 2798)] + [(ids[i], ids[i + 1]) for i in range(1600, 2800, 2)]
+    df = groups.undirected(spark.createDataFrame(band + ladder, "a long, b long"), "a", "b")
+    low = groups.both_ways(df).selectExpr("x AS id", "x AS low").distinct()
+    got = {r.id: r.label for r in groups.solve_core(df, low).collect()}
+    assert got == brute(band + ladder)
