@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.common import table
+from lattica.common import bounded, materialize, table
 from lattica.functions import text as T
 from lattica.operators import metrics as M
 from lattica.operators import retrieval as R
@@ -224,6 +224,28 @@ def m01(spark, d) -> DataFrame:
     return M.ranking_metrics(ranked.select("query", "key", "rank"), rel, 10)
 
 
+def _sentences(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, s): the sentences of each text, as their words."""
+    s = df.select(key, F.explode(F.split(text, r"(?<=[.!?])\s+")).alias("s"))
+    return s.select(key, F.array_join(T.words(F.col("s")), " ").alias("s")).filter("s <> ''")
+
+
+@BOOK.add("M01_M06_ranking_metrics_corpus")
+def m01c(spark, d) -> DataFrame:
+    """Every item with the BM25 ranking of its question over all documents, the first hundred of which are the run.
+
+    Relevant are the documents that hold a sentence of the item's passage, also those that the run has not; items
+    without a run or a relevant document get zeros. M01_M06_ranking_metrics is a small made-up pool for its SQL.
+    """
+    items = table(spark, d, "eval_items").select(F.col("item_id").alias("query"), "question", "passage").distinct()
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
+    run = R.top_k(R.bm25_scores(docs, "key", "text", items.select("query", "question").distinct(), "query", "question"), 100)
+    run = materialize(run.select("query", "key", "rank"), "run")
+    rel = _sentences(docs, "key", "text").join(bounded(_sentences(items, "query", "passage").distinct()), "s").select("query", "key").distinct()
+    got = M.ranking_metrics(run, materialize(rel, "relevant"), 10)
+    return items.select("query").distinct().join(got, "query", "left").fillna(0)
+
+
 @BOOK.add("M09_exact_and_partial", f"""SELECT item_id, lower(trim(question)) = lower(trim(canonical_answer)) AS exact, round(len(list_intersect(list_distinct({WORDS.format('passage')}), list_distinct({WORDS.format('canonical_answer')}))) / len(list_distinct({WORDS.format('canonical_answer')})), 6) AS partial
 FROM eval_items WHERE len({WORDS.format('canonical_answer')}) > 0""")
 def m09(spark, d) -> DataFrame:

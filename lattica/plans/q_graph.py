@@ -363,6 +363,18 @@ def j19(spark, d) -> DataFrame:
     return j.withColumn("k", F.row_number().over(Window.partitionBy("edge_id").orderBy("other"))).filter("k <= 3").select("edge_id", "other")
 
 
+@BOOK.add("J19_edge_context_all", f"""WITH {EDGES}, {INC}, ends AS (SELECT edge_id, src AS node FROM edges UNION SELECT edge_id, dst FROM edges),
+r AS (SELECT a.edge_id, a.node, b.edge_id AS other, row_number() OVER (PARTITION BY a.edge_id, a.node ORDER BY b.edge_id) AS k FROM ends a JOIN inc b ON a.node = b.node AND a.edge_id <> b.edge_id)
+SELECT edge_id, node, other FROM r WHERE k <= 3""")
+def j19a(spark, d) -> DataFrame:
+    """The first three other edges of both endpoints of every edge; J19_edge_context is the slice of one relation."""
+    inc = G.incident(_edges(spark, d)).select("node", "edge_id")
+    # only the first four edges of a node can be among the first three others
+    first = inc.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("edge_id"))).filter("k <= 4").select("node", F.col("edge_id").alias("other"))
+    j = inc.join(first, "node").filter("edge_id <> other")
+    return j.withColumn("k", F.row_number().over(Window.partitionBy("edge_id", "node").orderBy("other"))).filter("k <= 3").select("edge_id", "node", "other")
+
+
 @BOOK.add("J20_degree_with_zero", f"WITH {NODES}, {EDGES}, o AS (SELECT src, count(*) AS c FROM edges GROUP BY src) SELECT node_id, coalesce(c, 0) AS out_degree FROM nodes LEFT JOIN o ON node_id = src")
 def j20(spark, d) -> DataFrame:
     o = _edges(spark, d).groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("c"))

@@ -92,3 +92,16 @@ def test_tie_ranks(spark):
     v = spark.createDataFrame([("g", 1.0), ("g", 2.0), ("g", 2.0), ("g", 3.0)], "g string, v double")
     assert sorted(r.r for r in M.tie_ranks(v, "v", "r", ["g"]).collect()) == [1.0, 2.5, 2.5, 4.0]
     assert spark.range(1).select(*[c.isNull().alias(n) for c, n in zip(M.wilson(F.lit(0), F.lit(0)), "ab")]).first() == (True, True)
+
+
+def test_ranking_metrics_take_every_item_and_all_documents(spark, tmp_path):
+    from lattica.plans import registry
+
+    items = [(11, "where is whey dried", "Whey is dried in Lodi. It costs 3.5 euros."), (12, "who sells husks", "Nobody knows."), (13, "zzz", "Husks are sold by Anna."), (14, None, None)]
+    docs = [(1, "Whey whey whey, dried where? Whey is where it is."), (2, "A report. Whey is dried in Lodi! The end."), (3, "Husks are sold by Anna."), (4, None)]
+    spark.createDataFrame(items, "item_id long, question string, passage string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["query"]: r for r in registry.queries()["M01_M06_ranking_metrics_corpus"](spark, str(tmp_path)).collect()}
+    assert set(got) == {11, 12, 13, 14}
+    assert (got[11].hit, got[11].precision, got[11].recall, got[11].rr, got[11].ap) == (1, 0.5, 1.0, 0.5, 0.5)
+    assert all(got[k].hit == 0 and got[k].recall == 0 for k in (12, 13, 14))
