@@ -2,14 +2,19 @@
 
 Method: count-min prefilter and exact grouping. A window of `window` characters stands for its anchor, the
 smallest hash among the `gram`-character pieces inside it; equal windows have equal anchors, so the count of an
-anchor is at least that of every window it stands for. Each partition adds its anchors (once for each document)
-to a small sketch of saturating counters; the merged sketches overestimate, never under. A second pass keeps
-only stretches of windows whose anchor the sketch counts twice or more, and groups them exactly:
+anchor is at least that of every window it stands for. Each partition counts its anchors (once for each document);
+the merged sketch overestimates, never under. A second pass keeps only stretches of windows whose anchor the sketch
+counts twice or more, and groups them exactly:
 
 * a stretch (all neighbouring windows with one anchor) whose whole text occurs in two documents is shared;
 * of the other stretches of an anchor, single windows are grouped by their text; a stretch text seen in many
   documents goes into that once, so a line copied into a third of all documents costs its contexts only.
 
+The sketch follows the counted characters of the table (CELLS_EACH cells a row for each anchor to be expected), so
+that a few per cent of the anchors pass that occur in one document only, whatever the size. Up to BROADCAST_BYTES
+(see sieve) it is sent to the tasks, which drop the other stretches at once; beyond, its blocks stay where they are,
+and the stretches meet the repeated anchors in a shuffled join.
+
 No pairs are built, nothing is sampled or capped. Texts are compared by 128-bit hashes of the exact characters.
 
 Defined results: null texts and texts shorter than a window have no span; repeats of a row (equal doc_id) are one
@@ -27,12 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.common import materialize
+from lattica.llm import sieve
+from lattica.llm.sieve import mix
 
 WINDOW = 200
 GRAM = 100
-SKETCH_LOG2 = 24
-DEPTH = 2
-BLOCK_LOG2 = 18
+CELLS_EACH = 4.0
 SLICE_CHARS = 1 << 20
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -41,12 +46,6 @@ _RNG = np.random.default_rng(20240901)
 LETTERS = _RNG.integers(1, 1 << 63, size=1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 class Powers:
     """Powers of the base and of its inverse modulo 2^64, as long as needed."""
 
@@ -135,146 +134,103 @@ def anchored(starts: np.ndarray, text: str, window: int, gram: int) -> tuple[np.
     return a[cut], first, n, part[first], sums
 
 
-def cells(anchors: np.ndarray, log2: int) -> list[np.ndarray]:
-    """The cell of each anchor in each row of the sketch."""
-    out = []
-    for d in range(DEPTH):
-        out.append((mix(anchors + np.uint64(d + 1)) >> np.uint64(64 - log2)) + np.uint64(d << log2))
-    return out
+def anchors_of(pdf: pd.DataFrame, window: int, gram: int) -> Iterator[np.ndarray]:
+    """The anchors of the documents of a batch, once for each document."""
+    for docs, _, starts, text in pieces(pdf.doc_id.to_numpy(), pdf.text.tolist(), window):
+        anchor, _, _, part, _ = anchored(starts, text, window, gram)
+        order = np.lexsort((anchor, docs[part]))
+        a, d = anchor[order], docs[part][order]
+        yield a[np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])][: len(a)]]
 
 
-def sketch(documents: DataFrame, window: int, gram: int, log2: int) -> np.ndarray:
-    """Bits of the cells counted twice or more, from the merged sketches of the partitions.
+def expected_anchors(documents: DataFrame, window: int, gram: int) -> int:
+    """Anchors to be expected from the counted windows: the smallest of m hashes changes about twice in m + 1 steps."""
+    n = documents.agg(F.sum(F.length("text") - (window - 1))).first()[0] or 0
+    return int(n * 2 / (window - gram + 2)) + 1
 
-    A sketch holds two bits for each cell (once, twice or more). It travels in blocks, each merged by one task.
-    """
-    block = 1 << BLOCK_LOG2
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = np.zeros(DEPTH << log2, dtype=np.uint8)
-        for pdf in batches:
-            for docs, _, starts, text in pieces(pdf.doc_id.to_numpy(), pdf.text.tolist(), window):
-                anchor, _, _, part, _ = anchored(starts, text, window, gram)
-                if not len(anchor):
-                    continue
-                # once for each document
-                order = np.lexsort((anchor, docs[part]))
-                a, d = anchor[order], docs[part][order]
-                a = a[np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])]]
-                for c in cells(a, log2):
-                    i, n = np.unique(c.astype(np.int64), return_counts=True)
-                    count[i] = np.minimum(2, count[i] + np.minimum(n, 2)).astype(np.uint8)
-        for b in range(0, len(count), block):
-            c = count[b : b + block]
-            if c.any():
-                yield pd.DataFrame({"block": [b // block], "once": [np.packbits(c >= 1).tobytes()], "twice": [np.packbits(c >= 2).tobytes()]})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        once = np.zeros(block // 8, np.uint8)
-        twice = np.zeros(block // 8, np.uint8)
-        for o, t in zip(pdf.once, pdf.twice):
-            o = np.frombuffer(o, np.uint8)
-            twice = twice | np.frombuffer(t, np.uint8) | (once & o)
-            once = once | o
-        return pd.DataFrame({"block": pdf.block[:1].tolist(), "twice": [twice.tobytes()]})
-
-    bits = np.zeros((DEPTH << log2) // 8, np.uint8)
-    rows = documents.mapInPandas(run, "block int, once binary, twice binary").groupBy("block").applyInPandas(merge, "block int, twice binary").collect()
-    for r in rows:
-        bits[r.block * block // 8 : (r.block + 1) * block // 8] = np.frombuffer(r.twice, np.uint8)
-    return bits
-
-
-def repeated(anchors: np.ndarray, bits: np.ndarray, log2: int) -> np.ndarray:
-    ok = np.ones(len(anchors), bool)
-    for c in cells(anchors, log2):
-        ok &= (bits[(c >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (c & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
-    return ok
-
-
-def candidates(documents: DataFrame, bits: np.ndarray, window: int, gram: int, log2: int) -> DataFrame:
-    """(anchor, h1, h2, n, doc_id, at, text): stretches whose anchor may be repeated; h1, h2: 128-bit hash of the text."""
-    held = documents.sparkSession.sparkContext.broadcast(bits)
+def stretch_rows(pdf: pd.DataFrame, window: int, gram: int, keep_if) -> Iterator[pd.DataFrame]:
+    """(anchor, h1, h2, n, doc_id, at) of the stretches of a batch; h1, h2: 128-bit hash of the text."""
+    for docs, offs, starts, text in pieces(pdf.doc_id.to_numpy(), pdf.text.tolist(), window):
+        anchor, first, n, part, sums = anchored(starts, text, window, gram)
+        keep = keep_if(anchor)
+        if not keep.any():
+            continue
+        anchor, first, n, part = anchor[keep], first[keep], n[keep], part[keep]
+        h1, h2 = text_hash(sums, first, n + window - 1)
+        yield pd.DataFrame({"anchor": anchor.view(np.int64), "h1": h1, "h2": h2, "n": n.astype(np.int32), "doc_id": docs[part], "at": offs[part] + first - starts[part]})
+
+
+def text_hash(sums: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of pieces, as two longs."""
+    half = size // 2
+    h2 = mix(piece_hash(sums, at, half) * np.uint64(3) + piece_hash(sums, at + half, size - half))
+    return piece_hash(sums, at, size).view(np.int64), h2.view(np.int64)
+
+
+STRETCH = "anchor long, h1 long, h2 long, n int, doc_id long, at long"
+
+
+def candidates(documents: DataFrame, window: int, gram: int, cells_each: float = CELLS_EACH) -> DataFrame:
+    """(anchor, h1, h2, n, doc_id, at): stretches whose anchor the sketch counts twice or more."""
+    blocks = sieve.blocks_for(expected_anchors(documents, window, gram), cells_each)
+    parts = sieve.parts_of(documents, lambda pdf: anchors_of(pdf, window, gram), blocks)
+    if sieve.size_of(blocks) > sieve.BROADCAST_BYTES:
+        every = documents.mapInPandas(lambda batches: (x for pdf in batches for x in stretch_rows(pdf, window, gram, lambda a: np.ones(len(a), bool))), STRETCH)
+        return every.join(sieve.repeated_keys(parts).withColumnRenamed("key", "anchor"), "anchor", "left_semi")
+    held = documents.sparkSession.sparkContext.broadcast(sieve.merged(parts, blocks, 2))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = held.value
         for pdf in batches:
-            for docs, offs, starts, text in pieces(pdf.doc_id.to_numpy(), pdf.text.tolist(), window):
-                anchor, first, n, part, sums = anchored(starts, text, window, gram)
-                keep = repeated(anchor, bits, log2)
-                if not keep.any():
-                    continue
-                anchor, first, n, part = anchor[keep], first[keep], n[keep], part[keep]
-                size = n + window - 1
-                half = size // 2
-                h1 = piece_hash(sums, first, size)
-                h2 = mix(piece_hash(sums, first, half) * np.uint64(3) + piece_hash(sums, first + half, size - half))
-                yield pd.DataFrame(
-                    {
-                        "anchor": anchor.view(np.int64),
-                        "h1": h1.view(np.int64),
-                        "h2": h2.view(np.int64),
-                        "n": n.astype(np.int32),
-                        "doc_id": docs[part],
-                        "at": offs[part] + first - starts[part],
-                        "text": [text[f : f + s] for f, s in zip(first.tolist(), size.tolist())],
-                    }
-                )
-
-    return documents.mapInPandas(run, "anchor long, h1 long, h2 long, n int, doc_id long, at long, text string")
-
-
-def single_windows(contents: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, anchor, h1, h2, i): the windows of each stretch text, with a 128-bit hash of each."""
+            yield from stretch_rows(pdf, window, gram, lambda a: sieve.passes(a, bits, blocks))
+
+    return documents.mapInPandas(run, STRETCH)
+
+
+SLICE_WINDOWS = 1 << 20
+
+
+def single_windows(texts: DataFrame, window: int) -> DataFrame:
+    """(w1, w2, h1, h2, lo, hi, i): the windows of the stretches `reps` of each text, with a 128-bit hash of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = pdf.text.tolist()
-            for a in range(0, len(texts), 2000):
-                lens = np.array([len(t) for t in texts[a : a + 2000]], dtype=np.int64)
-                codes = np.frombuffer("".join(texts[a : a + 2000]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            for text, reps in zip(pdf.text, pdf.reps):
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
                 sums = prefix_sums(codes)
-                n = lens - window + 1
-                row = np.repeat(np.arange(len(lens)), n)
-                i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                at = (np.cumsum(lens) - lens)[row] + i
-                half = window // 2
-                w2 = mix(piece_hash(sums, at, half) * np.uint64(3) + piece_hash(sums, at + half, window - half))
-                part = pdf.iloc[a : a + 2000].iloc[row]
-                yield pd.DataFrame(
-                    {
-                        "w1": piece_hash(sums, at, window).view(np.int64),
-                        "w2": w2.view(np.int64),
-                        "anchor": part.anchor.to_numpy(),
-                        "h1": part.h1.to_numpy(),
-                        "h2": part.h2.to_numpy(),
-                        "lo": part.lo.to_numpy(),
-                        "hi": part.hi.to_numpy(),
-                        "i": i.astype(np.int32),
-                    }
-                )
-
-    return contents.select("anchor", "h1", "h2", "lo", "hi", "text").mapInPandas(run, "w1 long, w2 long, anchor long, h1 long, h2 long, lo long, hi long, i int")
-
-
-def shared_intervals(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, log2: int = SKETCH_LOG2) -> DataFrame:
+                at, n, h1, h2, lo, hi = (np.array([r[k] for r in reps], dtype=np.int64) for k in ("at", "n", "h1", "h2", "lo", "hi"))
+                for s in range(0, int(n.sum()), SLICE_WINDOWS):
+                    w = np.arange(s, min(s + SLICE_WINDOWS, int(n.sum())))
+                    row = np.searchsorted(np.cumsum(n), w, side="right")
+                    i = w - (np.cumsum(n) - n)[row]
+                    w1, w2 = text_hash(sums, at[row] + i, window)
+                    yield pd.DataFrame({"w1": w1, "w2": w2, "h1": h1[row], "h2": h2[row], "lo": lo[row], "hi": hi[row], "i": i.astype(np.int32)})
+
+    return texts.select("text", "reps").mapInPandas(run, "w1 long, w2 long, h1 long, h2 long, lo long, hi long, i int")
+
+
+def shared_intervals(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, cells_each: float = CELLS_EACH) -> DataFrame:
     """(doc_id, s, e): intervals of windows that occur in another document; they may overlap."""
     docs = documents.select("doc_id", "text").filter(F.length("text") >= window)
-    cand = materialize(candidates(docs, sketch(docs, window, gram, log2), window, gram, log2), "stretches")
-    key = ["anchor", "h1", "h2"]
-    texts = cand.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("text").alias("text"))
-    # texts of an anchor that only one text holds in one document share nothing
-    texts = materialize(texts, "texts")
+    cand = materialize(candidates(docs, window, gram, cells_each), "stretches")
+    # one row for each text, with the first place where it stands; equal texts have equal anchors
+    key = ["h1", "h2"]
+    texts = cand.groupBy("anchor", *key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("n").alias("n"), F.min(F.struct("doc_id", "at")).alias("p"))
+    texts = materialize(texts.select("anchor", *key, "lo", "hi", "n", F.col("p.doc_id").alias("doc_id"), F.col("p.at").alias("at")), "texts")
+    # texts of an anchor that only one text holds, or only one document, share nothing more
     per = texts.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("lo").alias("a"), F.max("hi").alias("b"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("single"))
-    open_ = per.filter("c > 1 AND a <> b AND single = 1").select("anchor")
-    wins = materialize(single_windows(texts.join(open_, "anchor"), window), "windows")
+    reps = texts.join(per.filter("c > 1 AND a <> b AND single = 1").select("anchor"), "anchor", "left_semi")
+    own = reps.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "h1", "h2", "lo", "hi")).alias("reps"))
+    wins = materialize(single_windows(docs.join(own, "doc_id"), window), "windows")
     many = wins.groupBy("w1", "w2").agg(F.min("lo").alias("l"), F.max("hi").alias("u")).filter("l <> u").select("w1", "w2")
     hit = wins.filter("lo = hi").join(many, ["w1", "w2"], "left_semi").select(*key, "i").distinct()
     runs = hit.withColumn("g", F.col("i") - F.row_number().over(Window.partitionBy(*key).orderBy("i")))
     some = runs.groupBy(*key, "g").agg(F.min("i").alias("a"), F.max("i").alias("b")).select(*key, "a", "b")
-    whole = texts.filter("lo <> hi").select(*key, F.lit(0).alias("a"), (F.length("text") - window).alias("b"))
-    places = cand.select(*key, "doc_id", "at")
-    return places.join(whole.unionByName(some), key).select("doc_id", (F.col("at") + F.col("a")).alias("s"), (F.col("at") + F.col("b") + window).alias("e"))
+    # a text in two documents is shared whole; of one that stands in a single document, the windows found
+    whole = texts.filter("lo <> hi").select(*key, F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))
+    got = cand.select(*key, "doc_id", "at").join(whole.unionByName(some), key)
+    return got.select("doc_id", (F.col("at") + F.col("a")).alias("s"), (F.col("at") + F.col("b") + window).alias("e"))
 
 
 def stretches(intervals: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lattica.llm import spans
+from lattica.llm import sieve, spans
 
 
 def brute(docs, w):
@@ -65,3 +65,30 @@ def test_shares_and_empty(spark):
     assert spans.found(df.filter("false"), 20, 10).count() == 0
     rows = {r.doc_id: r for r in spans.shares(df, 200).collect()}
     assert rows[3].share == 0 and rows[1].n_chars == 75
+
+
+def test_a_sketch_too_large_to_send_gives_the_same(spark, monkeypatch):
+    monkeypatch.setattr(sieve, "BROADCAST_BYTES", 0)
+    docs = random_docs(5, "abcdefghij")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in spans.found(df, 20, 10).collect()} == brute(docs, 20)
+
+
+def test_sketch_loses_no_repeat_and_lets_few_others_pass(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(sieve, "BLOCK_LOG2", 10)
+    rng = np.random.default_rng(1)
+    once = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    twice = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    keys = np.r_[once, twice, twice]
+    blocks = sieve.blocks_for(len(keys), spans.CELLS_EACH)
+    part = lambda k: {"keys": [k.tobytes()]}
+    assert blocks > 50 and part(once)["keys"]
+    # cells of each block, counted up to two
+    count = np.zeros((blocks, sieve.DEPTH << sieve.BLOCK_LOG2), np.int64)
+    for c in sieve.cells(keys):
+        np.add.at(count, (sieve.block_of(keys, blocks), c), 1)
+    bits = np.packbits((count >= 2).ravel())
+    assert sieve.passes(twice, bits, blocks).all()
+    assert sieve.passes(once, bits, blocks).mean() < 0.08
