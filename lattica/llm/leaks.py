@@ -1,16 +1,22 @@
 """Problem 7: held-out test material inside training text.
 
-Method: windows of `window` words are embedded by the CGK random walk, which maps edit distance to Hamming
-distance: the walk reads a word, writes its hash, and steps on or stays as a random bit of that word and step
+Method: windows of the size of an item's field are embedded by the CGK random walk, which maps edit distance to
+Hamming distance: the walk reads a word, writes its hash, and steps on or stays as a random bit of that word and step
 says. Each repetition samples positions of the embedding; two windows that agree there meet in an equality
 join. The number of repetitions follows from the target recall and the edits allowed. Every candidate is then
-verified exactly: a common run of `window` words, or an edit distance of at most `max_edits` words.
+verified exactly.
 
-Both sides take every window of every text. A bitmap of the item keys (its size is a parameter, so its
-broadcast is bounded) drops document windows that meet no item; it can only let too many pass.
+Sizes: a field of at least 25 words leaks if a window of 25 of its words stands in the document; a shorter one is a
+window itself and must stand there whole. Edits are in proportion, two for 25 words: so the near search has windows of
+25, 13 and 8 words within 2, 1 and 0 edits (NEAR), the exact one windows of 25 (EXACT). Fields of fewer than
+8 words are never near leaks. One walk serves the windows of all sizes that begin at a word.
+
+Both sides take every window of every text. A bitmap of the item keys, sized by their counted number (see sieve), drops
+document windows that meet no item; it can only let too many pass. Where it would pass BROADCAST_BYTES, the
+keys of the documents meet those of the items in a shuffled join instead.
 
 Defined results: null and short texts have no window; repeated items or documents count once; an item field
-below `window` words leaks nothing; extra columns are ignored. Words are longest runs of letters and digits in
+below the smallest window leaks nothing; extra columns are ignored. Words are longest runs of letters and digits in
 lower case. A text that a third of all documents quotes gives its pairs (they are the result), each found once
 for each document because the keys of a document are made distinct before the join.
 """
@@ -20,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,14 +35,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.common import materialize
+from lattica.llm import sieve
+
+
+class Size(NamedTuple):
+    """Windows of `words` words within `edits` edits, met on `sampled` positions of their embedding."""
+
+    words: int
+    edits: int
+    sampled: int
+
 
 WINDOW = 25
-SAMPLED = 12
-SAMPLED_ONE_EDIT = 24
+EXACT = (Size(25, 0, 12),)
+NEAR = (Size(25, 2, 10), Size(13, 1, 6), Size(8, 0, 6))
 RECALL = 0.95
-BITMAP_LOG2 = 26
-BITMAP_LOG2_NEAR = 28
-BLOCK_LOG2 = 19
+CELLS_EACH = (16.0, 8.0, 4.0)
 SLICE_WORDS = 1 << 18
 WORDS = re.compile(r"[^\W_]+")
 KNOWN_LIMIT = 1_000_000
@@ -61,42 +76,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def repetitions(max_edits: int, recall: float = RECALL, sampled: int = SAMPLED, window: int = WINDOW) -> int:
-    """Repetitions after which a window within max_edits meets its partner with probability `recall`.
+def repetitions(size: Size, recall: float = RECALL) -> int:
+    """Repetitions after which a window within the edits meets its partner with probability `recall`.
 
     One edit costs the walk a few positions of its 3 x window steps until both walks meet again (four here).
     """
-    if max_edits == 0:
+    if size.edits == 0:
         return 1
-    same = max(0.05, 1 - 4.0 * max_edits / (2 * window)) ** sampled
+    same = max(0.05, 1 - 4.0 * size.edits / (2 * size.words)) ** size.sampled
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
 
-def embedding_keys(h: np.ndarray, starts: np.ndarray, rep: int, window: int = WINDOW, sampled: int = SAMPLED) -> np.ndarray:
-    """The key of each window: sampled positions of its CGK embedding. h: word hashes, starts: first words."""
-    steps = 3 * window
-    rng = np.random.default_rng(1000 + rep)
-    # the walk is at word i/2 on average after i steps; positions beyond the window's end are padding
-    chosen = np.sort(rng.choice(2 * window, size=sampled, replace=False))
+def embedding_keys(h: np.ndarray, starts: np.ndarray, rep: int, sizes: list[Size]) -> list[np.ndarray]:
+    """The keys of the windows of each size: sampled positions of their CGK embeddings. h: word hashes, starts: first words."""
+    # the walk is at word j/2 on average after j steps; positions beyond a window's end are padding
+    want = [set(np.random.default_rng(1000 + 100 * s.words + rep).choice(2 * s.words, size=s.sampled, replace=False).tolist()) for s in sizes]
     bits = mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (rep + 1) % (1 << 64)))
     bits2 = mix(bits + np.uint64(1))
-    pos = starts.astype(np.int64)
-    end = pos + window
-    key = np.zeros(len(starts), dtype=np.uint64)
-    padded = np.r_[h, np.zeros(1, np.uint64)]
     last = len(h)
-    want = set(chosen.tolist())
-    for j in range(min(steps, int(chosen[-1]) + 1)):
-        if j in want:
-            inside = pos < end
-            c = padded[np.where(inside, np.minimum(pos, last), last)]
-            key = (key ^ c) * np.uint64(0x9DDFEA08EB382D69)
-            key ^= key >> np.uint64(29)
-        b = bits if j < 64 else bits2
-        step = (b[np.minimum(pos, last - 1)] >> np.uint64(j & 63)) & np.uint64(1)
-        pos += step.astype(np.int64)
+    padded = np.r_[h, np.zeros(1, np.uint64)]
+    pos = starts.astype(np.int64)
+    keys = [np.full(len(starts), s.words, np.uint64) for s in sizes]
+    for j in range(max(map(max, want)) + 1):
+        for k, (s, w) in enumerate(zip(sizes, want)):
+            if j in w:
+                c = padded.take(np.where(pos < starts + s.words, pos, last), mode="clip")
+                key = (keys[k] ^ c) * np.uint64(0x9DDFEA08EB382D69)
+                keys[k] = key ^ (key >> np.uint64(29))
+        step = ((bits if j < 64 else bits2) >> np.uint64(j & 63) & np.uint64(1)).astype(np.int64)
+        pos += step.take(pos, mode="clip")
     # keys of different repetitions never meet
-    return mix(key + np.uint64(rep))
+    return [mix(k + np.uint64(rep)) for k in keys]
 
 
 def slices(counts: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -125,171 +135,219 @@ def item_fields(items: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter(F.col("text").isNotNull()).distinct()
 
 
-def item_keys(fields: DataFrame, reps: int, window: int = WINDOW, sampled: int = SAMPLED) -> DataFrame:
-    """(key, item_id, field), distinct."""
+def fitting(n_words: int, sizes: tuple[Size, ...]) -> int:
+    """Which of the sizes, largest first, serves a field of so many words; -1 if none."""
+    return next((k for k, s in enumerate(sizes) if n_words >= s.words), -1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
-        for pdf in batches:
-            ws = [words(t) for t in pdf.text]
-            lens = np.array([len(w) for w in ws], dtype=np.int64)
-            ids, fs = pdf.item_id.to_numpy(), pdf.field.to_numpy()
-            for a, b in slices(lens, SLICE_WORDS):
-                h = np.array([hashes[w] for t in ws[a:b] for w in t], dtype=np.uint64)
-                starts, text = window_starts(lens[a:b], window)
-                if not len(starts):
-                    continue
-                for rep in range(reps):
-                    key = embedding_keys(h, starts, rep, window, sampled)
-                    yield pd.DataFrame({"key": key.view(np.int64), "item_id": ids[a + text], "field": fs[a + text]})
 
-    return fields.mapInPandas(run, "key long, item_id long, field int").distinct()
+def edits_of(n_words: int, sizes: tuple[Size, ...]) -> int:
+    """Word edits allowed in a window of n_words, in proportion to those of the largest size."""
+    return sizes[0].edits * n_words // sizes[0].words
 
 
-def bitmap(keys: DataFrame, log2: int = BITMAP_LOG2) -> np.ndarray:
-    """A bitmap of two probes for each key, merged from the partitions' blocks; its size does not follow the data."""
-    block = 1 << BLOCK_LOG2
+def item_keys(fields: DataFrame, sizes: tuple[Size, ...], recall: float = RECALL) -> DataFrame:
+    """(key, item_id, field, start), distinct: the keys of every window of every field, in the largest size that fits it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blocks: dict[int, np.ndarray] = {}
+        hashes = Hashes()
         for pdf in batches:
-            k = pdf["key"].to_numpy().view(np.uint64)
-            for probe in probes(k, log2):
-                for n in np.unique(probe >> np.uint64(BLOCK_LOG2)):
-                    bits = blocks.setdefault(int(n), np.zeros(block, dtype=bool))
-                    bits[(probe[probe >> np.uint64(BLOCK_LOG2) == n] & np.uint64(block - 1)).astype(np.int64)] = True
-        yield pd.DataFrame({"block": list(blocks), "bits": [np.packbits(b).tobytes() for b in blocks.values()]})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in pdf.bits])
-        return pd.DataFrame({"block": pdf.block[:1].tolist(), "bits": [bits.tobytes()]})
-
-    out = np.zeros((1 << log2) // 8, dtype=np.uint8)
-    rows = keys.select("key").mapInPandas(run, "block int, bits binary").groupBy("block").applyInPandas(merge, "block int, bits binary").collect()
-    for r in rows:
-        out[r.block * block // 8 : (r.block + 1) * block // 8] = np.frombuffer(r.bits, dtype=np.uint8)
-    return out
-
-
-def probes(keys: np.ndarray, log2: int) -> tuple[np.ndarray, np.ndarray]:
-    return keys >> np.uint64(64 - log2), (mix(keys) >> np.uint64(64 - log2))
-
-
-def in_bitmap(keys: np.ndarray, bits: np.ndarray, log2: int) -> np.ndarray:
-    ok = np.ones(len(keys), dtype=bool)
-    for p in probes(keys, log2):
-        ok &= (bits[(p >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (p & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
-    return ok
-
-
-def stretches(documents: DataFrame, bits: np.ndarray, reps: int, window: int = WINDOW, slack: int = 0, log2: int = BITMAP_LOG2, sampled: int = SAMPLED) -> DataFrame:
-    """(doc_id, stretch, keys, text): runs of document windows that may meet an item, with their words."""
-    held = documents.sparkSession.sparkContext.broadcast(bits)
+            ws = [words(t) for t in pdf.text]
+            kind = np.array([fitting(len(w), sizes) for w in ws], dtype=np.int64)
+            for k, size in enumerate(sizes):
+                own = np.flatnonzero(kind == k)
+                lens = np.array([len(ws[i]) for i in own], dtype=np.int64)
+                ids, fs = pdf.item_id.to_numpy()[own], pdf.field.to_numpy()[own]
+                for a, b in slices(lens, SLICE_WORDS):
+                    h = np.array([hashes[w] for i in own[a:b] for w in ws[i]], dtype=np.uint64)
+                    starts, text = window_starts(lens[a:b], size.words)
+                    first = np.cumsum(lens[a:b]) - lens[a:b]
+                    for rep in range(repetitions(size, recall)):
+                        key = embedding_keys(h, starts, rep, [size])[0]
+                        yield pd.DataFrame({"key": key.view(np.int64), "item_id": ids[a + text], "field": fs[a + text], "start": starts - first[text]})
+
+    return fields.mapInPandas(run, "key long, item_id long, field int, start long").distinct()
+
+
+def document_windows(documents: DataFrame, sizes: tuple[Size, ...], recall: float, take, schema: str) -> DataFrame:
+    """Rows that `take` makes of the windows of a slice of documents.
+
+    take(ids, marks, words, lens, starts, text, keys): documents of the slice and their marks, all words laid end to
+    end, words of each document, first word and document of each window, and for each repetition and size the keys with
+    the windows that have them.
+    """
+    reps = [repetitions(s, recall) for s in sizes]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
-        bits = held.value
         for pdf in batches:
-            ids, texts = pdf.doc_id.to_numpy(), pdf.text.tolist()
-            sizes = np.array([len(t) if t else 0 for t in texts], dtype=np.int64)
-            for a, b in slices(sizes, SLICE_WORDS * 6):
+            ids, texts, marks = pdf.doc_id.to_numpy(), pdf.text.tolist(), pdf.marks.tolist()
+            chars = np.array([len(t) if t else 0 for t in texts], dtype=np.int64)
+            for a, b in slices(chars, SLICE_WORDS * 6):
                 ws = [words(t) for t in texts[a:b]]
                 lens = np.array([len(w) for w in ws], dtype=np.int64)
                 flat = [w for t in ws for w in t]
                 h = np.fromiter(map(hashes.__getitem__, flat), dtype=np.uint64, count=len(flat))
-                starts, text = window_starts(lens, window)
+                starts, text = window_starts(lens, sizes[-1].words)
                 if not len(starts):
                     continue
-                keys = [embedding_keys(h, starts, rep, window, sampled) for rep in range(reps)]
-                hits = [in_bitmap(k, bits, log2) for k in keys]
-                any_hit = np.flatnonzero(np.logical_or.reduce(hits))
-                if not len(any_hit):
-                    continue
-                cut = np.flatnonzero(np.r_[True, (np.diff(starts[any_hit]) > 1) | (np.diff(text[any_hit]) > 0)])
-                first = np.cumsum(lens) - lens
-                rows = []
-                for i, c in enumerate(cut):
-                    e = cut[i + 1] if i + 1 < len(cut) else len(any_hit)
-                    run_ = any_hit[c:e]
-                    t = int(text[run_[0]])
-                    lo = max(int(starts[run_[0]]) - slack, int(first[t]))
-                    hi = min(int(starts[run_[-1]]) + window + slack, int(first[t] + lens[t]))
-                    ks = np.unique(np.concatenate([k[run_][hit[run_]] for k, hit in zip(keys, hits)])).view(np.int64)
-                    rows.append((ids[a + t], int(starts[run_[0]] - first[t]), ks.tolist(), " ".join(flat[lo:hi])))
-                yield pd.DataFrame(rows, columns=["doc_id", "stretch", "keys", "text"])
-
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, stretch long, keys array<long>, text string")
-
-
-def common_run(a: list[str], b: list[str], n: int) -> bool:
-    """Whether a and b share n consecutive words."""
-    if len(a) < n or len(b) < n:
-        return False
-    have = {" ".join(a[i : i + n]) for i in range(len(a) - n + 1)}
-    return any(" ".join(b[i : i + n]) in have for i in range(len(b) - n + 1))
-
-
-def near_window(item: list[str], doc: list[str], n: int, edits: int) -> bool:
-    """Whether a window of n words of the item is within `edits` word edits of some stretch of the document.
-
-    Such a window holds a run of r = (n - edits) // (edits + 1) words at least that stands unchanged in the stretch, at
-    most `edits` words off the window's diagonal. So only windows over a common run are compared, and each only with
-    the words around that run's diagonal.
+                room = np.cumsum(lens)[text] - starts
+                fits = [None if k == len(sizes) - 1 else np.flatnonzero(room >= s.words) for k, s in enumerate(sizes)]
+
+                def keys() -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+                    for rep in range(max(reps)):
+                        on = [k for k in range(len(sizes)) if rep < reps[k]]
+                        for k, key in zip(on, embedding_keys(h, starts, rep, [sizes[k] for k in on])):
+                            yield (key if fits[k] is None else key[fits[k]]), fits[k]
+
+                yield from take(ids[a:b], marks[a:b], flat, lens, starts, text, keys())
+
+    if "marks" not in documents.columns:
+        documents = documents.select("doc_id", "text", F.lit(None).cast("array<long>").alias("marks"))
+    return documents.select("doc_id", "text", "marks").mapInPandas(run, schema)
+
+
+def stretches(documents: DataFrame, sizes: tuple[Size, ...], recall: float, held=None, blocks: int = 0) -> DataFrame:
+    """(doc_id, stretch, keys, ats, text): runs of document windows that may meet an item, with their words.
+
+    ats: the first words of the windows of the keys, counted in text.
+
+    Windows are kept by the bitmap `held`, or where it is None by the column `marks` (their places in the document).
+    """
+    # a field may be longer than its window, up to the largest size
+    slack = sizes[0].edits + (sizes[0].words if len(sizes) > 1 else 0)
+
+    def take(ids, marks, flat, lens, starts, text, keys):
+        first = np.cumsum(lens) - lens
+        if held is None:
+            some = [np.sort(np.asarray(m, dtype=np.int64)) + f for m, f in zip(marks, first)]
+            marked = np.isin(starts, np.concatenate(some))
+        bits = None if held is None else held.value
+        win, key = [], []
+        for k, at in keys:
+            ok = np.flatnonzero(sieve.passes(k, bits, blocks) if bits is not None else (marked if at is None else marked[at]))
+            win.append(ok if at is None else at[ok])
+            key.append(k[ok])
+        win, key = np.concatenate(win), np.concatenate(key)
+        if not len(win):
+            return
+        order = np.argsort(win, kind="stable")
+        win, key = win[order], key[order]
+        cut = np.flatnonzero(np.r_[True, (np.diff(starts[win]) > 1) | (np.diff(text[win]) > 0)])
+        rows = []
+        for c, e in zip(cut.tolist(), [*cut[1:].tolist(), len(win)]):
+            t = int(text[win[c]])
+            lo = max(int(starts[win[c]]) - slack, int(first[t]))
+            hi = min(int(starts[win[e - 1]]) + sizes[0].words + slack, int(first[t] + lens[t]))
+            rows.append((ids[t], int(starts[win[c]] - first[t]), key[c:e].view(np.int64).tolist(), (starts[win[c:e]] - lo).tolist(), " ".join(flat[lo:hi])))
+        yield pd.DataFrame(rows, columns=["doc_id", "stretch", "keys", "ats", "text"])
+
+    return document_windows(documents, sizes, recall, take, "doc_id long, stretch long, keys array<long>, ats array<long>, text string")
+
+
+def met_by_shuffle(documents: DataFrame, keys: DataFrame, sizes: tuple[Size, ...], recall: float) -> DataFrame:
+    """documents with `marks`, the windows whose key an item has, where the bitmap of the items is too large to send."""
+
+    def take(ids, marks, flat, lens, starts, text, keys):
+        first = np.cumsum(lens) - lens
+        for k, at in keys:
+            t = text if at is None else text[at]
+            yield pd.DataFrame({"key": k.view(np.int64), "doc_id": ids[t], "at": (starts if at is None else starts[at]) - first[t]})
+
+    every = document_windows(documents, sizes, recall, take, "key long, doc_id long, at long")
+    hit = every.join(keys.select("key").distinct(), "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("marks"))
+    return documents.select("doc_id", "text").join(hit, "doc_id")
+
+
+def within(seg: np.ndarray, n: np.ndarray, edits: np.ndarray, region: np.ndarray, most: int) -> np.ndarray:
+    """Whether the first n words of each row of seg are within `edits` edits of a stretch of its region.
+
+    Word i of seg stands against word i + most of the region, give or take `most`. reach[e, d] is the number of words
+    of seg, up to the last one read, that an alignment with e edits covers and that ends on diagonal d.
     """
-    r = max(1, (n - edits) // (edits + 1))
-    if len(item) < n or len(doc) < r:
-        return False
-    at: dict[tuple[str, ...], list[int]] = {}
-    for q in range(len(doc) - r + 1):
-        at.setdefault(tuple(doc[q : q + r]), []).append(q)
-    tried: set[tuple[int, int]] = set()
-    for p in range(len(item) - r + 1):
-        for q in at.get(tuple(item[p : p + r]), ()):
-            for s in range(max(0, p - n + r), min(p, len(item) - n) + 1):
-                if (s, q - p) not in tried:
-                    tried.add((s, q - p))
-                    lo = s + q - p - edits
-                    if near_stretch(item[s : s + n], doc[max(0, lo) : max(0, lo + n + 3 * edits)], edits):
-                        return True
-    return False
-
-
-def near_stretch(w: list[str], doc: list[str], edits: int) -> bool:
-    """Whether w is within `edits` word edits of some stretch of doc."""
-    prev = [0] * (len(doc) + 1)
-    for i, x in enumerate(w, 1):
-        cur = [i]
-        for j, y in enumerate(doc, 1):
-            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (x != y)))
-        prev = cur
-        if min(prev) > edits:
-            return False
-    return min(prev) <= edits
-
-
-def find(documents: DataFrame, items: DataFrame, window: int = WINDOW, max_edits: int = 0, recall: float = RECALL) -> DataFrame:
-    """(item_id, doc_id, field): each item field of which the document holds a window, within max_edits word edits."""
-    # one edit still allows many sampled positions, which keeps texts of one template apart
-    sampled = SAMPLED_ONE_EDIT if max_edits == 1 else SAMPLED
-    log2 = BITMAP_LOG2_NEAR if max_edits else BITMAP_LOG2
-    reps = repetitions(max_edits, recall, sampled, window)
+    rows = len(seg)
+    reach = np.zeros((most + 1, 2 * most + 1, rows), np.int16)
+    out = np.zeros(rows, bool)
+    for i in range(int(n.max()) if rows else 0):
+        new = np.zeros_like(reach)
+        for e in range(most + 1):
+            for d in range(2 * most + 1):
+                best = np.where(seg[:, i] == region[:, i + d], reach[e, d] + 1, 0)
+                if e:
+                    best = np.maximum(best, reach[e - 1, d] + 1)  # another word
+                    if d < 2 * most:
+                        best = np.maximum(best, reach[e - 1, d + 1] + 1)  # a word lost
+                    if d:
+                        best = np.maximum(best, new[e - 1, d - 1])  # a word more
+                new[e, d] = best
+        reach = new
+        full = reach.max(axis=1) > i
+        out |= (n == i + 1) & full[np.minimum(edits, most), np.arange(rows)]
+    return out
+
+
+def verified(items: list[list[str]], docs: list[list[str]], starts: list, ats: list, sizes: tuple[Size, ...]) -> np.ndarray:
+    """For each pair of an item field and a stretch, met at the windows starts and ats, whether one of them holds."""
+    longest, most = sizes[0].words, sizes[0].edits
+    owner, seg, region, size = [], [], [], []
+    for k, (item, doc, ss, qs) in enumerate(zip(items, docs, starts, ats)):
+        code: dict[str, int] = {}
+        x = np.array([code.setdefault(w, len(code)) for w in item], dtype=np.int32)
+        y = np.full(len(doc) + 2 * (longest + most), -1, np.int32)
+        y[longest + most : longest + most + len(doc)] = [code.get(w, -1) for w in doc]
+        ss, qs = np.asarray(ss, dtype=np.int64), np.asarray(qs, dtype=np.int64)
+        n = min(len(item), longest)
+        if len(item) < longest:
+            qs = np.unique(qs - ss)  # the whole field, wherever its windows were met
+            ss = np.zeros(len(qs), np.int64)
+        ok = (qs >= -longest) & (qs <= len(doc))
+        ss, qs = ss[ok], qs[ok]
+        part = np.full((len(ss), longest), -2, np.int32)
+        part[:, :n] = x[ss[:, None] + np.arange(n)]
+        seg.append(part)
+        region.append(y[qs[:, None] + longest + np.arange(longest + 2 * most)])
+        owner.append(np.full(len(ss), k))
+        size.append(np.full(len(ss), n))
+    out = np.zeros(len(items), bool)
+    if owner:
+        o, n = np.concatenate(owner), np.concatenate(size)
+        edits = np.array([edits_of(k, sizes) for k in range(longest + 1)])[n]
+        out[o[within(np.concatenate(seg), n, edits, np.concatenate(region), most)]] = True
+    return out
+
+
+def find(documents: DataFrame, items: DataFrame, sizes: tuple[Size, ...] = EXACT, recall: float = RECALL) -> DataFrame:
+    """(item_id, doc_id, field): each item field of which the document holds a window, within the edits of its size."""
     fields = materialize(item_fields(items), "fields")
-    keys = materialize(item_keys(fields, reps, window, sampled), "itemkeys")
-    some = materialize(stretches(documents, bitmap(keys, log2), reps, window, max_edits, log2, sampled), "stretches")
-    meet = some.select("doc_id", "stretch", F.explode("keys").alias("key")).join(keys, "key").select("doc_id", "stretch", "item_id", "field").distinct()
+    keys = materialize(item_keys(fields, sizes, recall), "itemkeys")
+    n = keys.count()
+    blocks = next((b for c in CELLS_EACH if sieve.size_of(b := sieve.blocks_for(n, c)) <= sieve.BROADCAST_BYTES), 0)
+    if blocks:
+        parts = sieve.parts_of(keys.select("key"), lambda pdf: iter([pdf["key"].to_numpy().view(np.uint64)]), blocks)
+        some = stretches(documents, sizes, recall, documents.sparkSession.sparkContext.broadcast(sieve.merged(parts, blocks, 1)), blocks)
+    else:
+        some = stretches(met_by_shuffle(documents, keys, sizes, recall), sizes, recall)
+    some = materialize(some, "stretches")
+    met = some.select("doc_id", "stretch", F.explode(F.arrays_zip("keys", "ats")).alias("z")).select("doc_id", "stretch", F.col("z.keys").alias("key"), F.col("z.ats").alias("at"))
+    # windows that meet in several repetitions, and the windows of one diagonal of a short field, count once
+    meet = met.join(keys, "key").groupBy("doc_id", "stretch", "item_id", "field").agg(F.collect_set(F.struct("start", "at")).alias("met"))
     pairs = meet.join(some.select("doc_id", "stretch", "text"), ["doc_id", "stretch"]).join(fields.withColumnRenamed("text", "item_text"), ["item_id", "field"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if max_edits:
-                ok = [near_window(words(i), t.split(" "), window, max_edits) for i, t in zip(pdf.item_text, pdf.text)]
-            else:
-                ok = [common_run(words(i), t.split(" "), window) for i, t in zip(pdf.item_text, pdf.text)]
-            yield pdf.loc[ok, ["item_id", "doc_id", "field"]]
+            for a in range(0, len(pdf), 2000):
+                part = pdf.iloc[a : a + 2000]
+                ok = verified([words(t) for t in part.item_text], [t.split(" ") for t in part.text], part.starts.tolist(), part.ats.tolist(), sizes)
+                yield part.loc[ok, ["item_id", "doc_id", "field"]]
 
-    return pairs.select("item_id", "doc_id", "field", "item_text", "text").mapInPandas(verify, "item_id long, doc_id long, field int").distinct()
+    pairs = pairs.select("item_id", "doc_id", "field", "item_text", "text", F.col("met.start").alias("starts"), F.col("met.at").alias("ats"))
+    return pairs.mapInPandas(verify, "item_id long, doc_id long, field int").distinct()
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
     """p7_found."""
     return find(documents, items).select("item_id", "doc_id").distinct()
+
+
+def near(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """p7_near: (item_id, doc_id, field) within the edits of NEAR."""
+    return find(documents, items, NEAR)

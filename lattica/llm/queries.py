@@ -121,8 +121,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p7_near")
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
-    """Leaks within two word edits."""
-    return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=2)
+    """Leaks of windows of 25 words within two word edits, and of whole shorter fields within edits in proportion."""
+    return leaks.near(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 P9_SQL = """

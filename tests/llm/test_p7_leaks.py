@@ -1,6 +1,6 @@
 import random
 
-from lattica.llm import leaks, queries
+from lattica.llm import leaks, queries, sieve
 
 
 def make(spark):
@@ -57,7 +57,7 @@ def test_near_runs_reach_recall(spark):
         docs.append((k, " ".join(rnd.choice(vocab) for _ in range(10)) + " " + " ".join(w)))
     i = spark.createDataFrame([(k, t, None, None) for k, t in items], "item_id long, question string, canonical_answer string, passage string")
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r.item_id, r.doc_id) for r in leaks.find(d, i, max_edits=2).collect()}
+    got = {(r.item_id, r.doc_id) for r in leaks.near(d, i).collect()}
     want = {(k, k) for k in range(60)}
     assert len(got & want) >= 0.9 * len(want) and got <= want
 
@@ -90,14 +90,60 @@ def edit_distance(a, b):
     return prev[-1]
 
 
-def test_near_window_agrees_with_all_stretches():
+def near(item, doc, n, edits):
+    return any(edit_distance(item[s : s + n], doc[a:b]) <= edits for s in range(len(item) - n + 1) for a in range(len(doc) + 1) for b in range(a, len(doc) + 1))
+
+
+def holds(item, doc):
+    n = min(len(item), 25)
+    if n < 8:
+        return False
+    edits = 2 * n // 25
+    return near(item, doc, n, edits)
+
+
+def test_verification_agrees_with_all_stretches():
     rnd = random.Random(3)
-    for _ in range(300):
-        n, edits = rnd.choice([(6, 1), (8, 2), (9, 2)])
-        item = [str(rnd.randint(0, 4)) for _ in range(rnd.randint(n - 1, n + 3))]
+    sizes = (leaks.Size(8, 2, 4), leaks.Size(4, 1, 3))
+    seen = set()
+    for _ in range(400):
+        item = [str(rnd.randint(0, 4)) for _ in range(rnd.randint(4, 10))]
         doc = [str(rnd.randint(0, 4)) for _ in range(rnd.randint(0, 3))] + item[rnd.randint(0, 2) :]
-        for _ in range(rnd.randint(0, 3)):
+        for _ in range(rnd.randint(0, 3) if len(doc) > 4 else 0):
             at = rnd.randrange(len(doc))
             doc[at : at + 1] = rnd.choice([["z"], [], [doc[at], "y"]])
-        want = any(edit_distance(item[s : s + n], doc[a:b]) <= edits for s in range(len(item) - n + 1) for a in range(len(doc)) for b in range(a + 1, len(doc) + 1))
-        assert leaks.near_window(item, doc, n, edits) == want
+        n = min(len(item), 8)
+        want = near(item, doc, n, 2 * n // 8)
+        every = [(s, a) for s in range(len(item) - n + 1) for a in range(-2, len(doc) + 1)]
+        got = leaks.verified([item], [doc], [[s for s, _ in every]], [[a for _, a in every]], sizes)[0]
+        assert got == want
+        seen.add(want)
+    assert seen == {True, False}
+
+
+def test_windows_follow_the_size_of_the_field(spark):
+    rnd = random.Random(21)
+    vocab = [f"v{i}" for i in range(500)]
+    text = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    items, docs, want = [], [], set()
+    for k in range(80):
+        n = rnd.choice([6, 8, 12, 13, 18, 24, 25, 30])
+        w = text(n)
+        items.append((k, " ".join(w), None, None))
+        edits = rnd.choice([0, 1, 2, 3])
+        for at in sorted(rnd.sample(range(1, min(n, 25) - 1), edits), reverse=True):
+            w[at : at + 1] = rnd.choice([["changed"], [], [w[at], "more"]])
+        docs.append((k, " ".join(text(9) + w[:25] + text(5)) if n > 25 else " ".join(text(9) + w + text(5))))
+        if n >= 8 and edits <= 2 * min(n, 25) // 25:
+            want.add(k)
+    i = spark.createDataFrame(items, "item_id long, question string, canonical_answer string, passage string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.item_id for r in leaks.near(d, i).collect() if r.item_id == r.doc_id}
+    exact = {k for k, t, _, _ in items if holds(t.split(), docs[k][1].split())}
+    assert got <= exact and want <= exact and len(got) >= 0.9 * len(exact)
+
+
+def test_item_keys_too_many_to_send_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(sieve, "BROADCAST_BYTES", 0)
+    items, docs, i, d = make(spark)
+    assert {tuple(r) for r in leaks.found(d, i).collect()} == brute(items, docs)
