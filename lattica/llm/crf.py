@@ -79,9 +79,9 @@ class CRF:
 
 
 def pad(seqs: list[np.ndarray], labels: list[list[int]], longest: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences as padded arrays for training; longer ones keep their last `longest` items."""
-    seqs = [s[-longest:] for s in seqs]
-    labels = [y[-longest:] for y in labels]
+    """Sequences as padded arrays for training; longer ones are cut into runs of `longest`, of which none is left out."""
+    cut = [(s[i : i + longest], y[i : i + longest]) for s, y in zip(seqs, labels) for i in range(0, len(s), longest)]
+    seqs, labels = [s for s, _ in cut], [y for _, y in cut]
     steps, f = max(len(s) for s in seqs), seqs[0].shape[1]
     x = np.zeros((len(seqs), steps, f))
     y = np.zeros((len(seqs), steps), dtype=np.int64)

@@ -6,11 +6,13 @@ Sentences are the unit; a record's sentences are decoded together with a cost fo
 sentence without evidence (a code, a citation, a name) takes the language around it.
 
 Words that begin with a capital inside a sentence are skipped: names of firms and places tell nothing.
-The model is fitted on a bounded sample of labelled rows (`per_language` texts of each language, chosen by
-hash); every row is then read and labelled.
+The model is fitted on a bounded sample of labelled rows (`per_language` whole texts of each language, chosen by
+hash among those of 40 to `sample_chars` characters); every row is then read and labelled.
 
-Defined results: null text, text under five words, or text without any evidence yields no segment; exact
-repeats of a record yield its segments once; extra columns are ignored.
+Defined results: every record comes out. A record without text or without any evidence has one row without
+language, of confidence 0 (segment_no 0); p3_found leaves out texts of under five words, as its definition says.
+Exact repeats of a record yield its segments once; extra columns are ignored. The confidence of a stretch is the
+chance of its language against the next best one, were the words' log frequencies independent.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 LANGS = ("en", "it", "fr", "es", "de", "pt")
 PER_LANGUAGE = 800
+SAMPLE_CHARS = 20_000
 MIN_WORDS = 5
 SWITCH_COST = 7.0
 KNOWN_LIMIT = 400_000
@@ -198,11 +201,11 @@ def decode(scores: np.ndarray, cost: float = SWITCH_COST) -> list[int]:
     return path[::-1]
 
 
-def segments_of(texts: list[str | None], scorer: Scorer) -> list[list[tuple[int, float, int, int]]]:
+def segments_of(texts: list[str | None], scorer: Scorer, min_words: int = MIN_WORDS) -> list[list[tuple[int, float, int, int]]]:
     """For each text its runs as (language index, confidence, sentences, characters)."""
     split, flat = [], []
     for t in texts:
-        ss = sentences(t) if t and len(ANY_WORD.findall(t)) >= MIN_WORDS else []
+        ss = sentences(t) if t and len(ANY_WORD.findall(t)) >= min_words else []
         split.append(ss)
         flat += ss
     scores = scorer.score([tokens(s) for s in flat])
@@ -230,10 +233,10 @@ def segments_of(texts: list[str | None], scorer: Scorer) -> list[list[tuple[int,
 
 
 def sample_labelled(df: DataFrame, key: str, text: str, label: str, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """At most `per_language` labelled texts of each language, chosen by a hash of the key."""
-    d = df.select(clean_label(F.col(label)).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h")).filter(F.col("lang").isin(*LANGS) & (F.length("text") >= 40))
+    """At most `per_language` labelled texts of each language, chosen by a hash of the key; texts are whole, and of at most SAMPLE_CHARS."""
+    d = df.select(clean_label(F.col(label)).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h")).filter(F.col("lang").isin(*LANGS) & F.length("text").between(40, SAMPLE_CHARS))
     d = d.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= per_language)
-    return d.select("lang", F.substring("text", 1, 4000).alias("text"))
+    return d.select("lang", "text")
 
 
 def fit_on(chunks: DataFrame, per_language: int = PER_LANGUAGE) -> Backoff:
@@ -241,8 +244,9 @@ def fit_on(chunks: DataFrame, per_language: int = PER_LANGUAGE) -> Backoff:
     return fit(sorted((r.lang, r.text) for r in sample_labelled(chunks, "chunk_id", "text", "lang", per_language).collect()))
 
 
-def segment(records: DataFrame, model: Backoff) -> DataFrame:
-    """Segments of `records` (record_kind, record_id, label, text): one row for each stretch in one language.
+def segment(records: DataFrame, model: Backoff, min_words: int = 1) -> DataFrame:
+    """Segments of `records` (record_kind, record_id, label, text): one row for each stretch in one language, and one
+    row with segment_no 0 and no language for a record of fewer than min_words words or without evidence.
 
     Columns: record_kind, record_id, label, segment_no, lang, confidence, n_segments, n_sentences, n_chars.
     """
@@ -252,7 +256,9 @@ def segment(records: DataFrame, model: Backoff) -> DataFrame:
         scorer = Scorer(held.value)
         for pdf in batches:
             rows = []
-            for kind, rid, label, runs in zip(pdf.record_kind, pdf.record_id, pdf.label, segments_of(pdf.text.tolist(), scorer)):
+            for kind, rid, label, runs in zip(pdf.record_kind, pdf.record_id, pdf.label, segments_of(pdf.text.tolist(), scorer, min_words)):
+                if not runs:
+                    rows.append((kind, rid, label, 0, None, 0.0, 0, 0, 0))
                 for k, (lang, conf, ns, nc) in enumerate(runs, 1):
                     rows.append((kind, rid, label, k, LANGS[lang], conf, len(runs), ns, nc))
             yield pd.DataFrame(rows, columns=["record_kind", "record_id", "label", "segment_no", "lang", "confidence", "n_segments", "n_sentences", "n_chars"])
@@ -272,6 +278,7 @@ def records(chunks: DataFrame, results: DataFrame) -> DataFrame:
 def cases(segs: DataFrame) -> DataFrame:
     """Segments of the records whose label is missing or wrong, or which mix languages."""
     first = F.when(F.col("segment_no") == 1, F.col("lang"))
+    segs = segs.filter("segment_no > 0")
     wrong = F.col("label").isNull() | (F.col("n_segments") > 1)
     # only a record of one segment can have a wrong label and nothing else, so each row decides alone
     hit = wrong | (first != F.col("label"))
@@ -280,14 +287,19 @@ def cases(segs: DataFrame) -> DataFrame:
 
 def found(chunks: DataFrame, results: DataFrame) -> DataFrame:
     """p3_found."""
-    segs = segment(records(chunks, results), fit_on(chunks))
+    segs = segment(records(chunks, results), fit_on(chunks), MIN_WORDS)
     return cases(segs).select("record_kind", "record_id", F.col("segment_no"), "lang")
 
 
+def record_segments(chunks: DataFrame, results: DataFrame) -> DataFrame:
+    """Every record with its stretches in one language, each with a confidence; repeats of a record once."""
+    segs = segment(records(chunks, results), fit_on(chunks)).dropDuplicates(["record_kind", "record_id", "segment_no"])
+    return segs.select("record_kind", "record_id", "label", "segment_no", "lang", F.round("confidence", 6).alias("confidence"), "n_sentences", "n_chars")
+
+
 def document_languages(chunks: DataFrame, results: DataFrame) -> DataFrame:
-    """One row for each record: main language (most characters), confidence and number of segments."""
+    """One row for every record: main language (most characters), confidence and number of segments."""
     segs = segment(records(chunks, results), fit_on(chunks))
     main = F.max(F.struct("n_chars", (-F.col("segment_no")).alias("o"), "lang", "confidence", "label", "n_segments")).alias("m")
     one = segs.groupBy("record_kind", "record_id").agg(main)
     return one.select("record_kind", "record_id", "m.label", F.col("m.lang").alias("lang"), F.round("m.confidence", 6).alias("confidence"), "m.n_segments")
-

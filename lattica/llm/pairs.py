@@ -6,7 +6,9 @@ unfinished; the coverage of the tags over the response gives the defect of the p
 Training: a bounded sample of `sample_rows` responses. Their clauses get labels from plain cues, and made-up
 pairs are added whose labels are known by construction: the question alone, a response to a question in
 another language, a response cut off. The field then weighs the cues against each other and against the
-neighbouring clauses. All rows are read and tagged.
+neighbouring clauses. Sampled responses are whole; those over `sample_chars` characters are not sampled. All rows are
+read and tagged. Whether the last item of a list is complete is told by all lists of all responses: an item that stands
+with a line after it in several of them is a term, and the last items meet the frame of terms in a join.
 
 Defined results: a null response, or one of blanks, marks, empty brackets or tags, a bare heading or a
 placeholder, is `empty`; a null question has no language and no words, so neither `question_copy` nor
@@ -15,20 +17,23 @@ placeholder, is `empty`; a null question has no language and no words, so neithe
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.common import materialize
 from lattica.llm import langid
 from lattica.llm.crf import CRF, pad
 from lattica.llm.langid import LANGS, Scorer
 
 SAMPLE_ROWS = 3000
-TERM_LIMIT = 20_000
+SAMPLE_CHARS = 20_000
+TERM_LEAST = 3
 A, R, E, X, U = range(5)
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 
@@ -57,7 +62,7 @@ REFUSAL_WORDS = set(
     " não infelizmente lamento abster abstenho escassas escassos escassa prefiro impossível nenhuma".split()
 )
 
-TAGS_OR_MARKS = re.compile(r"<[^<>]{0,40}>|[\W_]", re.UNICODE)
+TAG_OR_WORD = re.compile(r"<[^<>]{0,40}>|([^\W_]+)")
 WORDS = re.compile(r"[^\W_]+")
 CITATION = re.compile(r"(?:\s*(?:\[\d+\]|\((?:[A-Z]{1,6}-\d+)\)))+\s*$")
 BULLET = re.compile(r"^\s*(?:[-*•–]|\d+[.)])\s+")
@@ -71,9 +76,7 @@ def is_empty(text: str | None) -> bool:
     """Whether a response has no content at all."""
     if text is None:
         return True
-    if len(text) > 200:
-        return not WORDS.search(text)
-    bare = TAGS_OR_MARKS.sub(" ", text).split()
+    bare = list(itertools.islice((m[1] for m in TAG_OR_WORD.finditer(text) if m[1]), 4))
     if not bare:
         return True
     if len(bare) > 3:
@@ -103,8 +106,9 @@ FEATURES = 24
 LEAD_IN = 5
 
 
-def features(parts: list[str], best: list[float], gaps: list[float], question_words: set[str], terms: set[str]) -> list[list[float]]:
-    """Features of the clauses of one response; gaps are best score less that of the question's language."""
+def features(parts: list[str], best: list[float], gaps: list[float], question_words: set[str], term: bool) -> list[list[float]]:
+    """Features of the clauses of one response; gaps are best score less that of the question's language; term: whether
+    its last list item is a term."""
     n = len(parts)
     out = []
     nq = len(question_words)
@@ -141,12 +145,11 @@ def features(parts: list[str], best: list[float], gaps: list[float], question_wo
             quote = body.count('"') % 2 == 1 or body.count("«") > body.count("»")
             row[14] = float(not done)
             row[15] = float(bool(DANGLING.search(body)) and not (done and not body.endswith("...")))
-            item = BULLET.sub("", body).strip(" *_").lower()
             bare = n == 1 and len(ws) <= 5 and not listed
             inlist = listed or BARE_BULLET.match(body) is not None
             row[16] = float(bare and not done)
-            row[17] = float(inlist and (item in terms or done))
-            row[18] = float(inlist and not (item in terms or done))
+            row[17] = float(inlist and (term or done))
+            row[18] = float(inlist and not (term or done))
             row[19] = float(not done and not inlist and not bare)
             row[20] = float(quote and not done)
             row[21] = float(body.endswith(":"))
@@ -157,7 +160,7 @@ def features(parts: list[str], best: list[float], gaps: list[float], question_wo
     return out
 
 
-def batch_features(questions: list[str | None], answers: list[str], scorer: Scorer, terms: set[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+def batch_features(questions: list[str | None], answers: list[str], scorer: Scorer, terms: list[bool]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
     parts = [clauses(a) for a in answers]
     flat = [langid.tokens(p) for ps in parts for p in ps]
     scores = scorer.score(flat)
@@ -175,8 +178,8 @@ def batch_features(questions: list[str | None], answers: list[str], scorer: Scor
     best_list, gap_list = best.tolist(), gap.tolist()
     rows: list[list[float]] = []
     at = 0
-    for q, ps in zip(questions, parts):
-        rows += features(ps, best_list[at : at + len(ps)], gap_list[at : at + len(ps)], known[q][0], terms)
+    for q, ps, term in zip(questions, parts, terms):
+        rows += features(ps, best_list[at : at + len(ps)], gap_list[at : at + len(ps)], known[q][0], term)
         at += len(ps)
     return np.array(rows).reshape(-1, FEATURES), lens, parts
 
@@ -207,26 +210,26 @@ def copied(q: str, k: int) -> str:
     return (q, f"The question is: {q}", f'"{q}"', f"**{q}**", q.rstrip("?"), " ".join(ws[: len(ws) // 2] + ws[len(ws) // 2 + 1 :]), q.upper(), f"> {q}")[k % 8]
 
 
-def train(rows: list[tuple[str | None, str | None]], model: langid.Backoff, terms: set[str]) -> CRF:
-    """Fit the field on sampled (question, answer) pairs and on pairs made from them."""
+def train(rows: list[tuple[str | None, str | None, bool]], model: langid.Backoff) -> CRF:
+    """Fit the field on sampled (question, answer, whether its last list item is a term) and on pairs made from them."""
     scorer = Scorer(model)
-    rows = [(q, a) for q, a in rows if not is_empty(a)]
-    qs = [q for q, _ in rows if q and q.strip()]
+    rows = [r for r in rows if not is_empty(r[1])]
+    qs = [q for q, _, _ in rows if q and q.strip()]
     lang = {q: int(scorer.score([langid.tokens(q)])[0].argmax()) for q in set(qs)}
-    made: list[tuple[str | None, str, str]] = [(q, a, "") for q, a in rows]
-    for i, (q, a) in enumerate(rows):
+    made: list[tuple[str | None, str, str, bool]] = [(q, a, "", term) for q, a, term in rows]
+    for i, (q, a, term) in enumerate(rows):
         if i % 6 == 0 and q and q.strip():
-            made.append((q, copied(q.strip(), i // 6), "echo"))
+            made.append((q, copied(q.strip(), i // 6), "echo", False))
         if i % 6 == 1 and len(a) > 90 and not BULLET.search(a):
             cut = a[: 60 + (i * 37) % (len(a) - 70)].rstrip(" .!?\"»”)")
-            made.append((q, cut + ("", "...", "…", "-", "")[i % 5], "cut"))
+            made.append((q, cut + ("", "...", "…", "-", "")[i % 5], "cut", False))
         if i % 6 == 2 and q in lang and qs:
             other = qs[(i * 7919) % len(qs)]
             if lang[other] != lang[q]:
-                made.append((other, a, "foreign"))
-    x, lens, _ = batch_features([m[0] for m in made], [m[1] for m in made], scorer, terms)
+                made.append((other, a, "foreign", term))
+    x, lens, _ = batch_features([m[0] for m in made], [m[1] for m in made], scorer, [m[3] for m in made])
     seqs, labels, at = [], [], 0
-    for (q, a, kind), n in zip(made, lens):
+    for (q, a, kind, _), n in zip(made, lens):
         f = x[at : at + n]
         at += n
         if not n:
@@ -263,41 +266,60 @@ def defect(tags: list[int], parts: list[str]) -> str | None:
     return "question_copy" if cover[E] else None
 
 
-def complete_terms(results: DataFrame, least: int = 3, most: int = TERM_LIMIT) -> set[str]:
-    """List items that stand complete (with a line after them) in several responses: a vocabulary of bounded size."""
-    lines = F.split(F.col("answer"), "\n")
+ITEM = r"^\s*([-*•–]|\d+[.)])\s+"
+CITED = r"(\s*(\[\d+\]|\([A-Z]{1,6}-\d+\)))+\s*$"
+
+
+def list_item(line: Column) -> Column:
+    """The item of a line of a list, null for other lines."""
+    item = F.lower(F.trim(F.translate(F.regexp_replace(F.regexp_replace(line, ITEM, ""), CITED, ""), "*_", "  ")))
+    return F.when(line.rlike(ITEM + r"\S"), item)
+
+
+def complete_terms(results: DataFrame) -> DataFrame:
+    """(item): list items that stand complete, with a line after them, TERM_LEAST times or more."""
+    lines = F.split(F.rtrim("answer"), "\n")
     items = results.filter(F.col("answer").contains("\n")).select(F.explode(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line"))
-    items = items.filter(F.col("line").rlike(r"^\s*([-*•–]|\d+[.)])\s+\S")).select(F.lower(F.trim(F.regexp_replace("line", r"^\s*([-*•–]|\d+[.)])\s+", ""))).alias("item"))
-    top = items.filter(F.length("item").between(1, 120)).groupBy("item").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "item").limit(most)
-    return {r["item"] for r in top.collect()}
+    items = items.select(list_item(F.col("line")).alias("item")).filter("item <> ''")
+    return items.groupBy("item").count().filter(F.col("count") >= TERM_LEAST).select("item")
+
+
+def with_terms(pairs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(result_id, question, answer, term): whether the last item of the response is a term. Only responses that end
+    in a list meet the frame of terms."""
+    cols = ["result_id", "question", "answer"]
+    r = pairs.select(*cols, list_item(F.element_at(F.split(F.rtrim("answer"), "\n"), -1)).alias("item"))
+    ends = r.filter("item IS NOT NULL").join(terms.withColumn("term", F.lit(True)), "item", "left").select(*cols, F.coalesce("term", F.lit(False)).alias("term"))
+    return r.filter("item IS NULL").select(*cols, F.lit(False).alias("term")).unionByName(ends)
 
 
-def sample_pairs(results: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str | None, str | None]]:
-    """At most `rows` pairs, chosen by a hash of the id; half of them responses marked insufficient, where there are such."""
+def sample_pairs(results: DataFrame, terms: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str | None, str | None, bool]]:
+    """At most `rows` whole pairs, chosen by a hash of the id; half of them responses marked insufficient, where there are such."""
     def take(df: DataFrame, n: int) -> list:
         top = df.select(F.xxhash64("result_id").alias("h"), "result_id").distinct().orderBy("h").limit(n)
-        return df.join(F.broadcast(top.select("result_id")), "result_id").select("result_id", "question", F.substring("answer", 1, 3000).alias("answer")).distinct().collect()
+        return with_terms(df.join(F.broadcast(top.select("result_id")), "result_id"), terms).distinct().collect()
 
+    short = results.filter(F.length("answer") <= SAMPLE_CHARS)
     marked = F.coalesce(F.col("insufficient_answer"), F.lit(False))
-    got = take(results.filter(marked), rows // 2) + take(results.filter(~marked), rows - rows // 2)
-    return [(r.question, r.answer) for r in sorted(got, key=lambda r: (r.result_id, r.answer or ""))]
+    got = take(short.filter(marked), rows // 2) + take(short.filter(~marked), rows - rows // 2)
+    return [(r.question, r.answer, r.term) for r in sorted(got, key=lambda r: (r.result_id, r.answer or ""))]
 
 
 def tag(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each result with its defect (null where sound) and the share of the response that each tag covers."""
     model = langid.fit_on(chunks)
-    terms = complete_terms(results)
-    field = train(sample_pairs(results), model, terms)
-    held = results.sparkSession.sparkContext.broadcast((model, terms, field))
+    terms = materialize(complete_terms(results), "terms")
+    field = train(sample_pairs(results, terms), model)
+    held = results.sparkSession.sparkContext.broadcast((model, field))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, terms, field = held.value
+        model, field = held.value
         scorer = Scorer(model)
         for pdf in batches:
-            ids, qs, ans = pdf.result_id.tolist(), pdf.question.tolist(), pdf.answer.tolist()
+            ids, qs, ans, terms = pdf.result_id.tolist(), pdf.question.tolist(), pdf.answer.tolist(), pdf.term.tolist()
             out = [(i, "empty", 0.0, 0.0, 0.0, 0.0, 0.0) for i, a in zip(ids, ans) if is_empty(a)]
             full = [k for k, a in enumerate(ans) if not is_empty(a)]
-            x, lens, parts = batch_features([qs[k] for k in full], [ans[k] for k in full], scorer, terms)
+            x, lens, parts = batch_features([qs[k] for k in full], [ans[k] for k in full], scorer, [terms[k] for k in full])
             tags = field.decode(x, lens).tolist()
             at = 0
             for k, ps in zip(full, parts):
@@ -311,7 +333,7 @@ def tag(results: DataFrame, chunks: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["result_id", "defect", *TAGS])
 
     cols = ", ".join(f"{t} double" for t in TAGS)
-    return results.select("result_id", "question", "answer").mapInPandas(run, f"result_id long, defect string, {cols}")
+    return with_terms(results, terms).mapInPandas(run, f"result_id long, defect string, {cols}")
 
 
 def found(results: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -43,6 +43,11 @@ def p3_record_languages(spark: SparkSession, d: str) -> DataFrame:
     return langid.document_languages(table(spark, d, "chunks"), table(spark, d, "results"))
 
 
+@query("p3_segments")
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    return langid.record_segments(table(spark, d, "chunks"), table(spark, d, "results"))
+
+
 @query("p1_found")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.found(table(spark, d, "results"), table(spark, d, "chunks"))
@@ -50,7 +55,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p1_tag_coverage")
 def p1_tag_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.tag(table(spark, d, "results"), table(spark, d, "chunks")).dropDuplicates(["result_id"])
+    """Shares of the tags over each response; of rows of one result that differ, the one with the smallest shares, in order."""
+    got = pairs.tag(table(spark, d, "results"), table(spark, d, "chunks"))
+    one = got.groupBy("result_id").agg(F.min(F.struct(*[c for c in got.columns if c != "result_id"])).alias("r"))
+    return one.select("result_id", "r.*")
 
 
 P4_REACH = """

@@ -189,6 +189,7 @@ def candidates(documents: DataFrame, window: int, gram: int, cells_each: float =
 
 
 SLICE_WINDOWS = 1 << 20
+REP = ("at", "n", "h1", "h2", "lo", "hi")
 
 
 def single_windows(texts: DataFrame, window: int) -> DataFrame:
@@ -196,10 +197,10 @@ def single_windows(texts: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for text, reps in zip(pdf.text, pdf.reps):
+            for text, *own in zip(pdf.text, *(pdf[k] for k in REP)):
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
                 sums = prefix_sums(codes)
-                at, n, h1, h2, lo, hi = (np.array([r[k] for r in reps], dtype=np.int64) for k in ("at", "n", "h1", "h2", "lo", "hi"))
+                at, n, h1, h2, lo, hi = (np.asarray(x, dtype=np.int64) for x in own)
                 for s in range(0, int(n.sum()), SLICE_WINDOWS):
                     w = np.arange(s, min(s + SLICE_WINDOWS, int(n.sum())))
                     row = np.searchsorted(np.cumsum(n), w, side="right")
@@ -207,7 +208,7 @@ def single_windows(texts: DataFrame, window: int) -> DataFrame:
                     w1, w2 = text_hash(sums, at[row] + i, window)
                     yield pd.DataFrame({"w1": w1, "w2": w2, "h1": h1[row], "h2": h2[row], "lo": lo[row], "hi": hi[row], "i": i.astype(np.int32)})
 
-    return texts.select("text", "reps").mapInPandas(run, "w1 long, w2 long, h1 long, h2 long, lo long, hi long, i int")
+    return texts.select("text", *[F.col("reps")[k].alias(k) for k in REP]).mapInPandas(run, "w1 long, w2 long, h1 long, h2 long, lo long, hi long, i int")
 
 
 def shared_intervals(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, cells_each: float = CELLS_EACH) -> DataFrame:
@@ -221,7 +222,7 @@ def shared_intervals(documents: DataFrame, window: int = WINDOW, gram: int = GRA
     # texts of an anchor that only one text holds, or only one document, share nothing more
     per = texts.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("lo").alias("a"), F.max("hi").alias("b"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("single"))
     reps = texts.join(per.filter("c > 1 AND a <> b AND single = 1").select("anchor"), "anchor", "left_semi")
-    own = reps.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "h1", "h2", "lo", "hi")).alias("reps"))
+    own = reps.groupBy("doc_id").agg(F.collect_list(F.struct(*REP)).alias("reps"))
     wins = materialize(single_windows(docs.join(own, "doc_id"), window), "windows")
     many = wins.groupBy("w1", "w2").agg(F.min("lo").alias("l"), F.max("hi").alias("u")).filter("l <> u").select("w1", "w2")
     hit = wins.filter("lo = hi").join(many, ["w1", "w2"], "left_semi").select(*key, "i").distinct()

@@ -22,25 +22,25 @@ SOUND = "The plant of Selbiano uses orange peel to make a natural dye and the yi
 
 @pytest.fixture(scope="module")
 def field(model):
-    rows = [(Q, SOUND + f" Farmers around the valley {i} mix the peel with straw and sell the dye.") for i in range(120)]
-    rows += [(Q, "I am sorry, but nothing in the retrieved passages lets me answer this.")] * 12
-    rows += [("Come si può usare la polpa di mela per ottenere una farina?", "Le fonti descrivono come la cooperativa utilizza la polpa di mela per ottenere una farina.")] * 40
-    return pairs.train(rows, model, {"a natural dye", "soil improver"})
+    rows = [(Q, SOUND + f" Farmers around the valley {i} mix the peel with straw and sell the dye.", False) for i in range(120)]
+    rows += [(Q, "I am sorry, but nothing in the retrieved passages lets me answer this.", False)] * 12
+    rows += [("Come si può usare la polpa di mela per ottenere una farina?", "Le fonti descrivono come la cooperativa utilizza la polpa di mela per ottenere una farina.", False)] * 40
+    return pairs.train(rows, model)
 
 
 def defect_of(q, a, model, field):
     if pairs.is_empty(a):
         return "empty"
-    x, lens, parts = pairs.batch_features([q], [a], langid.Scorer(model), {"a natural dye", "soil improver"})
+    x, lens, parts = pairs.batch_features([q], [a], langid.Scorer(model), [a.rsplit("\n- ", 1)[-1] in ("a natural dye", "soil improver")])
     return pairs.defect(field.decode(x, lens).tolist(), parts[0])
 
 
-@pytest.mark.parametrize("a", [None, "", " \t\n", "...", "[]", "{}", "<answer></answer>", "**Answer:**", "N/A", "null", "—", "​", "```\n```"])
+@pytest.mark.parametrize("a", [None, "", " \t\n", "...", "[]", "{}", "<answer></answer>", "**Answer:**", "N/A", "null", "—", "​", "```\n```", "n/a" + " " * 250, "**Answer:**" + "\n" * 200, "<p></p>" * 100])
 def test_empty(a):
     assert pairs.is_empty(a)
 
 
-@pytest.mark.parametrize("a", ["Orange peel", "No.", "Whey", "Answer: whey", "12"])
+@pytest.mark.parametrize("a", ["Orange peel", "No.", "Whey", "Answer: whey", "12", "peel " * 5000])
 def test_not_empty(a):
     assert not pairs.is_empty(a)
 
@@ -87,3 +87,19 @@ def test_crf_learns_a_transition():
     x = [np.array([[1.0, 0.0], [0.0, 0.0], [0.0, 0.0]]), np.array([[0.0, 1.0], [0.0, 0.0], [0.0, 0.0]])]
     f = CRF(2, 2).fit(*pad(x * 10, [[0, 0, 0], [1, 1, 1]] * 10), steps=200)
     assert f.decode(np.vstack(x), np.array([3, 3])).tolist() == [0, 0, 0, 1, 1, 1]
+
+
+def test_last_items_meet_all_terms(spark):
+    r = spark.createDataFrame(
+        [(k, Q, f"Outputs:\n- item number {k % 5}\n* a dye (KT-12)\n- last {k}") for k in range(20)] + [(50, Q, "Outputs:\n- other\n- item number 3"), (51, Q, "List:\n1. x\n2. *a dye*"), (52, Q, "List:\n- item numb"), (53, Q, None), (54, Q, "")],
+        "result_id long, question string, answer string",
+    )
+    got = {x.result_id: x.term for x in pairs.with_terms(r, pairs.complete_terms(r)).collect()}
+    assert len(got) == 25 and {k for k, v in got.items() if v} == {50, 51}
+
+
+def test_sampled_responses_are_whole(spark, model):
+    long = SOUND * 120
+    assert 10_000 < len(long) < pairs.SAMPLE_CHARS
+    r = spark.createDataFrame([(1, Q, long, False), (2, Q, "x" * 30_000, True)], "result_id long, question string, answer string, insufficient_answer boolean")
+    assert [a for _, a, _ in pairs.sample_pairs(r, pairs.complete_terms(r))] == [long]

@@ -62,3 +62,16 @@ def test_found(spark):
     got = sorted(tuple(x) for x in langid.found(c, r).collect())
     assert got == [("answer", "5", 1, "pt"), ("chunk", "mixed", 1, "en"), ("chunk", "mixed", 2, "it"), ("chunk", "none", 1, "de"), ("chunk", "wrong", 1, "en")]
     assert langid.found(c.filter("false"), r.filter("false")).count() == 0
+
+
+def test_every_record_comes_out(spark):
+    en = "The sources describe how the plant uses orange peel to make a natural dye for the market."
+    it = "Le fonti descrivono come la cooperativa utilizza le bucce di patata per ottenere una farina."
+    c = spark.createDataFrame([(f"c{k}", lang, t) for k, (lang, t) in enumerate([("en", en), ("it", it)] * 3)], "chunk_id string, lang string, text string")
+    r = spark.createDataFrame([(1, "en", "orange peel"), (2, None, None), (3, None, "12 34"), (4, "it", en + " " + it + " " + it)], "result_id long, answer_lang string, answer string")
+    main = {x.record_id: x for x in langid.document_languages(c, r).collect()}
+    assert set(main) == {"c0", "c1", "c2", "c3", "c4", "c5", "1", "2", "3", "4"}
+    assert main["1"].lang == "en" and 0.5 < main["1"].confidence <= 1
+    assert (main["2"].lang, main["2"].confidence, main["3"].lang) == (None, 0.0, None)
+    segs = {(x.record_id, x.segment_no): x.lang for x in langid.record_segments(c, r).collect()}
+    assert segs[("4", 1)] == "en" and segs[("4", 2)] == "it" and segs[("2", 0)] is None
