@@ -20,7 +20,6 @@ the fewest edits for its length wins, then the smallest vocab_id.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lattica.common import materialize
 
@@ -87,11 +86,12 @@ FROM (SELECT *, explode(sequence(0, k)) AS i FROM {forms})
 """
 
 # The places at which a piece of a wording of length n may lie in a value of length m, and the substrings there.
+# A place is told by lengths alone, so there are at most some dozens for each length of a wording, however long the list.
 CANDIDATES = """
-WITH plan AS (SELECT DISTINCT n, k, at, length(piece) AS len FROM {segments}),
+WITH plan AS (SELECT n, k, at, len, explode(sequence(n - k, n + k)) AS m FROM (SELECT DISTINCT n, k, at, length(piece) AS len FROM {segments})),
 sub AS (
-  SELECT v.value, p.n, p.k, p.at, substr(v.value, x.pos, p.len) AS piece
-  FROM {values} v JOIN plan p ON length(v.value) BETWEEN p.n - p.k AND p.n + p.k
+  SELECT /*+ BROADCAST(p) */ v.value, p.n, p.k, p.at, substr(v.value, x.pos, p.len) AS piece
+  FROM {values} v JOIN plan p ON length(v.value) = p.m
   LATERAL VIEW explode(sequence(greatest(1, p.at - p.k), greatest(1, p.at + p.k))) x AS pos
   WHERE x.pos + p.len - 1 <= length(v.value))
 SELECT DISTINCT sub.value, s.wording, s.vocab_id, s.canonical, s.n, s.k
@@ -135,10 +135,11 @@ def map_column(rows: DataFrame, column: str, vocab: DataFrame) -> DataFrame:
 
 def found(triples: DataFrame, vocab: DataFrame) -> DataFrame:
     """p5_found."""
-    mapped = map_column(triples, "predicate", vocab).select(F.col("raw").alias("predicate"), "canonical")
-    mapped = materialize(mapped.join(vocab.select("predicate"), "predicate", "left_anti"), "mapped")
+    s = triples.sparkSession
+    every = map_column(triples, "predicate", vocab)
+    mapped = materialize(s.sql("SELECT m.raw, m.canonical FROM {every} m LEFT ANTI JOIN {vocab} v ON m.raw = v.predicate", every=every, vocab=vocab), "mapped")
     # the spellings that are entries already, the frequent ones, are gone; what is left is met by key
-    return triples.select("triple_id", "predicate").join(mapped, "predicate").select("triple_id", "canonical").distinct()
+    return s.sql("SELECT DISTINCT t.triple_id, m.canonical FROM {triples} t JOIN {mapped} m ON t.predicate = m.raw", triples=triples.select("triple_id", "predicate"), mapped=mapped)
 
 
 def found_sql() -> str:

@@ -1,10 +1,11 @@
 """Problem 8: a training mix in which each source contributes its target share of all tokens.
 
-Method: temperature mixing. Source token shares q are exponentiated, w ~ q^a, and the exponent a is bisected to a
-target entropy, or to the smallest value that keeps every source within its repetition limit (temperature_mix).
-Where target shares are given (mix), a common exponent would draw every source away from its target for the sake
-of a few small ones, so the targets themselves are the weights; sources that lack tokens for theirs are pinned to
-their limit and the others share the rest in proportion to their targets. Both kinds of weights are realised as
+Method: temperature mixing. Weights are w ~ t * (q / t)^(1 - a), from the target shares t (a = 1) to the natural
+shares q of the sources (a = 0). A source that would pass its repetition limit at its target share itself can reach
+no weight above that limit and is held there; over the others the exponent a is bisected to the largest value at
+which no source passes its limit, so their shares keep the proportions of the targets where these can be met and come
+as close as the limits allow where not. temperature_mix has no targets to keep: w ~ q^a, with a bisected to a target
+entropy or to the smallest value that keeps every source within its limit. All weights are realised as
 budgeted block permutations: each source takes whole passes over its documents, and for the rest its blocks in a
 hashed order up to the budget; only the block at the budget's edge is cut, document by document.
 
@@ -89,23 +90,34 @@ def exponent_for_repeats(q: np.ndarray, budget: float, sizes: np.ndarray, repeat
     return bisect(lambda a: bool((tempered(q, a) * budget <= sizes * repeats + 1e-6).all()))
 
 
-def fill(target: np.ndarray, sizes: np.ndarray, repeats: np.ndarray, budget: float) -> np.ndarray:
-    """Tokens to draw from each source: its target of the budget, its limit where that is less; what the limits
-    leave over goes to the others in proportion to their targets, until no limit is passed."""
-    cap = sizes * repeats
-    pinned = np.zeros(len(target), dtype=bool)
-    give = np.zeros(len(target))
-    for _ in range(len(target) + 1):
-        free = ~pinned & (target > 0)
-        left = budget - cap[pinned].sum()
-        give = np.where(pinned, cap, 0.0)
-        if free.any():
-            give[free] = left * target[free] / target[free].sum()
-        over = free & (give > cap + 1e-6)
-        if not over.any():
+def towards(target: np.ndarray, q: np.ndarray, a: float) -> np.ndarray:
+    """Weights between the natural shares q (a = 0) and the target shares (a = 1), as shares."""
+    on = (target > 0) & (q > 0)
+    w = np.zeros(len(q))
+    w[on] = target[on] * np.power(q[on] / target[on], 1 - a)
+    return w / w.sum() if w.sum() else w
+
+
+def planned_tokens(target: np.ndarray, sizes: np.ndarray, repeats: np.ndarray, budget: float) -> tuple[np.ndarray, float]:
+    """Tokens to draw from each source, and the exponent of the weights."""
+    cap = np.where(target > 0, sizes * repeats, 0.0)
+    held = target * budget > cap
+    free = ~held & (cap > 0)
+    left = budget - cap[held].sum()
+    t, q = np.where(free, target, 0.0), np.where(free, sizes, 0.0)
+    t, q = (x / x.sum() if x.sum() else x for x in (t, q))
+    fits = lambda a: bool((towards(t, q, a) * left <= cap + 1e-6).all())
+    # the largest exponent that fits is one less the smallest distance from the targets that does
+    a = 1 - bisect(lambda b: fits(1 - b))
+    give = np.where(held, cap, towards(t, q, a) * left)
+    # a budget near the limits of all sources leaves some over even at the natural shares: it goes where there is room
+    for _ in range(len(sizes)):
+        give = np.minimum(give, cap)
+        over, room = budget - give.sum(), cap - give
+        if over <= 1e-6 or not (room > 0).any():
             break
-        pinned |= over
-    return np.minimum(give, cap)
+        give = give + over * np.where(room > 0, sizes, 0.0) / sizes[room > 0].sum()
+    return np.minimum(give, cap), a
 
 
 def draw(tokens: DataFrame, plan: DataFrame) -> DataFrame:
@@ -142,7 +154,7 @@ def source_sizes(tokens: DataFrame, targets: DataFrame) -> list:
     return rows
 
 
-PLAN = "source string, target_share double, max_repeats int, available long, give double, natural_share double, blocks long"
+PLAN = "source string, target_share double, max_repeats int, available long, give double, natural_share double, blocks long, exponent double"
 
 
 def planned(tokens: DataFrame, targets: DataFrame, budget: float | None = None, tempered_by: str | None = None) -> DataFrame:
@@ -157,13 +169,15 @@ def planned(tokens: DataFrame, targets: DataFrame, budget: float | None = None,
     size = np.array([float(r.available) for r in rows])
     rep = np.array([float(r.max_repeats or 0) for r in rows])
     q = size / size.sum() if size.sum() else size
-    total = min(float(budget if budget is not None else size.sum()), float((size * rep).sum()))
-    if tempered_by == "entropy":
-        target = tempered(q, exponent_for_entropy(q, entropy(target)))
-    elif tempered_by == "repeats":
-        target = tempered(q, exponent_for_repeats(q, total, size, rep))
-    give = fill(target, size, rep, total)
-    out = [(r.source, float(t), int(r.max_repeats or 0), int(r.available), float(g), float(w), max(1, math.ceil(r.docs / BLOCK_DOCS))) for r, g, w, t in zip(rows, give, q, target)]
+    total = min(float(budget if budget is not None else size[target > 0].sum()), float((size * rep)[target > 0].sum()))
+    if tempered_by:
+        total = min(float(budget if budget is not None else size.sum()), float((size * rep).sum()))
+        a = exponent_for_entropy(q, entropy(target)) if tempered_by == "entropy" else exponent_for_repeats(q, total, size, rep)
+        target = tempered(q, a)
+        give = planned_tokens(target, size, rep, total)[0]
+    else:
+        give, a = planned_tokens(target, size, rep, total)
+    out = [(r.source, float(t), int(r.max_repeats or 0), int(r.available), float(g), float(w), max(1, math.ceil(r.docs / BLOCK_DOCS)), float(a)) for r, g, w, t in zip(rows, give, q, target)]
     return tokens.sparkSession.createDataFrame(out, PLAN)
 
 
@@ -182,10 +196,15 @@ def temperature_mix(documents: DataFrame, targets: DataFrame, by: str = "repeats
 
 
 def report(drawn: DataFrame, plan: DataFrame) -> DataFrame:
-    """For each target source: what it has, its plan, tokens and share reached, most repeats, and whether the target is met."""
+    """For each target source: what it has, its plan, the exponent of the weights, tokens and share reached, most repeats,
+    and whether the target is met: `met`, `below` or `above` by more than 0.001, `limited by repeats`, `no documents`."""
     own = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"), F.count(F.lit(1)).alias("documents_used"))
     got = plan.join(own, "source", "left").fillna(0, ["tokens", "most_copies", "documents_used"])
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-    got = got.withColumn("reached_share", F.when(total > 0, F.col("tokens") / total).otherwise(0.0))
-    state = F.when(F.col("available") == 0, "no documents").when(F.col("give") >= F.col("available") * F.col("max_repeats") - 1, "limited by repeats").when(F.abs(F.col("reached_share") - F.col("target_share")) <= 0.001, "met").otherwise("above, for sources that fall short")
-    return got.select("source", F.round("target_share", 6).alias("target_share"), F.round("natural_share", 6).alias("natural_share"), F.round("reached_share", 6).alias("reached_share"), "available", "tokens", "documents_used", "most_copies", "max_repeats", state.alias("status"))
+    one = Window.partitionBy(F.lit(1))  # one row for each source
+    share = lambda c: F.when(F.sum(c).over(one) > 0, F.col(c) / F.sum(c).over(one)).otherwise(0.0)
+    got = got.withColumn("reached_share", share("tokens")).withColumn("planned_share", share("give"))
+    miss = F.col("reached_share") - F.col("target_share")
+    limited = (F.col("give") >= F.col("available") * F.col("max_repeats") - 1) & (miss < -0.001)
+    state = F.when(F.col("available") == 0, "no documents").when(limited, "limited by repeats").when(miss < -0.001, "below").when(miss > 0.001, "above").otherwise("met")
+    shares = [F.round(c, 6).alias(c) for c in ("target_share", "natural_share", "planned_share", "reached_share", "exponent")]
+    return got.select("source", *shares, "available", "tokens", "documents_used", "most_copies", "max_repeats", state.alias("status"))

@@ -49,3 +49,24 @@ def test_exponents():
     w = mixing.tempered(q, b) * 1000
     assert (w <= q * 1000 * np.array([1, 2, 2]) + 1e-3).all() and b < 1
     assert mixing.tempered(q, 0).tolist() == [1 / 3] * 3
+
+
+def test_weights_keep_the_targets_where_the_limits_allow():
+    size, one = np.array([500.0, 300.0, 200.0]), np.ones(3)
+    give, a = mixing.planned_tokens(np.array([0.5, 0.3, 0.2]), size, one, 1000)
+    assert a == 1 and np.allclose(give, size)
+    # the first cannot reach its target; the rest would overfill the second at the proportions of the targets
+    give, a = mixing.planned_tokens(np.array([0.6, 0.3, 0.1]), np.array([100.0, 320.0, 580.0]), np.array([2.0, 1.0, 2.0]), 1000)
+    assert give[0] == 200 and 0 < a < 1 and abs(give[1] - 320) < 0.01 and abs(give.sum() - 1000) < 1e-6
+    w = mixing.towards(np.array([0, 0.75, 0.25]), np.array([0, 320 / 900, 580 / 900]), a)
+    assert np.allclose(give[1:], 800 * w[1:])
+    # a budget near all limits
+    give, a = mixing.planned_tokens(np.array([0.5, 0.5]), np.array([100.0, 900.0]), np.array([2.0, 2.0]), 1990)
+    assert abs(give.sum() - 1990) < 1e-3 and (give <= np.array([200, 1800]) + 1e-9).all()
+    assert np.allclose(mixing.towards(np.array([0.2, 0.8]), np.array([0.5, 0.5]), 0), [0.5, 0.5])
+
+
+def test_report_says_below_and_above(spark):
+    plan = spark.createDataFrame([("a", 0.5, 2, 100, 50.0, 0.5, 1, 1.0), ("b", 0.3, 2, 100, 30.0, 0.5, 1, 1.0), ("c", 0.2, 9, 100, 20.0, 0.5, 1, 1.0)], mixing.PLAN)
+    drawn = spark.createDataFrame([(1, "a", 60, 1), (2, "b", 20, 1), (3, "c", 20, 1)], "doc_id long, source string, n_tokens long, copies int")
+    assert {r.source: r.status for r in mixing.report(drawn, plan).collect()} == {"a": "above", "b": "below", "c": "met"}
