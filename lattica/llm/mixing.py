@@ -1,10 +1,11 @@
 """Problem 8: a training mix in which each source contributes its target share of all tokens.
 
-Method: temperature mixing. Weights are w ~ t * (q / t)^(1 - a), from the target shares t (a = 1) to the natural
-shares q of the sources (a = 0). A source that would pass its repetition limit at its target share itself can reach
-no weight above that limit and is held there; over the others the exponent a is bisected to the largest value at
-which no source passes its limit, so their shares keep the proportions of the targets where these can be met and come
-as close as the limits allow where not. temperature_mix has no targets to keep: w ~ q^a, with a bisected to a target
+Method: temperature mixing. Weights are w ~ t * (q / t)^(1 - a), from the natural shares q of the sources (a = 0) to
+the target shares t (a = 1). The exponent a is bisected to the largest value at which no source passes its
+repetition limit on the way to its target. One common exponent would hold all sources near their natural shares for the sake of
+one small source, so the source that stops it is held at its limit and the exponent goes on for the others, until it reaches one
+or every source is held: what remains keeps the proportions of the targets. The report states the exponent of each source.
+temperature_mix has no targets to keep: w ~ q^a, with a bisected to a target
 entropy or to the smallest value that keeps every source within its limit. All weights are realised as
 budgeted block permutations: each source takes whole passes over its documents, and for the rest its blocks in a
 hashed order up to the budget; only the block at the budget's edge is cut, document by document.
@@ -98,26 +99,28 @@ def towards(target: np.ndarray, q: np.ndarray, a: float) -> np.ndarray:
     return w / w.sum() if w.sum() else w
 
 
-def planned_tokens(target: np.ndarray, sizes: np.ndarray, repeats: np.ndarray, budget: float) -> tuple[np.ndarray, float]:
-    """Tokens to draw from each source, and the exponent of the weights."""
+def planned_tokens(target: np.ndarray, sizes: np.ndarray, repeats: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens to draw from each source, and the exponent up to which its weight went towards the target."""
     cap = np.where(target > 0, sizes * repeats, 0.0)
-    held = target * budget > cap
-    free = ~held & (cap > 0)
-    left = budget - cap[held].sum()
-    t, q = np.where(free, target, 0.0), np.where(free, sizes, 0.0)
-    t, q = (x / x.sum() if x.sum() else x for x in (t, q))
-    fits = lambda a: bool((towards(t, q, a) * left <= cap + 1e-6).all())
-    # the largest exponent that fits is one less the smallest distance from the targets that does
-    a = 1 - bisect(lambda b: fits(1 - b))
-    give = np.where(held, cap, towards(t, q, a) * left)
-    # a budget near the limits of all sources leaves some over even at the natural shares: it goes where there is room
-    for _ in range(len(sizes)):
-        give = np.minimum(give, cap)
-        over, room = budget - give.sum(), cap - give
-        if over <= 1e-6 or not (room > 0).any():
+    free = cap > 0
+    give, exponent, at = np.zeros(len(sizes)), np.zeros(len(sizes)), 0.0
+    while free.any():
+        left = max(0.0, budget - cap[~free].sum())
+        t, q = np.where(free, target, 0.0), np.where(free, sizes, 0.0)
+        t, q = t / t.sum(), q / q.sum()
+        give = np.where(free, t * left, cap)
+        short = free & (give > cap * (1 + 1e-9))
+        if not short.any():
+            exponent[free] = 1.0
             break
-        give = give + over * np.where(room > 0, sizes, 0.0) / sizes[room > 0].sum()
-    return np.minimum(give, cap), a
+        # the largest exponent that fits is one less the smallest distance from the targets that does
+        at = 1 - bisect(lambda b: bool((towards(t, q, 1 - b) * left <= cap * (1 + 1e-9))[short].all()), 0.0, 1 - at)  # noqa: B023
+        stop = short & (towards(t, q, at + 1e-6 * (1 - at)) * left >= cap * (1 - 1e-4))
+        if not stop.any():
+            stop = short
+        exponent[stop] = at
+        free &= ~stop
+    return np.where(free, give, cap), exponent
 
 
 def draw(tokens: DataFrame, plan: DataFrame) -> DataFrame:
@@ -174,10 +177,10 @@ def planned(tokens: DataFrame, targets: DataFrame, budget: float | None = None,
         total = min(float(budget if budget is not None else size.sum()), float((size * rep).sum()))
         a = exponent_for_entropy(q, entropy(target)) if tempered_by == "entropy" else exponent_for_repeats(q, total, size, rep)
         target = tempered(q, a)
-        give = planned_tokens(target, size, rep, total)[0]
+        give, exponent = planned_tokens(target, size, rep, total)[0], np.full(len(rows), a)
     else:
-        give, a = planned_tokens(target, size, rep, total)
-    out = [(r.source, float(t), int(r.max_repeats or 0), int(r.available), float(g), float(w), max(1, math.ceil(r.docs / BLOCK_DOCS)), float(a)) for r, g, w, t in zip(rows, give, q, target)]
+        give, exponent = planned_tokens(target, size, rep, total)
+    out = [(r.source, float(t), int(r.max_repeats or 0), int(r.available), float(g), float(w), max(1, math.ceil(r.docs / BLOCK_DOCS)), float(a)) for r, g, w, t, a in zip(rows, give, q, target, exponent)]
     return tokens.sparkSession.createDataFrame(out, PLAN)
 
 
@@ -196,7 +199,7 @@ def temperature_mix(documents: DataFrame, targets: DataFrame, by: str = "repeats
 
 
 def report(drawn: DataFrame, plan: DataFrame) -> DataFrame:
-    """For each target source: what it has, its plan, the exponent of the weights, tokens and share reached, most repeats,
+    """For each target source: what it has, its plan, the exponent of its weight, tokens and share reached, most repeats,
     and whether the target is met: `met`, `below` or `above` by more than 0.001, `limited by repeats`, `no documents`."""
     own = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"), F.count(F.lit(1)).alias("documents_used"))
     got = plan.join(own, "source", "left").fillna(0, ["tokens", "most_copies", "documents_used"])
