@@ -37,3 +37,23 @@ def test_paragraphs_read_on(spark):
 def test_empty(spark):
     assert pages.found(fixture(spark).filter("false")).count() == 0
     assert pages.paragraphs(fixture(spark).filter("false")).count() == 0
+
+
+def test_only_whole_words_are_replaced(spark):
+    rows = [(f"c{i}", 1, "the xtbe plant pays the xtbe firm and the pre-x is the one") for i in range(40)]
+    rows.append(("s", 1, "In xtbe town (tbe) plant pays; pre-tbe-xtbe."))
+    df = spark.createDataFrame(rows, "doc_id string, page_number int, text string")
+    got = {r.doc_id: r.text for r in pages.paragraphs(df).collect()}
+    assert got["s"] == "In xtbe town (the) plant pays; pre-the-xtbe."
+    assert ("s", 1, 1, "ocr", "the") in {tuple(r) for r in pages.found(df).collect()}
+
+
+def test_long_words_and_many_digits(spark):
+    long = "pneumonoultramicroscopicsilicovolcanoconiosisplant"
+    assert len(long) == 50
+    rows = [(f"c{i}", 1, f"the {long} and the millions of billets") for i in range(10)]
+    rows.append(("s", 1, f"the {long.replace('m', 'rn', 1)} and m1ll10ns of AB-12 and x12y3456"))
+    df = spark.createDataFrame(rows, "doc_id string, page_number int, text string")
+    got = {(r.doc_id, r.noise, r.repaired) for r in pages.found(df).collect()}
+    assert {("s", "ocr", long), ("s", "ocr", "millions")} <= got and not [r for r in got if r[2].startswith(("x", "AB"))]
+    assert pages.restorations("l" + "1" * 12) and len(pages.restorations("l" + "1" * 12)) == 2
