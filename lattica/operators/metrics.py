@@ -143,9 +143,3 @@ def hashed_bootstrap(values: DataFrame, group: str, key: str, value: str, resamp
     ci = resampled(v, key, value, [group], resamples).groupBy(group).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
     base = v.groupBy(group).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     return base.join(ci, base[group].eqNullSafe(ci[group])).select(base[group], "mean", "lo", "hi", "n")
-
-
-def tie_ranks(df: DataFrame, value: str, out: str, partition: list[str]) -> DataFrame:
-    """Average ranks, as Spearman needs them."""
-    w = Window.partitionBy(*partition)
-    return df.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, value)) - 1) / 2.0)

@@ -16,17 +16,23 @@ from lattica.functions import text as T
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame, key: str, text: str, tokens: DataFrame | None = None) -> DataFrame:
-    """(token, key, dl, tf): term frequencies of each document; dl is its length in tokens.
+def term_arrays(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, dl, terms): the length of each document in tokens and its distinct tokens as (token, tf).
 
-    With `tokens` (a frame of them) only these are kept, before anything is shuffled, and the rows of a document
-    stay together, so that scores of documents need no further shuffle.
+    The tokens of a document are sorted and counted inside its row, so nothing is shuffled.
     """
-    w = docs.select(F.col(key).alias("key"), T.words(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
-    e = w.select("key", "dl", F.explode("w").alias("token"))
-    if tokens is not None:
-        e = e.join(bounded(tokens), "token", "left_semi").repartition("key")
-    return e.groupBy("token", "key", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    w = docs.select(F.col(key).alias("key"), F.array_sort(T.words(F.col(text))).alias("w")).withColumn("dl", F.coalesce(F.size("w"), F.lit(0)))
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.col("dl") - 1, F.lit(0))), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    w = w.withColumn("at", starts)
+    terms = F.transform("at", lambda s, j: F.struct(F.get("w", s).alias("token"), (F.coalesce(F.get("at", j + 1), F.col("dl")) - s).alias("tf")))
+    return w.select("key", "dl", terms.alias("terms"))
+
+
+def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(token, key, dl, tf): term frequencies of each document; dl is its length in tokens."""
+    # the outer form, for which no filter on the array, and with it a second tokenisation, is inferred
+    e = term_arrays(docs, key, text).select("key", "dl", F.explode_outer("terms").alias("t"))
+    return e.select("t.token", "key", "dl", "t.tf").filter("token IS NOT NULL")
 
 
 def index_stats(post: DataFrame) -> DataFrame:
@@ -42,13 +48,20 @@ def corpus_size(docs: DataFrame, text: str) -> DataFrame:
 def bm25_scores(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, question: str) -> DataFrame:
     """(query, key, score): documents that share a token with the query; a query's token counts once.
 
-    One shuffle brings the tokens that matter together by document; weights of tokens are met from the query side,
-    and the sums of a document are made where it lies.
+    Every document is tokenised once and stays one row, of which only the tokens of the queries are kept (their number
+    is counted before they are sent to the tasks, beyond it they are joined). So the scores of a document are summed
+    where it lies, and only they are shuffled.
     """
-    q = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(T.words(F.col(question)))).alias("token"))
-    post = postings(docs, key, text, q.select("token").distinct())
+    q = materialize(queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(T.words(F.col(question)))).alias("token")).distinct(), "queries")
+    wanted = bounded(q.select("token").distinct().unionByName(q.sparkSession.range(1).select(F.lit("").alias("token"))))
+    rows = term_arrays(docs, key, text)
+    # a row without a token for every document, so that the size of the corpus is read from the same pass
+    post = rows.select("key", "dl", F.explode_outer(F.concat(F.array(F.struct(F.lit("").alias("token"), F.lit(0).alias("tf"))), "terms")).alias("t")).select("key", "dl", "t.token", "t.tf")
+    post = materialize(post.join(wanted, "token", "left_semi"), "postings")
+    size = post.filter("token = '' AND dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    post = post.filter("token <> ''")
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = q.join(index_stats(post), "token").join(F.broadcast(corpus_size(docs, text))).select("query", "token", idf.alias("idf"), "avgdl")
+    terms = q.join(index_stats(post), "token").join(F.broadcast(size)).select("query", "token", idf.alias("idf"), "avgdl")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return post.join(bounded(terms), "token").groupBy("query", "key").agg(F.round(F.sum(part), 6).alias("score"))
 
@@ -96,52 +109,64 @@ QUERY_BLOCK = 512
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, key, score, rank): the k nearest of all vectors for each query vector, exact, by inner product.
 
-    Queries come in blocks of QUERY_BLOCK; each block is sent to every partition of the vectors, which answers with
-    its own k best, so only k rows for each query and partition are shuffled. Nothing is compared outside a product
-    of two blocks.
+    Queries are packed into rows of QUERY_BLOCK vectors each, vectors into rows as large; each block of queries meets each
+    block of vectors once, as a product of two matrices, and gives its k best. So the driver holds nothing, no task more
+    than two blocks, and a larger set of queries is more blocks of one join, not more scans.
     """
-    spark = vectors.sparkSession
-    out = None
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    for i in range(n_blocks):
-        block = queries.filter(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == i)
-        rows = block.orderBy("key").collect()  # about QUERY_BLOCK rows
-        held = spark.sparkContext.broadcast(([r.key for r in rows], np.array([r.v for r in rows])))
-
-        def best(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            names, m = held.value
-            keep: list[pd.DataFrame] = []
+
+    def packed(df: DataFrame, name: str, per: int) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                s = np.round(m @ np.vstack(pdf.v.to_numpy()).T, 6)
-                keys = pdf.key.to_numpy()
-                for j, name in enumerate(names):
-                    order = np.lexsort((keys, -s[j]))[:k]
-                    keep.append(pd.DataFrame({"query": name, "key": keys[order], "score": s[j][order]}))
-            if keep:
-                yield pd.concat(keep)
+                for a in range(0, len(pdf), per):
+                    part = pdf.iloc[a : a + per]
+                    yield pd.DataFrame({f"{name}_keys": [part["key"].tolist()], f"{name}_m": [np.vstack(part.v.to_numpy()).ravel().tolist()]})
+
+        return df.select("key", "v").mapInPandas(run, f"{name}_keys array<long>, {name}_m array<double>")
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for qk, qm, vk, vm in zip(pdf.q_keys, pdf.q_m, pdf.v_keys, pdf.v_m):
+                names, keys = np.asarray(qk), np.asarray(vk)
+                s = np.round(np.asarray(qm).reshape(len(names), -1) @ np.asarray(vm).reshape(len(keys), -1).T, 6)
+                keep = [np.lexsort((keys, -row))[:k] for row in s]
+                n = [len(x) for x in keep]
+                at = np.concatenate(keep)
+                yield pd.DataFrame({"query": np.repeat(names, n), "key": keys[at], "score": s[np.repeat(np.arange(len(names)), n), at]})
+
+    # blocks against blocks: each row on either side stands for up to QUERY_BLOCK vectors
+    q = materialize(packed(queries.coalesce(1) if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK else queries, "q", QUERY_BLOCK), "blocks")
+    pairs = packed(vectors, "v", QUERY_BLOCK).crossJoin(bounded(q, 64))
+    return top_k(pairs.mapInPandas(best, "query long, key long, score double"), k)
+
+
+RECALL = 0.95
+
 
-        got = vectors.mapInPandas(best, "query long, key long, score double")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        return spark.createDataFrame([], "query long, key long, score double, rank int")
-    return top_k(out, k)
+def bucket_plan(n: int, tau: float, recall: float = RECALL) -> tuple[int, int]:
+    """Planes and bands of random-plane buckets for n vectors: about 32 unrelated vectors share a bucket of a band, and a
+    pair of cosine tau meets in one of the bands with probability `recall` at least."""
+    planes = max(1, int(np.ceil(np.log2(max(2, n) / 32))))
+    meet = (1 - np.arccos(tau) / np.pi) ** planes
+    return planes, int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
 
 
-PLANES, BANDS = 5, 32
+def exact_copies(vectors: DataFrame) -> DataFrame:
+    """(key, v, representative): rows with the smallest key among the rows of the same vector."""
+    first = vectors.groupBy("v").agg(F.min("key").alias("representative"))
+    return vectors.join(first, "v")
 
 
-def similar_pairs(vectors: DataFrame, tau: float, planes: int = PLANES, bands: int = BANDS, seed: int = 7) -> DataFrame:
-    """(a, b, score): pairs of different rows with cosine of at least tau, met in random-plane buckets and checked exactly.
+def similar_pairs(vectors: DataFrame, tau: float, seed: int = 7) -> DataFrame:
+    """(a, b, score): pairs of different vectors with cosine of at least tau, met in random-plane buckets and checked exactly.
 
-    Each of `bands` keys is the signs of `planes` random projections. Keys are compared within buckets only, and
-    exact copies are joined through one representative, so a group of copies adds no pairs.
+    Each of the bands has a key of the signs of some random projections; their numbers follow the number of vectors
+    (bucket_plan). Exact copies are one vertex, their smallest key: exact_copies tells the membership.
     """
-    first = vectors.groupBy(F.xxhash64("v").alias("h")).agg(F.min("key").alias("key"), F.first("v").alias("v")).select("key", "v")
+    first = materialize(vectors.groupBy("v").agg(F.min("key").alias("key")).select("key", "v"), "vectors")
     dim = first.select(F.size("v")).limit(1).collect()
     if not dim:
         return vectors.sparkSession.createDataFrame([], "a long, b long, score double")
+    planes, bands = bucket_plan(first.count(), tau)
     rng = np.random.default_rng(seed)
     normals = rng.normal(size=(dim[0][0], planes * bands))
     held = vectors.sparkSession.sparkContext.broadcast(normals)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lattica.common import bounded, materialize, table
 from lattica.functions import text as T
 from lattica.operators import metrics as M
+from lattica.operators import ranks as K
 from lattica.operators import retrieval as R
 from lattica.plans.base import Book
 
@@ -107,33 +108,36 @@ def a07(spark, d) -> DataFrame:
     return _runs(spark, d).groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("latency"), 4).alias("avg_latency"), F.round(F.avg("kg_triples_used"), 4).alias("avg_triples"), F.round(F.avg("sub_questions"), 4).alias("avg_sub_questions"), F.count_if("insufficient").alias("n_insufficient"), F.round(F.avg(F.coalesce("insufficient", F.lit(False)).cast("int")), 6).alias("insufficient_rate"))
 
 
-@BOOK.add("A08_run_statistics", f"""WITH {RUNS} SELECT CASE WHEN grouping(strategy) = 1 THEN '(all)' ELSE strategy END AS strategy, count(latency) AS n, round(avg(latency), 3) AS mean, round(coalesce(stddev_samp(latency), 0), 3) AS std, round(quantile_cont(latency, 0.5), 9) AS p50, round(quantile_cont(latency, 0.95), 9) AS p95, round(quantile_cont(latency, 0.99), 9) AS p99, min(latency) AS lo, max(latency) AS hi, round(count(latency) / (sum(latency) / 1000), 6) AS qps
-FROM runs WHERE strategy IS NOT NULL AND latency < 1000000 GROUP BY GROUPING SETS ((strategy), ())""")
+@BOOK.add("A08_run_statistics", f"""WITH {RUNS} SELECT CASE WHEN grouping(strategy) = 1 THEN '(all)' ELSE strategy END AS strategy, count(latency) AS n, round(avg(latency), 1) AS mean, round(coalesce(stddev_samp(latency), 0), 1) AS std, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95, round(quantile_cont(latency, 0.99), 6) AS p99, min(latency) AS lo, max(latency) AS hi, round(count(latency) / (sum(latency) / 1000), 9) AS qps
+FROM runs WHERE strategy IS NOT NULL AND latency IS NOT NULL GROUP BY GROUPING SETS ((strategy), ())""")
 def a08(spark, d) -> DataFrame:
-    r = _runs(spark, d).filter("strategy IS NOT NULL AND latency < 1000000").groupingSets([["strategy"], []], "strategy")
-    got = r.agg(
-        F.grouping("strategy").alias("g"), F.count("latency").alias("n"), F.round(F.avg("latency"), 3).alias("mean"), F.round(F.coalesce(F.stddev_samp("latency"), F.lit(0.0)), 3).alias("std"),
-        F.round(F.percentile("latency", 0.5), 9).alias("p50"), F.round(F.percentile("latency", 0.95), 9).alias("p95"), F.round(F.percentile("latency", 0.99), 9).alias("p99"),
-        F.min("latency").alias("lo"), F.max("latency").alias("hi"), F.round(F.count("latency") / (F.sum("latency") / 1000), 6).alias("qps"),
+    r = _runs(spark, d).filter("strategy IS NOT NULL AND latency IS NOT NULL").select("strategy", "latency")
+    r = materialize(r.unionByName(r.withColumn("strategy", F.lit("(all)"))), "runs")
+    got = r.groupBy("strategy").agg(
+        F.count("latency").alias("n"), F.round(F.avg("latency"), 1).alias("mean"), F.round(F.coalesce(F.stddev_samp("latency"), F.lit(0.0)), 1).alias("std"),
+        F.min("latency").alias("lo"), F.max("latency").alias("hi"), F.round(F.count("latency") / (F.sum("latency") / 1000), 9).alias("qps"),
     )
-    return got.withColumn("strategy", F.when(F.col("g") == 1, "(all)").otherwise(F.col("strategy"))).drop("g")
+    q = K.quantiles(r, ["strategy"], "latency", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return got.join(q.select("strategy", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")]), "strategy")
 
 
 @BOOK.add("A09_model_matrix", f"""WITH {RUNS}, v AS (SELECT model, strategy, query_id, latency, row_number() OVER (PARTITION BY model, strategy ORDER BY latency, result_id) AS r, count(*) OVER (PARTITION BY model, strategy) AS n FROM runs WHERE latency IS NOT NULL)
-SELECT model, strategy, max(n) AS runs, count(DISTINCT query_id) AS questions, round(avg(latency), 3) AS mean, max(CASE WHEN r = greatest(1, floor(0.95 * n)) THEN latency END) AS p95_index FROM v GROUP BY model, strategy""")
+SELECT model, strategy, max(n) AS runs, count(DISTINCT query_id) AS questions, round(avg(latency), 1) AS mean, max(CASE WHEN r = greatest(1, floor(0.95 * n)) THEN latency END) AS p95_index FROM v GROUP BY model, strategy""")
 def a09(spark, d) -> DataFrame:
-    w = Window.partitionBy("model", "strategy")
-    v = _runs(spark, d).filter("latency IS NOT NULL").withColumn("r", F.row_number().over(w.orderBy("latency", "result_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    at = F.when(F.col("r") == F.greatest(F.lit(1), F.floor(0.95 * F.col("n"))), F.col("latency"))
-    return v.groupBy("model", "strategy").agg(F.max("n").alias("runs"), F.countDistinct("query_id").alias("questions"), F.round(F.avg("latency"), 3).alias("mean"), F.max(at).alias("p95_index"))
+    v = materialize(_runs(spark, d).filter("latency IS NOT NULL").select("model", "strategy", "query_id", "latency"), "runs")
+    base = v.groupBy("model", "strategy").agg(F.count(F.lit(1)).alias("runs"), F.countDistinct("query_id").alias("questions"), F.round(F.avg("latency"), 1).alias("mean"))
+    c = K.value_counts(v, ["model", "strategy"], "latency")
+    k = F.greatest(F.lit(1), F.floor(0.95 * F.col("total")))
+    at = c.filter((F.col("before") < k) & (k <= F.col("before") + F.col("n"))).select("model", "strategy", F.col("latency").alias("p95_index"))
+    return K.same(base, at, ["model", "strategy"])
 
 
-@BOOK.add("A13_group_summary", f"""WITH {RUNS}, v AS (SELECT r.model, r.strategy, q.lang AS segment, r.latency FROM runs r LEFT JOIN questions q ON r.query_id = q.query_id WHERE latency < 1000000)
-SELECT model, strategy, CASE WHEN grouping(segment) = 1 THEN '(all)' ELSE segment END AS segment, count(*) AS n, round(avg(latency), 3) AS mean, round(coalesce(stddev_samp(latency), 0), 3) AS std FROM v GROUP BY GROUPING SETS ((model, strategy, segment), (model, strategy)) HAVING grouping(segment) = 1 OR segment IS NOT NULL""")
+@BOOK.add("A13_group_summary", f"""WITH {RUNS}, v AS (SELECT r.model, r.strategy, q.lang AS segment, r.latency FROM runs r LEFT JOIN questions q ON r.query_id = q.query_id WHERE latency IS NOT NULL)
+SELECT model, strategy, CASE WHEN grouping(segment) = 1 THEN '(all)' ELSE segment END AS segment, count(*) AS n, round(avg(latency), 1) AS mean, round(coalesce(stddev_samp(latency), 0), 1) AS std FROM v GROUP BY GROUPING SETS ((model, strategy, segment), (model, strategy)) HAVING grouping(segment) = 1 OR segment IS NOT NULL""")
 def a13(spark, d) -> DataFrame:
     q = table(spark, d, "questions").select("query_id", F.col("lang").alias("segment"))
-    v = _runs(spark, d).filter("latency < 1000000").join(q, "query_id", "left")
-    g = v.groupingSets([["model", "strategy", "segment"], ["model", "strategy"]], "model", "strategy", "segment").agg(F.grouping("segment").alias("g"), F.count(F.lit(1)).alias("n"), F.round(F.avg("latency"), 3).alias("mean"), F.round(F.coalesce(F.stddev_samp("latency"), F.lit(0.0)), 3).alias("std"))
+    v = _runs(spark, d).filter("latency IS NOT NULL").join(q, "query_id", "left")
+    g = v.groupingSets([["model", "strategy", "segment"], ["model", "strategy"]], "model", "strategy", "segment").agg(F.grouping("segment").alias("g"), F.count(F.lit(1)).alias("n"), F.round(F.avg("latency"), 1).alias("mean"), F.round(F.coalesce(F.stddev_samp("latency"), F.lit(0.0)), 1).alias("std"))
     return g.filter("g = 1 OR segment IS NOT NULL").withColumn("segment", F.when(F.col("g") == 1, "(all)").otherwise(F.col("segment"))).drop("g")
 
 
@@ -153,10 +157,10 @@ def a17(spark, d) -> DataFrame:
     return c.groupBy("strategy").agg(F.count(F.lit(1)).alias("answers"), F.count_if(F.col("n") > 0).alias("cited"), F.sum("n").alias("citations"), F.round(F.avg("n"), 6).alias("per_answer"))
 
 
-@BOOK.add("A18_weighted_latency", f"WITH {RUNS}, s AS (SELECT strategy, avg(latency) AS m, count(latency) AS n FROM runs WHERE latency < 1000000 GROUP BY strategy) SELECT round(sum(m * n) / sum(n), 3) AS weighted_mean, sum(n)::BIGINT AS n FROM s")
+@BOOK.add("A18_weighted_latency", f"WITH {RUNS}, s AS (SELECT strategy, avg(latency) AS m, count(latency) AS n FROM runs WHERE latency IS NOT NULL GROUP BY strategy) SELECT round(sum(m * n) / sum(n), 1) AS weighted_mean, sum(n)::BIGINT AS n FROM s")
 def a18(spark, d) -> DataFrame:
-    s = _runs(spark, d).filter("latency < 1000000").groupBy("strategy").agg(F.avg("latency").alias("m"), F.count("latency").alias("n"))
-    return s.agg(F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 3).alias("weighted_mean"), F.sum("n").alias("n"))
+    s = _runs(spark, d).filter("latency IS NOT NULL").groupBy("strategy").agg(F.avg("latency").alias("m"), F.count("latency").alias("n"))
+    return s.agg(F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 1).alias("weighted_mean"), F.sum("n").alias("n"))
 
 
 @BOOK.add("A25_suite_stats", "SELECT coalesce(question_type, '') AS question_type, lang, count(DISTINCT item_id) AS n, count(DISTINCT passage) AS passages FROM eval_items GROUP BY 1, 2")
@@ -180,18 +184,27 @@ def a28(spark, d) -> DataFrame:
 
 @BOOK.add("A29_describe", f"WITH {RUNS} SELECT model, min(latency) AS lo, round(quantile_cont(latency, 0.05), 9) AS p05, round(median(latency), 9) AS med, max(latency) AS hi FROM runs GROUP BY model")
 def a29(spark, d) -> DataFrame:
-    return _runs(spark, d).groupBy("model").agg(F.min("latency").alias("lo"), F.round(F.percentile("latency", 0.05), 9).alias("p05"), F.round(F.percentile("latency", 0.5), 9).alias("med"), F.max("latency").alias("hi"))
+    r = materialize(_runs(spark, d).select("model", "latency"), "runs")
+    q = K.quantiles(r, ["model"], "latency", {"p05": 0.05, "med": 0.5})
+    base = r.groupBy("model").agg(F.min("latency").alias("lo"), F.max("latency").alias("hi"))
+    return K.same(base, q, ["model"], "left").select("model", "lo", F.round("p05", 9).alias("p05"), F.round("med", 9).alias("med"), "hi")
 
 
 @BOOK.add("A30_trend", f"WITH {RUNS} SELECT CAST(date_trunc('week', started_at) AS DATE)::VARCHAR AS week, count(*) AS n, round(median(latency), 9) AS med FROM runs GROUP BY 1")
 def a30(spark, d) -> DataFrame:
-    return _runs(spark, d).groupBy(F.to_date(F.date_trunc("week", "started_at")).cast("string").alias("week")).agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("latency", 0.5), 9).alias("med"))
+    r = materialize(_runs(spark, d).select(F.to_date(F.date_trunc("week", "started_at")).cast("string").alias("week"), "latency"), "runs")
+    q = K.quantiles(r, ["week"], "latency", {"med": 0.5})
+    return K.same(r.groupBy("week").agg(F.count(F.lit(1)).alias("n")), q, ["week"], "left").select("week", "n", F.round("med", 9).alias("med"))
 
 
 @BOOK.add("A38_bench_pivot", f"WITH {RUNS}, m AS (SELECT strategy, run_index, median(latency) AS m FROM runs WHERE run_index IN ('1', '2', '3') GROUP BY ALL) SELECT strategy, round(max(m) FILTER (WHERE run_index = '1'), 9) AS first, round(max(m) FILTER (WHERE run_index = '3'), 9) AS last, round(max(m) FILTER (WHERE run_index = '3') - max(m) FILTER (WHERE run_index = '1'), 9) AS delta FROM m GROUP BY strategy")
 def a38(spark, d) -> DataFrame:
-    p = _runs(spark, d).groupBy("strategy").pivot("run_index", ["1", "2", "3"]).agg(F.percentile("latency", 0.5))
-    return p.filter("`1` IS NOT NULL OR `2` IS NOT NULL OR `3` IS NOT NULL").select("strategy", F.round("1", 9).alias("first"), F.round("3", 9).alias("last"), F.round(F.col("3") - F.col("1"), 9).alias("delta"))
+    r = _runs(spark, d).filter("run_index IN ('1', '2', '3')").select("strategy", "run_index", "latency")
+    q = materialize(K.quantiles(r, ["strategy", "run_index"], "latency", {"m": 0.5}), "medians")
+    at = lambda i: F.max(F.when(F.col("run_index") == i, F.col("m")))
+    p = r.select("strategy").distinct()
+    got = q.groupBy("strategy").agg(at("1").alias("a"), at("3").alias("c"))
+    return K.same(p, got, ["strategy"], "left").select("strategy", F.round("a", 9).alias("first"), F.round("c", 9).alias("last"), F.round(F.col("c") - F.col("a"), 9).alias("delta"))
 
 
 @BOOK.add("F33_wilson_intervals", f"""WITH {RUNS}, s AS (SELECT strategy, count(*) FILTER (WHERE insufficient) AS k, count(insufficient) AS n FROM runs GROUP BY strategy)
@@ -209,33 +222,33 @@ WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
 FIRST3 = "array_to_string({0}[1:3], ' ')"
 
 
-@BOOK.add("M01_M06_ranking_metrics", f"""WITH g AS (SELECT item_id AS query, question AS qtext, lang AS qlang FROM eval_items WHERE item_id % 10 = 0),
-docs AS (SELECT doc_id AS key, lang, n_chars FROM documents),
-r AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY n_chars DESC, key) AS rank, (docs.lang = qlang)::INT AS rel FROM g JOIN docs ON key % 50 = query % 50),
-h AS (SELECT *, coalesce(rel, 0) AS rl, sum(coalesce(rel, 0)) OVER (PARTITION BY query ORDER BY rank) AS hits FROM r),
-a AS (SELECT query, count(*) FILTER (WHERE rank <= 10) AS n_top, sum(rl) FILTER (WHERE rank <= 10) AS top_hits, sum(rl) AS n_rel, sum(CASE WHEN rank <= 10 AND rl = 1 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, min(CASE WHEN rl = 1 THEN rank END) AS first, sum(CASE WHEN rl = 1 THEN hits / rank ELSE 0 END) AS ap FROM h GROUP BY query)
-SELECT query, round(top_hits / n_top, 6) AS precision, round(coalesce(top_hits / nullif(n_rel, 0), 0), 6) AS recall, (top_hits > 0)::INT AS hit, round(coalesce(dcg / nullif(list_sum(list_transform(range(1, least(n_rel, n_top)::BIGINT + 1), lambda i: 1 / log2(i + 1))), 0), 0), 6) AS ndcg, round(coalesce(1 / first, 0), 6) AS rr, round(coalesce(ap / nullif(n_rel, 0), 0), 6) AS ap FROM a""")
-def m01(spark, d) -> DataFrame:
-    g = table(spark, d, "eval_items").filter("item_id % 10 = 0").select(F.col("item_id").alias("query"), F.col("lang").alias("qlang"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "lang", "n_chars", (F.col("doc_id") % 50).alias("m"))
-    pool = g.withColumn("m", F.col("query") % 50).join(docs, "m")
-    ranked = pool.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n_chars"), "key")))
-    rel = pool.filter("lang = qlang").select("query", "key")
-    return M.ranking_metrics(ranked.select("query", "key", "rank"), rel, 10)
-
-
 def _sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, s): the sentences of each text, as their words."""
     s = df.select(key, F.explode(F.split(text, r"(?<=[.!?])\s+")).alias("s"))
     return s.select(key, F.array_join(T.words(F.col("s")), " ").alias("s")).filter("s <> ''")
 
 
-@BOOK.add("M01_M06_ranking_metrics_corpus")
-def m01c(spark, d) -> DataFrame:
+def _sentence_sql(key: str, text: str, of: str) -> str:
+    cut = f"string_split(regexp_replace({text}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    return f"SELECT DISTINCT {key} AS k, array_to_string({WORDS.format('s')}, ' ') AS s FROM (SELECT {key}, unnest({cut}) AS s FROM {of})"
+
+
+@BOOK.add("M01_M06_ranking_metrics", f"""WITH post AS (SELECT token, doc_id AS key, dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS token FROM (SELECT doc_id, {WORDS.format('text')} AS w FROM documents)) GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM post GROUP BY token), size AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT key, dl FROM post)),
+q AS (SELECT DISTINCT item_id AS query, unnest(list_distinct({WORDS.format('question')})) AS token FROM eval_items),
+scores AS (SELECT query, key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN df USING (token) JOIN q USING (token), size GROUP BY query, key),
+run AS (SELECT * FROM (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM scores) WHERE rank <= 100),
+rel AS (SELECT DISTINCT i.k AS query, d.k AS key FROM ({_sentence_sql('item_id', 'passage', 'eval_items')}) i JOIN ({_sentence_sql('doc_id', 'text', 'documents')}) d USING (s) WHERE s <> ''),
+nr AS (SELECT query, count(*) AS n_rel FROM rel GROUP BY query),
+h AS (SELECT run.*, (rel.key IS NOT NULL)::INT AS rl, sum((rel.key IS NOT NULL)::INT) OVER (PARTITION BY run.query ORDER BY rank) AS hits FROM run LEFT JOIN rel ON run.query = rel.query AND run.key = rel.key),
+a AS (SELECT query, count(*) FILTER (WHERE rank <= 10) AS n_top, sum(rl) FILTER (WHERE rank <= 10) AS top_hits, sum(CASE WHEN rank <= 10 AND rl = 1 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, min(CASE WHEN rl = 1 THEN rank END) AS first, sum(CASE WHEN rl = 1 THEN hits / rank ELSE 0 END) AS ap FROM h GROUP BY query)
+SELECT i.query, round(coalesce(top_hits / n_top, 0), 6) AS precision, round(coalesce(top_hits / n_rel, 0), 6) AS recall, coalesce((top_hits > 0)::INT, 0) AS hit, round(coalesce(dcg / nullif(list_sum(list_transform(range(1, least(n_rel, n_top)::BIGINT + 1), lambda i: 1 / log2(i + 1))), 0), 0), 6) AS ndcg, round(coalesce(1 / first, 0), 6) AS rr, round(coalesce(ap / n_rel, 0), 6) AS ap
+FROM (SELECT DISTINCT item_id AS query FROM eval_items) i LEFT JOIN a ON i.query = a.query LEFT JOIN nr ON i.query = nr.query""")
+def m01(spark, d) -> DataFrame:
     """Every item with the BM25 ranking of its question over all documents, the first hundred of which are the run.
 
     Relevant are the documents that hold a sentence of the item's passage, also those that the run has not; items
-    without a run or a relevant document get zeros. M01_M06_ranking_metrics is a small made-up pool for its SQL.
+    without a run or a relevant document get zeros.
     """
     items = table(spark, d, "eval_items").select(F.col("item_id").alias("query"), "question", "passage").distinct()
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
@@ -328,33 +341,37 @@ def m28(spark, d) -> DataFrame:
 # ---- T: statistics
 
 
-@BOOK.add("T01_bootstrap_means", f"""WITH {RUNS}, v AS (SELECT strategy, result_id, latency FROM runs WHERE latency < 1000000), r AS (SELECT *, unnest(range(1, 101)) AS r FROM v),
+@BOOK.add("T01_bootstrap_means", f"""WITH {RUNS}, v AS (SELECT strategy, result_id, latency FROM runs WHERE latency IS NOT NULL), r AS (SELECT *, unnest(range(1, 101)) AS r FROM v),
 u AS (SELECT *, ('0x' || left(md5(result_id || '|' || r), 8))::UBIGINT / 4294967296.0 AS u FROM r),
 w AS (SELECT strategy, r, latency, CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.91969860 THEN 2 WHEN u < 0.98101184 THEN 3 WHEN u < 0.99634015 THEN 4 ELSE 5 END AS w FROM u),
 m AS (SELECT strategy, sum(w * latency) / sum(w) AS m FROM w GROUP BY strategy, r HAVING sum(w) > 0), c AS (SELECT strategy, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY strategy),
 b AS (SELECT strategy, avg(latency) AS mean, count(*) AS n FROM v GROUP BY strategy)
-SELECT b.strategy, round(mean, 2) AS mean, round(lo, 2) AS lo, round(hi, 2) AS hi, n FROM b JOIN c ON b.strategy IS NOT DISTINCT FROM c.strategy""")
+SELECT b.strategy, round(mean, 1) AS mean, round(lo, 1) AS lo, round(hi, 1) AS hi, n FROM b JOIN c ON b.strategy IS NOT DISTINCT FROM c.strategy""")
 def t01(spark, d) -> DataFrame:
-    got = M.hashed_bootstrap(_runs(spark, d).filter("latency < 1000000"), "strategy", "result_id", "latency")
-    return got.select("strategy", *[F.round(c, 2).alias(c) for c in ("mean", "lo", "hi")], "n")
+    got = M.hashed_bootstrap(_runs(spark, d).filter("latency IS NOT NULL"), "strategy", "result_id", "latency")
+    return got.select("strategy", *[F.round(c, 1).alias(c) for c in ("mean", "lo", "hi")], "n")
 
 
 @BOOK.add("T05_regression_gate", f"""WITH {RUNS}, m AS (SELECT strategy, median(latency) FILTER (WHERE run_index = '1') AS base, median(latency) FILTER (WHERE run_index = '2') AS cur FROM runs GROUP BY strategy)
 SELECT strategy, CASE WHEN base IS NULL OR cur IS NULL OR base = 0 THEN 'stable' WHEN (cur - base) / base > 0.05 THEN 'regressed' WHEN (cur - base) / base < -0.05 THEN 'improved' ELSE 'stable' END AS status FROM m""")
 def t05(spark, d) -> DataFrame:
-    at = lambda i: F.percentile(F.when(F.col("run_index") == i, F.col("latency")), 0.5)
-    m = _runs(spark, d).groupBy("strategy").agg(at("1").alias("base"), at("2").alias("cur"))
+    r = materialize(_runs(spark, d).select("strategy", "run_index", "latency"), "runs")
+    q = materialize(K.quantiles(r.filter("run_index IN ('1', '2')"), ["strategy", "run_index"], "latency", {"m": 0.5}), "medians")
+    at = lambda i: F.max(F.when(F.col("run_index") == i, F.col("m")))
+    m = K.same(r.select("strategy").distinct(), q.groupBy("strategy").agg(at("1").alias("base"), at("2").alias("cur")), ["strategy"], "left")
     rel = M.ratio(F.col("cur") - F.col("base"), F.col("base"))
     return m.select("strategy", F.when(rel > 0.05, "regressed").when(rel < -0.05, "improved").otherwise("stable").alias("status"))
 
 
 @BOOK.add("T06_spearman_by_strategy", f"""WITH {RUNS}, v AS (SELECT strategy, latency AS x, length(answer) AS y FROM runs WHERE latency IS NOT NULL AND answer IS NOT NULL AND strategy IS NOT NULL),
 r AS (SELECT strategy, rank() OVER (PARTITION BY strategy ORDER BY x) + (count(*) OVER (PARTITION BY strategy, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY strategy ORDER BY y) + (count(*) OVER (PARTITION BY strategy, y) - 1) / 2.0 AS ry FROM v)
-SELECT strategy, count(*) AS n, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY strategy""")
+SELECT strategy, count(*) AS n, CASE WHEN count(*) >= 2 AND count(DISTINCT rx) > 1 AND count(DISTINCT ry) > 1 THEN round(corr(rx, ry), 6) END AS spearman FROM r GROUP BY strategy""")
 def t06(spark, d) -> DataFrame:
     v = _runs(spark, d).filter("latency IS NOT NULL AND answer IS NOT NULL AND strategy IS NOT NULL").select("strategy", F.col("latency").alias("x"), F.length("answer").alias("y"))
-    r = M.tie_ranks(M.tie_ranks(v, "x", "rx", ["strategy"]), "y", "ry", ["strategy"])
-    return r.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("rx", "ry"), 6).alias("spearman"))
+    v = materialize(v, "runs")
+    r = K.tie_ranks(K.tie_ranks(v, "x", "rx", ["strategy"]), "y", "ry", ["strategy"])
+    varied = (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))
+    return r.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.when(varied, F.round(F.corr("rx", "ry"), 6)).alias("spearman"))
 
 
 @BOOK.add("A34_length_correlation", f"WITH {RUNS} SELECT strategy, round(corr(length(answer), kg_triples_used), 6) AS r FROM runs WHERE answer IS NOT NULL AND strategy IS NOT NULL GROUP BY strategy")

@@ -9,6 +9,7 @@ from lattica.common import table
 from lattica.functions import text as T
 from lattica.operators import graph as G
 from lattica.operators import metrics as M
+from lattica.operators import ranks as K
 from lattica.operators import retrieval as R
 from lattica.plans.base import Book
 from lattica.plans.q_eval import RUNS, WORDS, _runs
@@ -217,12 +218,13 @@ def u04(spark, d) -> DataFrame:
 @BOOK.add("W08_tie_ranks", "SELECT pair_id, rank() OVER (PARTITION BY left_label ORDER BY round(similarity, 1)) + (count(*) OVER (PARTITION BY left_label, round(similarity, 1)) - 1) / 2.0 AS r FROM match_pairs WHERE similarity IS NOT NULL")
 def w08(spark, d) -> DataFrame:
     m = table(spark, d, "match_pairs").filter("similarity IS NOT NULL").withColumn("s", F.round("similarity", 1))
-    return M.tie_ranks(m, "s", "r", ["left_label"]).select("pair_id", "r")
+    return K.tie_ranks(m, "s", "r", ["left_label"]).select("pair_id", "r")
 
 
 @BOOK.add("W12_kth_occurrence", f"WITH {RUNS} SELECT result_id, row_number() OVER (PARTITION BY strategy, query_id ORDER BY started_at, result_id)::INT AS k FROM runs")
 def w12(spark, d) -> DataFrame:
-    return _runs(spark, d).select("result_id", F.row_number().over(Window.partitionBy("strategy", "query_id").orderBy("started_at", "result_id")).alias("k"))
+    r = K.numbered(_runs(spark, d).select("strategy", "query_id", "started_at", "result_id"), ["strategy", "query_id"], ["started_at", "result_id"], "k")
+    return r.select("result_id", F.col("k").cast("int").alias("k"))
 
 
 @BOOK.add("O06_most_common", "SELECT doc, predicate, n FROM (SELECT relationship_properties['source_doc'] AS doc, predicate, count(*) AS n, row_number() OVER (PARTITION BY relationship_properties['source_doc'] ORDER BY count(*) DESC, predicate) AS r FROM triples WHERE predicate IS NOT NULL GROUP BY 1, 2) WHERE r <= 3")
@@ -323,12 +325,12 @@ def m29(spark, d) -> DataFrame:
     return c.groupBy("code").agg(F.count(F.lit(1)).alias("answers"))
 
 
-@BOOK.add("T02_paired_bootstrap", f"""WITH {RUNS}, m AS (SELECT strategy, query_id, avg(latency) AS l FROM runs WHERE latency < 1000000 AND query_id IS NOT NULL GROUP BY ALL), p AS (SELECT a.query_id, a.l - b.l AS delta FROM m a JOIN m b ON a.query_id = b.query_id WHERE a.strategy = 'hybrid' AND b.strategy = 'default'),
+@BOOK.add("T02_paired_bootstrap", f"""WITH {RUNS}, m AS (SELECT strategy, query_id, avg(latency) AS l FROM runs WHERE latency IS NOT NULL AND query_id IS NOT NULL GROUP BY ALL), p AS (SELECT a.query_id, a.l - b.l AS delta FROM m a JOIN m b ON a.query_id = b.query_id WHERE a.strategy = 'hybrid' AND b.strategy = 'default'),
 r AS (SELECT *, unnest(range(1, 101)) AS r FROM p), u AS (SELECT *, ('0x' || left(md5(query_id || '|' || r), 8))::UBIGINT / 4294967296.0 AS u FROM r),
 w AS (SELECT r, delta, CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.91969860 THEN 2 WHEN u < 0.98101184 THEN 3 WHEN u < 0.99634015 THEN 4 ELSE 5 END AS w FROM u),
 b AS (SELECT sum(w * delta) / sum(w) AS m FROM w GROUP BY r HAVING sum(w) > 0) SELECT (SELECT count(*) FROM p) AS n, round(avg((m > 0)::INT), 6) AS p_above FROM b""")
 def t02(spark, d) -> DataFrame:
-    m = _runs(spark, d).filter("latency < 1000000 AND query_id IS NOT NULL").groupBy("strategy", "query_id").agg(F.avg("latency").alias("l"))
+    m = _runs(spark, d).filter("latency IS NOT NULL AND query_id IS NOT NULL").groupBy("strategy", "query_id").agg(F.avg("latency").alias("l"))
     p = m.filter("strategy = 'hybrid'").select("query_id", F.col("l").alias("a")).join(m.filter("strategy = 'default'").select("query_id", F.col("l").alias("b")), "query_id").select("query_id", (F.col("a") - F.col("b")).alias("delta"))
     sums = M.resampled(p, "query_id", "delta", [])
     n = p.agg(F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.common import table
 from lattica.functions import text as T
+from lattica.operators import ranks as K
 from lattica.operators import retrieval as R
 from lattica.plans.base import Book
 from lattica.plans.q_text import STOP_SQL
@@ -67,9 +68,15 @@ def r05(spark, d) -> DataFrame:
 
 @BOOK.add("J11_similar_vectors")
 def j11(spark, d) -> DataFrame:
+    """Pairs of representatives; J11_vector_copies tells which rows each stands for."""
     return R.similar_pairs(R.unit(table(spark, d, "embeddings"), "vec_id", "embedding"), 0.5)
 
 
+@BOOK.add("J11_vector_copies", f"WITH {VEC} SELECT key, min(key) OVER (PARTITION BY v) AS representative FROM u")
+def j11_copies(spark, d) -> DataFrame:
+    return R.exact_copies(R.unit(table(spark, d, "embeddings"), "vec_id", "embedding")).select("key", "representative")
+
+
 @BOOK.add("R06_node_search", f"""WITH n AS (SELECT DISTINCT entity_id, canonical_name FROM registry WHERE canonical_name IS NOT NULL), t AS (SELECT entity_id, unnest(list_distinct({W.format('canonical_name')})) AS token FROM n),
 df AS (SELECT token, count(DISTINCT entity_id) AS df FROM t GROUP BY token), s AS (SELECT count(DISTINCT entity_id) AS n FROM t),
 q AS (SELECT query_id AS query, unnest(list_filter(list_distinct({W.format('question')}), lambda x: length(x) >= 3 AND NOT list_contains({STOP_SQL}, x))) AS token FROM questions),
@@ -204,7 +211,7 @@ def o05(spark, d) -> DataFrame:
     return n.groupBy("key").agg(best).select("key", F.col("b.name").alias("name"))
 
 
-@BOOK.add("O08_seeded_shuffle", "SELECT query_id, row_number() OVER (ORDER BY md5(query_id || '7'), query_id)::INT AS position FROM (SELECT DISTINCT query_id FROM questions)")
+@BOOK.add("O08_seeded_shuffle", "SELECT result_id, row_number() OVER (ORDER BY md5(result_id || '7'), result_id) AS position FROM (SELECT DISTINCT result_id FROM results WHERE result_id IS NOT NULL)")
 def o08(spark, d) -> DataFrame:
-    q = table(spark, d, "questions").select("query_id").distinct()
-    return q.withColumn("position", F.row_number().over(Window.orderBy(F.md5(F.concat("query_id", F.lit("7"))), "query_id")))
+    q = table(spark, d, "results").filter("result_id IS NOT NULL").select("result_id", F.md5(F.concat(F.col("result_id").cast("string"), F.lit("7"))).alias("h")).distinct()
+    return K.numbered(q, [], ["h", "result_id"], "position").select("result_id", "position")

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lattica.operators import metrics as M
+from lattica.operators import ranks as K
 from lattica.operators import retrieval as R
 
 
@@ -90,7 +91,7 @@ def test_bootstrap_is_reproducible(spark):
 
 def test_tie_ranks(spark):
     v = spark.createDataFrame([("g", 1.0), ("g", 2.0), ("g", 2.0), ("g", 3.0)], "g string, v double")
-    assert sorted(r.r for r in M.tie_ranks(v, "v", "r", ["g"]).collect()) == [1.0, 2.5, 2.5, 4.0]
+    assert sorted(r.r for r in K.tie_ranks(v, "v", "r", ["g"]).collect()) == [1.0, 2.5, 2.5, 4.0]
     assert spark.range(1).select(*[c.isNull().alias(n) for c, n in zip(M.wilson(F.lit(0), F.lit(0)), "ab")]).first() == (True, True)
 
 
@@ -101,7 +102,20 @@ def test_ranking_metrics_take_every_item_and_all_documents(spark, tmp_path):
     docs = [(1, "Whey whey whey, dried where? Whey is where it is."), (2, "A report. Whey is dried in Lodi! The end."), (3, "Husks are sold by Anna."), (4, None)]
     spark.createDataFrame(items, "item_id long, question string, passage string").write.parquet(f"{tmp_path}/eval_items.parquet")
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["query"]: r for r in registry.queries()["M01_M06_ranking_metrics_corpus"](spark, str(tmp_path)).collect()}
+    got = {r["query"]: r for r in registry.queries()["M01_M06_ranking_metrics"](spark, str(tmp_path)).collect()}
     assert set(got) == {11, 12, 13, 14}
     assert (got[11].hit, got[11].precision, got[11].recall, got[11].rr, got[11].ap) == (1, 0.5, 1.0, 0.5, 0.5)
     assert all(got[k].hit == 0 and got[k].recall == 0 for k in (12, 13, 14))
+
+
+def test_running_totals_and_quantiles(spark):
+    import statistics
+
+    rows = [("a", float(i % 13)) for i in range(200)] + [(None, float(i)) for i in range(5)] + [("b", None), ("c", 3.0)]
+    v = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: (r.lo, r.med) for r in K.quantiles(v, ["g"], "v", {"lo": 0.25, "med": 0.5}).collect()}
+    a = sorted(x for g, x in rows if g == "a")
+    assert got == {"a": (statistics.quantiles(a, n=4, method="inclusive")[0], statistics.median(a)), None: (1.0, 2.0), "c": (3.0, 3.0)}
+    n = {(r.g, r.v, r.k): r.k for r in K.numbered(v.filter("g IS NULL"), ["g"], ["v"], "k").collect()}
+    assert n == {(None, float(i), i + 1): i + 1 for i in range(5)}
+    assert K.quantiles(v.filter("false"), ["g"], "v", {"med": 0.5}).count() == 0
