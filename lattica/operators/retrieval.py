@@ -21,7 +21,7 @@ def term_arrays(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     The tokens of a document are sorted and counted inside its row, so nothing is shuffled.
     """
-    w = docs.select(F.col(key).alias("key"), F.array_sort(T.words(F.col(text))).alias("w")).withColumn("dl", F.coalesce(F.size("w"), F.lit(0)))
+    w = docs.select(F.col(key).alias("key"), F.sort_array(T.words(F.col(text))).alias("w")).withColumn("dl", F.coalesce(F.size("w"), F.lit(0)))
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.col("dl") - 1, F.lit(0))), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
     w = w.withColumn("at", starts)
     terms = F.transform("at", lambda s, j: F.struct(F.get("w", s).alias("token"), (F.coalesce(F.get("at", j + 1), F.col("dl")) - s).alias("tf")))

@@ -107,15 +107,17 @@ def g06(spark, d) -> DataFrame:
     return G.shortest_lengths(_edges(spark, d), _pairs(spark, d), 3)
 
 
-@BOOK.add("G07_components", f"""WITH RECURSIVE {EDGES}, a AS (SELECT src AS u, dst AS v FROM edges WHERE type = 'PARTNER_OF' UNION SELECT dst, src FROM edges WHERE type = 'PARTNER_OF'), r(u, v) AS (SELECT u, v FROM a UNION SELECT r.u, a.v FROM r JOIN a ON r.v = a.u)
-SELECT u AS node, least(u, min(v)) AS component FROM r GROUP BY u""")
-def g07(spark, d) -> DataFrame:
-    """The slice of one relation that its SQL can close; the whole graph is G07_components_whole_graph."""
-    return G.components(_edges(spark, d).filter("type = 'PARTNER_OF'"))
+def closure_sql(arcs: str) -> str:
+    """SQL of (u, c): the smallest vertex of the component of each vertex, by labels that spread over `arcs` (u, v both ways)."""
+    return f"""WITH RECURSIVE arcs AS ({arcs}), cc(u, c) USING KEY (u) AS (SELECT DISTINCT u, u FROM arcs UNION
+SELECT a.u, min(cc.c) FROM cc JOIN arcs a ON a.v = cc.u JOIN recurring.cc k ON k.u = a.u WHERE cc.c < k.c GROUP BY a.u)"""
+
+
+ARCS = f"WITH {EDGES} SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges"
 
 
-@BOOK.add("G07_components_whole_graph")
-def g07w(spark, d) -> DataFrame:
+@BOOK.add("G07_components", closure_sql(ARCS) + " SELECT u AS node, c AS component FROM cc")
+def g07(spark, d) -> DataFrame:
     return G.components(_edges(spark, d))
 
 
@@ -206,10 +208,10 @@ def g20(spark, d) -> DataFrame:
     return e.select("edge_id", F.coalesce(new, F.col("type")).alias("type"))
 
 
-@BOOK.add("G21_relation_to_property", f"WITH {EDGES} SELECT src AS node, string_agg(dst, '|' ORDER BY dst) AS published FROM (SELECT DISTINCT src, dst FROM edges WHERE type = 'PUBLISHED_DURING') GROUP BY src")
+@BOOK.add("G21_relation_to_property", f"WITH {EDGES} SELECT DISTINCT src AS node, dst AS published FROM edges WHERE type = 'PUBLISHED_DURING'")
 def g21(spark, d) -> DataFrame:
-    e = _edges(spark, d).filter("type = 'PUBLISHED_DURING'")
-    return e.groupBy(F.col("src").alias("node")).agg(F.array_join(F.array_sort(F.collect_set("dst")), "|").alias("published"))
+    """One row for each value of the property, so a hub is never one row."""
+    return _edges(spark, d).filter("type = 'PUBLISHED_DURING'").select(F.col("src").alias("node"), F.col("dst").alias("published")).distinct()
 
 
 @BOOK.add("G25_self_loops", f"WITH {EDGES} SELECT edge_id, src, type FROM edges WHERE src = dst")
@@ -352,22 +354,11 @@ def j16(spark, d) -> DataFrame:
     return t.join(m.select(F.col("k").alias("o"), F.col("id").alias("object_id")), "o", "left").select("triple_id", "subject_id", "object_id")
 
 
-@BOOK.add("J19_edge_context", f"""WITH {EDGES}, {INC}, r AS (SELECT a.edge_id, b.edge_id AS other, row_number() OVER (PARTITION BY a.edge_id ORDER BY b.edge_id) AS k FROM edges a JOIN inc b ON a.src = b.node AND a.edge_id <> b.edge_id WHERE a.type = 'ORGANISES_EVENT')
-SELECT edge_id, other FROM r WHERE k <= 3""")
-def j19(spark, d) -> DataFrame:
-    e = _edges(spark, d)
-    a = e.filter("type = 'ORGANISES_EVENT'").select("edge_id", F.col("src").alias("node"))
-    # only the first four edges of a node can be among the first three others
-    first = G.incident(e).withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("edge_id"))).filter("k <= 4").select("node", F.col("edge_id").alias("other"))
-    j = a.join(first, "node").filter("edge_id <> other")
-    return j.withColumn("k", F.row_number().over(Window.partitionBy("edge_id").orderBy("other"))).filter("k <= 3").select("edge_id", "other")
-
-
-@BOOK.add("J19_edge_context_all", f"""WITH {EDGES}, {INC}, ends AS (SELECT edge_id, src AS node FROM edges UNION SELECT edge_id, dst FROM edges),
+@BOOK.add("J19_edge_context", f"""WITH {EDGES}, {INC}, ends AS (SELECT edge_id, src AS node FROM edges UNION SELECT edge_id, dst FROM edges),
 r AS (SELECT a.edge_id, a.node, b.edge_id AS other, row_number() OVER (PARTITION BY a.edge_id, a.node ORDER BY b.edge_id) AS k FROM ends a JOIN inc b ON a.node = b.node AND a.edge_id <> b.edge_id)
 SELECT edge_id, node, other FROM r WHERE k <= 3""")
-def j19a(spark, d) -> DataFrame:
-    """The first three other edges of both endpoints of every edge; J19_edge_context is the slice of one relation."""
+def j19(spark, d) -> DataFrame:
+    """The first three other edges of both endpoints of every edge."""
     inc = G.incident(_edges(spark, d)).select("node", "edge_id")
     # only the first four edges of a node can be among the first three others
     first = inc.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("edge_id"))).filter("k <= 4").select("node", F.col("edge_id").alias("other"))

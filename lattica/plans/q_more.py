@@ -13,7 +13,7 @@ from lattica.operators import ranks as K
 from lattica.operators import retrieval as R
 from lattica.plans.base import Book
 from lattica.plans.q_eval import RUNS, WORDS, _runs
-from lattica.plans.q_graph import DEG, EDGES, INC, NODES, SEEDS, _edges, _key, _name, _nodes, _seeds
+from lattica.plans.q_graph import DEG, EDGES, INC, NODES, SEEDS, _edges, _key, _name, _nodes, _seeds, closure_sql
 from lattica.plans.q_retrieval import VEC
 
 BOOK = Book()
@@ -236,16 +236,12 @@ def o06(spark, d) -> DataFrame:
 # ---- G, R
 
 
-@BOOK.add("G09_same_as_contracted", """WITH RECURSIVE a AS (SELECT left_group AS u, right_group AS v FROM match_pairs WHERE same_entity AND similarity >= 0.95 UNION SELECT right_group, left_group FROM match_pairs WHERE same_entity AND similarity >= 0.95), r(u, v) AS (SELECT u, v FROM a UNION SELECT r.u, a.v FROM r JOIN a ON r.v = a.u),
-c AS (SELECT u, least(u, min(v)) AS c FROM r GROUP BY u), g AS (SELECT entity_id, max(len(aliases)) AS degree FROM registry GROUP BY entity_id), k AS (SELECT c, u, row_number() OVER (PARTITION BY c ORDER BY coalesce(degree, 0) DESC, u) AS rn FROM c LEFT JOIN g ON u = entity_id)
-SELECT c.u AS entity_id, k.u AS keep FROM c JOIN k ON c.c = k.c AND k.rn = 1""")
-def g09(spark, d) -> DataFrame:
-    """The slice that its SQL can close; all confirmed pairs are G09_same_as_contracted_all."""
-    return _contracted(spark, d, table(spark, d, "match_pairs").filter("same_entity AND similarity >= 0.95"))
+SAME = "SELECT left_group AS u, right_group AS v FROM match_pairs WHERE same_entity AND left_group IS NOT NULL AND right_group IS NOT NULL"
 
 
-@BOOK.add("G09_same_as_contracted_all")
-def g09a(spark, d) -> DataFrame:
+@BOOK.add("G09_same_as_contracted", closure_sql(f"{SAME} UNION SELECT v, u FROM ({SAME})") + """, g AS (SELECT entity_id, max(len(aliases)) AS degree FROM registry GROUP BY entity_id), k AS (SELECT c, u, row_number() OVER (PARTITION BY c ORDER BY coalesce(degree, 0) DESC, u) AS rn FROM cc LEFT JOIN g ON u = entity_id)
+SELECT cc.u AS entity_id, k.u AS keep FROM cc JOIN k ON cc.c = k.c AND k.rn = 1""")
+def g09(spark, d) -> DataFrame:
     return _contracted(spark, d, table(spark, d, "match_pairs").filter("same_entity"))
 
 

@@ -115,11 +115,14 @@ def f19(spark, d) -> DataFrame:
     return table(spark, d, "triples").filter(r.rlike(r"^\d+(-\d+)?$")).select("triple_id", F.explode(T.page_spec(r)).alias("page")).select("triple_id", F.col("page").cast("long").alias("page"))
 
 
-@BOOK.add("F39_corpus_fingerprint", "SELECT source, left(sha256(string_agg(h, ',' ORDER BY h)), 16) AS fingerprint FROM (SELECT coalesce(source, '') AS source, sha256(doc_id || ':' || text) AS h FROM documents) GROUP BY source")
+@BOOK.add("F39_corpus_fingerprint", "SELECT source, left(sha256(count(*) || ':' || sum(('0x' || substr(h, 1, 8))::UBIGINT)::BIGINT || ':' || bit_xor(('0x' || substr(h, 9, 15))::UBIGINT)::BIGINT), 16) AS fingerprint FROM (SELECT coalesce(source, '') AS source, sha256(doc_id || ':' || text) AS h FROM documents WHERE text IS NOT NULL) GROUP BY source")
 def f39(spark, d) -> DataFrame:
+    """Count, sum and exclusive or of the hashes of the documents: the same in any order, and added up before the shuffle."""
     h = F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("text")), 256)
-    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("source"), h.alias("h"))
-    return docs.groupBy("source").agg(F.left(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256), F.lit(16)).alias("fingerprint"))
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select(F.coalesce("source", F.lit("")).alias("source"), h.alias("h"))
+    part = lambda at, n: F.conv(F.substring("h", at, n), 16, 10).cast("long")
+    got = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(part(1, 8)).alias("s"), F.bit_xor(part(9, 15)).alias("x"))
+    return got.select("source", F.left(F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in ("n", "s", "x")]), 256), F.lit(16)).alias("fingerprint"))
 
 
 @BOOK.add("F40_rendered_triples", """SELECT triple_id, '(' || subject || ', ' || predicate || ', ' || object || ') [source=' || relationship_properties['source_doc'] || ', pages=' || relationship_properties['page_range'] || ', mentions=' ||

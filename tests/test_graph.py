@@ -97,15 +97,15 @@ def tables_of(spark, path):
 def test_components_of_all_relations_and_confirmed_pairs(spark, tmp_path):
     q = registry.queries()
     tables_of(spark, tmp_path)
-    got = {tuple(r) for r in q["G07_components_whole_graph"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in q["G07_components"](spark, str(tmp_path)).collect()}
     assert got == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("e", "d")}
-    got = {tuple(r) for r in q["G09_same_as_contracted_all"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in q["G09_same_as_contracted"](spark, str(tmp_path)).collect()}
     assert got == {(i, 3) for i in (1, 2, 3, 4)}
 
 
 def test_edge_context_of_both_ends_of_every_edge(spark, tmp_path):
     t = [(i, "Hub", "USES", f"N{i}") for i in range(1, 7)] + [(7, "N1", "PRODUCES", "M"), (8, "M", "USES", "M")]
     spark.createDataFrame(t, "triple_id long, subject string, predicate string, object string").write.parquet(f"{tmp_path}/triples.parquet")
-    got = {tuple(r) for r in registry.queries()["J19_edge_context_all"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in registry.queries()["J19_edge_context"](spark, str(tmp_path)).collect()}
     want = {(i, "hub", o) for i in range(1, 7) for o in [x for x in range(1, 7) if x != i][:3]}
     assert got == want | {(1, "n1", 7), (7, "n1", 1), (7, "m", 8), (8, "m", 7)}
