@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.common import bounded
 from lattica.functions import text as T
 
-LONGEST = 6
+def phrases(df: DataFrame, key: str, text: str, heads: DataFrame) -> DataFrame:
+    """(key, at, n, phrase): runs of words from each place where a name may begin, as long as the names that begin so.
 
-
-def phrases(df: DataFrame, key: str, text: str, longest: int = LONGEST) -> DataFrame:
-    """(key, at, n, phrase): runs of up to `longest` words with their place."""
-    w = df.select(key, T.words(F.col(text)).alias("w")).filter(F.size("w") > 0)
-    w = w.select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("at"))
-    w = w.select(key, "at", F.slice("w", F.col("at"), longest).alias("w"))
+    heads: (head, longest), the first words of the names and the words of their longest name. Places without
+    such a word are dropped before any run is made.
+    """
+    w = df.select(key, T.words(F.col(text)).alias("w"))
+    w = w.select(key, "w", F.posexplode_outer("w").alias("i", "head")).filter("head IS NOT NULL")
+    w = w.join(bounded(heads), "head").select(key, (F.col("i") + 1).alias("at"), F.expr("slice(w, i + 1, longest)").alias("w"))
     w = w.select(key, "at", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n"))
     return w.select(key, "at", "n", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("phrase"))
 
 
 def gazetteer_mentions(texts: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
-    """(key, at, n, phrase): places at which a name stands as whole words. names: (phrase)."""
-    return phrases(texts, key, text).join(names.select("phrase").distinct(), "phrase", "left_semi")
+    """(key, at, n, phrase): places at which a name of any length stands as whole words. names: (phrase), words
+    with one blank between them."""
+    names = names.select("phrase").filter("phrase <> ''").distinct()
+    words = F.split("phrase", " ")
+    heads = names.groupBy(F.get(words, F.lit(0)).alias("head")).agg(F.max(F.size(words)).alias("longest"))
+    return phrases(texts, key, text, heads).join(names, "phrase", "left_semi")
 
 
 def longest_mentions(mentions: DataFrame, key: str) -> DataFrame:

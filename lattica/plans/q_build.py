@@ -112,7 +112,7 @@ def k18(spark, d) -> DataFrame:
 WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
 NAMES = f"names AS (SELECT DISTINCT array_to_string({WORDS.format('canonical_name')}, ' ') AS phrase FROM registry WHERE canonical_name IS NOT NULL)"
 GRAMS = f"""w AS (SELECT chunk_id, {WORDS.format('text')} AS w FROM (SELECT DISTINCT chunk_id, text FROM chunks)),
-g AS (SELECT chunk_id, pos, n, array_to_string(w[pos:(pos + n - 1)], ' ') AS phrase FROM (SELECT chunk_id, w, pos, unnest(range(1, least(6, len(w) - pos + 1) + 1)) AS n FROM (SELECT chunk_id, w, unnest(range(1, len(w) + 1)) AS pos FROM w))),
+g AS (SELECT chunk_id, pos, n, array_to_string(w[pos:(pos + n - 1)], ' ') AS phrase FROM (SELECT chunk_id, w, pos, unnest(range(1, least((SELECT max(len(string_split(phrase, ' '))) FROM names), len(w) - pos + 1) + 1)) AS n FROM (SELECT chunk_id, w, unnest(range(1, len(w) + 1)) AS pos FROM w))),
 m AS (SELECT chunk_id, pos, n, phrase FROM g WHERE phrase <> '' AND phrase IN (SELECT phrase FROM names)), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, pos ORDER BY n DESC) AS r FROM m) WHERE r = 1)"""
 
 
@@ -144,11 +144,12 @@ def resolve(spark, d) -> DataFrame:
     return extract.initial_groups(table(spark, d, "triples"))
 
 
-@BOOK.add("X06_closed_list_candidates", f"WITH {NAMES}, {GRAMS}, t AS (SELECT phrase, chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY max(n) DESC, length(phrase) DESC, phrase) AS r FROM l GROUP BY chunk_id, phrase) SELECT chunk_id, phrase, r AS rank FROM t WHERE r <= 5")
+@BOOK.add("X06_closed_list_candidates", f"WITH {NAMES}, {GRAMS}, t AS (SELECT phrase, chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY max(n) DESC, length(phrase) DESC, phrase) AS r FROM l WHERE n <= 8 GROUP BY chunk_id, phrase) SELECT chunk_id, phrase, r AS rank FROM t WHERE r <= 25")
 def x06(spark, d) -> DataFrame:
-    m = _mentions(spark, d).groupBy("chunk_id", "phrase").agg(F.max("n").alias("n"))
+    """Names of one to eight words, the first 25 of a chunk."""
+    m = _mentions(spark, d).filter("n <= 8").groupBy("chunk_id", "phrase").agg(F.max("n").alias("n"))
     w = Window.partitionBy("chunk_id").orderBy(F.desc("n"), F.desc(F.length("phrase")), "phrase")
-    return m.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 5").select("chunk_id", "phrase", "rank")
+    return m.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 25").select("chunk_id", "phrase", "rank")
 
 
 # ---- P, G: predicates and repairs over names

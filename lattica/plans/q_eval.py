@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.common import bounded, materialize, table
 from lattica.functions import text as T
+from lattica.operators import extract
 from lattica.operators import metrics as M
 from lattica.operators import ranks as K
 from lattica.operators import retrieval as R
@@ -318,13 +319,22 @@ def m19(spark, d) -> DataFrame:
     return t.join(best, "form").select("triple_id", "uri", "ambiguous")
 
 
-@BOOK.add("M20_gazetteer_mentions", f"""WITH g AS (SELECT DISTINCT lower(label_it) AS form FROM relation_vocab WHERE NOT contains(label_it, ' ') UNION SELECT DISTINCT a FROM (SELECT unnest(aliases) AS a FROM relation_vocab) WHERE NOT contains(a, ' '))
-SELECT chunk_id, w AS form, count(*) AS n FROM (SELECT chunk_id, unnest({WORDS.format('text')}) AS w FROM (SELECT DISTINCT chunk_id, text FROM chunks)) JOIN g ON w = form GROUP BY chunk_id, w""")
+FOLDED = "translate(lower({0}), '" + T.MARKED + "', '" + T.PLAIN + "')"
+FORMS = f"forms AS (SELECT DISTINCT array_to_string({WORDS.format(FOLDED.format('f'))}, ' ') AS form FROM (SELECT label_it AS f FROM relation_vocab UNION ALL SELECT unnest(aliases) FROM relation_vocab) WHERE f IS NOT NULL)"
+
+
+@BOOK.add("M20_gazetteer_mentions", f"""WITH {FORMS}, w AS (SELECT chunk_id, {WORDS.format(FOLDED.format('text'))} AS w FROM (SELECT DISTINCT chunk_id, text FROM chunks)),
+g AS (SELECT chunk_id, array_to_string(w[p:(p + n - 1)], ' ') AS form FROM (SELECT chunk_id, w, p, unnest(range(1, least((SELECT max(len(string_split(form, ' '))) FROM forms), len(w) - p + 1) + 1)) AS n FROM (SELECT chunk_id, w, unnest(range(1, len(w) + 1)) AS p FROM w)))
+SELECT chunk_id, form, count(*) AS n FROM g JOIN forms USING (form) WHERE form <> '' GROUP BY chunk_id, form""")
 def m20(spark, d) -> DataFrame:
+    """Forms of any number of words, folded on both sides."""
     v = table(spark, d, "relation_vocab")
-    forms = v.select(F.lower("label_it").alias("form")).unionByName(v.select(F.explode("aliases").alias("form"))).filter(~F.col("form").contains(" ")).distinct()
-    w = table(spark, d, "chunks").select("chunk_id", "text").distinct().select("chunk_id", F.explode(T.words(F.col("text"))).alias("form"))
-    return w.join(forms, "form").groupBy("chunk_id", "form").agg(F.count(F.lit(1)).alias("n"))
+    fold = lambda c: F.translate(F.lower(c), T.MARKED, T.PLAIN)
+    forms = v.select(F.col("label_it").alias("f")).unionByName(v.select(F.explode("aliases").alias("f"))).filter("f IS NOT NULL")
+    forms = forms.select(F.array_join(T.words(fold(F.col("f"))), " ").alias("phrase"))
+    chunks = table(spark, d, "chunks").select("chunk_id", "text").distinct().select("chunk_id", fold(F.col("text")).alias("text"))
+    got = extract.gazetteer_mentions(chunks, "chunk_id", "text", forms)
+    return got.groupBy("chunk_id", F.col("phrase").alias("form")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @BOOK.add("M21_hard_questions", f"WITH {RUNS} SELECT query_id FROM questions WHERE query_id NOT IN (SELECT query_id FROM runs WHERE strategy = 'no_retrieval' AND NOT coalesce(insufficient, true) AND query_id IS NOT NULL)")
