@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.common import table
+from lattica.common import materialize, table
 from lattica.functions import text as T
 from lattica.operators import graph as G
 from lattica.operators import metrics as M
@@ -272,10 +272,21 @@ def g22(spark, d) -> DataFrame:
     return table(spark, d, "registry").filter("canonical_name IS NOT NULL").select("entity_id", lab.alias("label")).distinct()
 
 
-@BOOK.add("R07_triple_search", f"WITH {EDGES}, {INC}, {SEEDS}, s AS (SELECT node_id, length(node_id) AS score FROM seeds), h AS (SELECT edge_id, max(score) AS score FROM inc JOIN s ON node = node_id GROUP BY edge_id) SELECT edge_id, score FROM h ORDER BY score DESC, edge_id LIMIT 200")
+NODE_HITS = f"""nw AS (SELECT node_id AS node, unnest(list_distinct({WORDS.format('name')})) AS token FROM nodes), sw AS (SELECT DISTINCT token FROM nw JOIN seeds ON node = node_id),
+ndf AS (SELECT token, count(*) AS df FROM nw GROUP BY token), hits AS (SELECT s.node_id AS seed, b.node, round(sum(1.0 / df), 6) AS score FROM seeds s JOIN nw a ON a.node = s.node_id JOIN nw b USING (token) JOIN ndf USING (token) GROUP BY 1, 2),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, node) AS r FROM hits) WHERE r <= 5)"""
+
+
+@BOOK.add("R07_triple_search", f"WITH {NODES}, {EDGES}, {INC}, {SEEDS}, {NODE_HITS}, h AS (SELECT seed, edge_id, max(score) AS score FROM inc JOIN best USING (node) GROUP BY seed, edge_id) SELECT seed, edge_id, score FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, edge_id) AS r FROM h) WHERE r <= 20")
 def r07(spark, d) -> DataFrame:
-    s = _seeds(spark, d).select(F.col("node_id").alias("node"), F.length("node_id").cast("long").alias("score"))
-    return G.incident(_edges(spark, d)).join(s, "node").groupBy("edge_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "edge_id").limit(200)
+    """Edges of the nodes that the text search finds for each seed name, with the best node's score; 20 for each seed."""
+    words = materialize(_nodes(spark, d).select(F.col("node_id").alias("node"), F.explode(F.array_distinct(T.words(F.col("name")))).alias("token")), "namewords")
+    df = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    own = words.join(_seeds(spark, d).withColumnRenamed("node_id", "node"), "node", "left_semi").join(df, "token").select(F.col("node").alias("seed"), "token", (1.0 / F.col("df")).alias("w"))
+    hits = words.join(own, "token").groupBy("seed", "node").agg(F.round(F.sum("w"), 6).alias("score"))
+    best = R.top_k(hits, 5, group="seed", key="node")
+    h = G.incident(_edges(spark, d)).join(best.select("seed", "node", "score"), "node").groupBy("seed", "edge_id").agg(F.max("score").alias("score"))
+    return R.top_k(h, 20, group="seed", key="edge_id").select("seed", "edge_id", "score")
 
 
 @BOOK.add("R08_vector_nodes", f"WITH {VEC}, s AS (SELECT a.key AS query, b.key, b.label, round(list_inner_product(a.v, b.v), 6) AS score FROM u a, u b WHERE a.key % 100 = 0), t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS r FROM s) SELECT query, key, score FROM t WHERE r <= 20 AND score >= 0.2 AND label < 5")
@@ -343,10 +354,17 @@ def k10(spark, d) -> DataFrame:
     return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@BOOK.add("X04_acronyms_expanded", "WITH a AS (SELECT DISTINCT entity_id, canonical_name FROM registry WHERE regexp_matches(canonical_name, '^[A-Z]{3,5}( |$)')) SELECT entity_id, regexp_extract(canonical_name, '^([A-Z]{3,5})', 1) AS acronym FROM a")
+@BOOK.add("X04_acronyms_expanded", r"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Z][a-z]+(?: [A-Z][a-z]+)+) \(([A-Z]{2,6})\)', 1)) AS full_name, unnest(regexp_extract_all(text, '([A-Z][a-z]+(?: [A-Z][a-z]+)+) \(([A-Z]{2,6})\)', 2)) AS acronym FROM documents WHERE text IS NOT NULL),
+m AS (SELECT acronym, min(full_name) AS full_name FROM a GROUP BY acronym), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z]{2,6}')) AS surface FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, surface, full_name FROM w JOIN m ON acronym = surface""".replace("\\\\", "\\"))
 def x04(spark, d) -> DataFrame:
-    a = table(spark, d, "registry").filter(F.col("canonical_name").rlike("^[A-Z]{3,5}( |$)")).select("entity_id", "canonical_name").distinct()
-    return a.select("entity_id", F.regexp_extract("canonical_name", "^([A-Z]{3,5})", 1).alias("acronym"))
+    """Every acronym of a document with the name that stands before it in brackets somewhere in the corpus."""
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text")
+    pat = F.lit(r"([A-Z][a-z]+(?: [A-Z][a-z]+)+) \(([A-Z]{2,6})\)")
+    both = docs.select(F.explode(F.arrays_zip(F.regexp_extract_all("text", pat, 1).alias("f"), F.regexp_extract_all("text", pat, 2).alias("a"))).alias("z"))
+    known = both.groupBy(F.col("z.a").alias("surface")).agg(F.min("z.f").alias("full_name"))
+    seen = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z]{2,6})"), 1)).alias("surface")).distinct()
+    return seen.join(known, "surface").select("doc_id", "surface", "full_name")
 
 
 @BOOK.add("L19_evidence_lines", "SELECT triple_id, subject || ' ' || lower(replace(predicate, '_', ' ')) || ' ' || object AS line FROM triples WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL")
