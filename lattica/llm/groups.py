@@ -53,6 +53,19 @@ def strip_leaves(edges: DataFrame, low: DataFrame) -> tuple[DataFrame, DataFrame
     return removed, left
 
 
+def jump(cur: DataFrame) -> DataFrame:
+    """Arcs (x, y) with the last arc they know of their list (lx, ly) moved on to the one that that arc knows."""
+    nxt = cur.select(F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("lx").alias("nx"), F.col("ly").alias("ny"), F.col("seen").alias("more"))
+    return cur.drop("moved").join(nxt, ["lx", "ly"], "left").select(
+        "x",
+        "y",
+        F.coalesce("nx", "lx").alias("lx"),
+        F.coalesce("ny", "ly").alias("ly"),
+        F.least("seen", "more").alias("seen"),
+        F.col("nx").isNotNull().alias("moved"),
+    )
+
+
 def compress_chains(edges: DataFrame, low: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """Vertices of degree two as (id, to, low), and the edges with each chain as one edge.
 
@@ -73,17 +86,9 @@ def compress_chains(edges: DataFrame, low: DataFrame) -> tuple[DataFrame, DataFr
     cur = step.select("x", "y", F.col("y").alias("lx"), F.col("far").alias("ly"), F.col("y").alias("seen"))
     cur = materialize(cur, "arcs")
     rounds = max(1, n.bit_length() + 1)
-    for k in range(rounds):
-        nxt = cur.select(F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("lx").alias("nx"), F.col("ly").alias("ny"), F.col("seen").alias("more"))
-        new = cur.join(nxt, ["lx", "ly"], "left").select(
-            "x",
-            "y",
-            F.coalesce("nx", "lx").alias("lx"),
-            F.coalesce("ny", "ly").alias("ly"),
-            F.least("seen", "more").alias("seen"),
-            F.col("nx").isNotNull().alias("moved"),
-        )
-        new = materialize(new, "arcs")
+    for _ in range(-(-rounds // 2)):
+        # two jumps for each write
+        new = materialize(jump(jump(cur)), "arcs")
         cur = new.drop("moved")
         if not new.filter("moved").limit(1).count():
             break
