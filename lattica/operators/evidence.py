@@ -47,7 +47,7 @@ def definition_score(sentence: Column, words: Column, term: Column) -> Column:
     """How much a sentence defines a term: .5 for each occurrence, 2 for a copula after it, 3 for an acronym after it, 1 for a colon."""
     padded = F.concat(F.lit(" "), words, F.lit(" "))
     hits = (F.length(padded) - F.length(F.replace(padded, F.concat(F.lit(" "), term, F.lit(" ")), F.lit("")))) / (F.length(term) + 2)
-    after = F.substring_index(padded, F.concat(F.lit(" "), term, F.lit(" ")), -1)
+    after = F.split_part(padded, F.concat(F.lit(" "), term, F.lit(" ")), F.lit(-1))
     copula = F.when(after.rlike(r"^(is|are|means|è|sono|indica) "), 2.0).otherwise(0.0)
     acronym = F.when(F.lower(sentence).contains(F.concat(term, F.lit(" ("))), 3.0).otherwise(0.0)
     colon = F.when(F.lower(sentence).contains(F.concat(term, F.lit(":"))), 1.0).otherwise(0.0)

@@ -13,7 +13,7 @@ from lattica.operators import graph as G
 from lattica.operators import metrics as M
 from lattica.operators import ranks as K
 from lattica.plans.base import Book
-from lattica.plans.q_build import NAMES, WORDS
+from lattica.plans.q_build import WORDS
 from lattica.plans.q_eval import RUNS, _runs
 from lattica.plans.q_graph import ARCS, EDGES, NODES, _edges, _nodes, closure_sql
 from lattica.plans.q_text import STOP_SQL
@@ -26,7 +26,17 @@ def _lit(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-# ---- M: expected and retrieved entities of the held-out items. An entity is a registry name, written in words
+# ---- M: expected and retrieved entities of the held-out items. An entity is what a registry name names, without whose
+# it is ("olive pomace" of "olive pomace of Selrendodera"); it is anchored where all its records bear one label
+
+HEAD = r" (of|di|de|del|della|dell'|von|da) .*$"
+HEADS = f"names AS (SELECT DISTINCT array_to_string({WORDS.format(f"regexp_replace(canonical_name, {_lit(HEAD)}, '')")}, ' ') AS phrase FROM registry WHERE canonical_name IS NOT NULL)"
+
+
+def _heads(spark, d) -> DataFrame:
+    """(phrase, label): what the registry names name."""
+    r = table(spark, d, "registry").filter("canonical_name IS NOT NULL")
+    return r.select(F.array_join(T.words(F.regexp_replace("canonical_name", HEAD, "")), " ").alias("phrase"), F.get("labels", F.lit(0)).alias("label")).filter("phrase <> ''")
 
 
 def _grams(field: str) -> str:
@@ -34,7 +44,7 @@ def _grams(field: str) -> str:
     return f"(SELECT DISTINCT item_id, phrase FROM (SELECT item_id, array_to_string(w[p:(p + n - 1)], ' ') AS phrase FROM (SELECT item_id, w, p, unnest(range(1, least({longest}, len(w) - p + 1) + 1)) AS n FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS p FROM (SELECT item_id, {WORDS.format(field)} AS w FROM eval_items)))) WHERE phrase IN (SELECT phrase FROM names WHERE phrase <> ''))"
 
 
-ENTITIES = f"""{NAMES}, owners AS (SELECT array_to_string({WORDS.format('canonical_name')}, ' ') AS phrase, count(DISTINCT entity_id) AS owners FROM registry WHERE canonical_name IS NOT NULL GROUP BY 1),
+ENTITIES = f"""{HEADS}, owners AS (SELECT array_to_string({WORDS.format(f"regexp_replace(canonical_name, {_lit(HEAD)}, '')")}, ' ') AS phrase, count(DISTINCT labels[1]) AS owners FROM registry WHERE canonical_name IS NOT NULL GROUP BY 1),
 want AS {_grams('canonical_answer')}, got AS {_grams('passage')},
 m AS (SELECT coalesce(want.item_id, got.item_id) AS item_id, coalesce(want.phrase, got.phrase) AS phrase, want.phrase IS NOT NULL AS w, got.phrase IS NOT NULL AS g FROM want FULL JOIN got ON want.item_id = got.item_id AND want.phrase = got.phrase),
 s AS (SELECT item_id, count(*) FILTER (WHERE w) AS n_want, count(*) FILTER (WHERE g) AS n_got, count(*) FILTER (WHERE w AND g) AS hit, count(*) FILTER (WHERE w AND owners = 1) AS anchorable, count(*) FILTER (WHERE w AND g AND owners = 1) AS grounded FROM m JOIN owners USING (phrase) GROUP BY item_id),
@@ -42,9 +52,9 @@ items AS (SELECT item_id, max(question_type) AS question_type, coalesce(max(n_wa
 
 
 def _item_entities(spark, d) -> DataFrame:
-    """Per item: entities expected (in the answer), retrieved (in the passage), both; those that one record alone bears."""
-    reg = table(spark, d, "registry").filter("canonical_name IS NOT NULL").select("entity_id", F.array_join(T.words(F.col("canonical_name")), " ").alias("phrase")).filter("phrase <> ''")
-    owners = reg.groupBy("phrase").agg(F.countDistinct("entity_id").alias("owners"))
+    """Per item: entities expected (in the answer), retrieved (in the passage), both; those that are anchored."""
+    reg = _heads(spark, d)
+    owners = reg.groupBy("phrase").agg(F.countDistinct("label").alias("owners"))
     items = table(spark, d, "eval_items")
     both = items.select("item_id", F.lit("want").alias("side"), F.col("canonical_answer").alias("t")).unionByName(items.select("item_id", F.lit("got").alias("side"), F.col("passage").alias("t"))).distinct()
     both = both.withColumn("k", F.struct("item_id", "side"))
@@ -64,7 +74,7 @@ def m07(spark, d) -> DataFrame:
 
 @BOOK.add("M16_grounding_prf", f"WITH {ENTITIES} SELECT item_id, n_got, anchorable, grounded, round(grounded / nullif(n_got, 0), 6) AS precision, round(grounded / nullif(anchorable, 0), 6) AS recall FROM items")
 def m16(spark, d) -> DataFrame:
-    """Only names of one record ground; retrieved names of several stay in the denominator, expected ones are out of scope."""
+    """Only anchored entities ground; retrieved ones of several labels stay in the denominator, expected ones are out of scope."""
     e = _item_entities(spark, d)
     return e.select("item_id", "n_got", "anchorable", "grounded", F.round(M.ratio(F.col("grounded"), F.col("n_got")), 6).alias("precision"), F.round(M.ratio(F.col("grounded"), F.col("anchorable")), 6).alias("recall"))
 
@@ -135,6 +145,23 @@ def f26(spark, d) -> DataFrame:
     return _asked(spark, d).select("question", E.definitional_term(q).alias("definitional_term"), q.rlike(E.ENUMERATION).alias("enumerative"), follow.alias("follow_up"))
 
 
+TERM_SENTENCES = f"""{HEADS}, s AS (SELECT DISTINCT s, ' ' || array_to_string({WORDS.format('s')}, ' ') || ' ' AS w FROM (SELECT unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM chunks WHERE text IS NOT NULL) WHERE length(s) BETWEEN 40 AND 420 AND regexp_matches(s, '^\\p{{Lu}}') AND regexp_matches(s, '[.!?]$') AND len({WORDS.format('s')}) >= 8),
+h AS (SELECT phrase, s, w, string_split(w, ' ' || phrase || ' ') AS parts FROM names JOIN s ON contains(w, ' ' || phrase || ' ') WHERE phrase <> ''),
+sc AS (SELECT phrase, s, 0.5 * (length(w) - length(replace(w, ' ' || phrase || ' ', ''))) / (length(phrase) + 2) + CASE WHEN regexp_matches(parts[-1], '^(is|are|means|è|sono|indica) ') THEN 2 ELSE 0 END + CASE WHEN contains(lower(s), phrase || ' (') THEN 3 ELSE 0 END + CASE WHEN contains(lower(s), phrase || ':') THEN 1 ELSE 0 END AS score FROM h)"""
+
+
+@BOOK.add("F27_F28_L11_definitions", f"WITH {TERM_SENTENCES} SELECT phrase AS term, s AS sentence, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY round(score, 6) DESC, s) AS r FROM sc) WHERE r = 1")
+def f27(spark, d) -> DataFrame:
+    """The sentence of the chunks that best defines each entity, verbatim."""
+    cut = table(spark, d, "chunks").filter("text IS NOT NULL").select(F.explode(F.split("text", r"(?<=[.!?])\s+")).alias("s")).distinct()
+    good = F.length("s").between(40, 420) & F.col("s").rlike(r"^\p{Lu}") & F.col("s").rlike("[.!?]$") & (F.size(T.words(F.col("s"))) >= 8)
+    hits = extract.gazetteer_mentions(cut.filter(good).select("s", F.col("s").alias("t")), "s", "t", _heads(spark, d))
+    hits = hits.select("s", F.col("phrase").alias("term")).distinct()
+    score = F.round(E.definition_score(F.col("s"), F.array_join(T.words(F.col("s")), " "), F.col("term")), 6)
+    best = hits.select("term", "s", score.alias("score")).groupBy("term").agg(F.min(F.struct((-F.col("score")).alias("o"), "s")).alias("b"))
+    return best.select("term", F.col("b.s").alias("sentence"), (-F.col("b.o")).alias("score"))
+
+
 @BOOK.add("U09_kept_questions")
 def u09(spark, d) -> DataFrame:
     """Items whose question stays when questions alike by three quarters of their words to an earlier one that stays are dropped.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("q_text", "q_graph", "q_retrieval", "q_eval", "q_build", "q_more", "q_plan", "q_score")
+MODULES: tuple[str, ...] = ("q_text", "q_graph", "q_retrieval", "q_eval", "q_build", "q_more", "q_plan", "q_score", "q_files")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
