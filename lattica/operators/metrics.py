@@ -143,3 +143,48 @@ def hashed_bootstrap(values: DataFrame, group: str, key: str, value: str, resamp
     ci = resampled(v, key, value, [group], resamples).groupBy(group).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
     base = v.groupBy(group).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     return base.join(ci, base[group].eqNullSafe(ci[group])).select(base[group], "mean", "lo", "hi", "n")
+
+
+def contrasts(values: DataFrame, unit: str, arm: str, value: str, base: str, resamples: int = 100) -> DataFrame:
+    """(arm, effect, lo, hi, p): least squares effect of each arm against `base`, units as fixed effects, with a bootstrap
+    of whole units.
+
+    Cells of unit and arm are added up first. Each unit gives its share of the normal equations, weighted in each resample
+    by a Poisson draw from a hash of the unit; the sums are as small as the square of the number of arms. Arms that
+    share no unit with the others are left out; rows with a null anywhere are ignored.
+    """
+    v = values.select(F.col(unit).cast("string").alias("u"), F.col(arm).alias("a"), F.col(value).cast("double").alias("y")).dropna()
+    cells = v.groupBy("u", "a").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    own = cells.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("a", "n", "s"))).alias("c"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    left = own.select("u", F.col("n").alias("nu"), F.col("s").alias("su"), "c", F.explode("c").alias("x"))
+    pairs = left.select("u", "nu", "su", "x", F.explode("c").alias("z"))
+    # the equations of demeaned dummies: diag(n) - n n' / n_u on the left, s - n s_u / n_u on the right
+    lhs = F.when(F.col("x.a") == F.col("z.a"), F.col("x.n")).otherwise(0) - F.col("x.n") * F.col("z.n") / F.col("nu")
+    rhs = F.when(F.col("x.a") == F.col("z.a"), F.col("x.s") - F.col("x.n") * F.col("su") / F.col("nu")).otherwise(0.0)
+    eq = pairs.select("u", F.col("x.a").alias("i"), F.col("z.a").alias("j"), lhs.alias("l"), rhs.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(resamples))).alias("r"))
+    draw = F.pmod(F.xxhash64("u", "r"), F.lit(1 << 30)) / float(1 << 30)
+    weight = F.when(F.col("r") == 0, 1).when(draw < 0.36787944, 0).when(draw < 0.73575888, 1).when(draw < 0.91969860, 2).when(draw < 0.98101184, 3).when(draw < 0.99634015, 4).otherwise(5)
+    sums = eq.withColumn("w", weight).groupBy("r", "i", "j").agg(F.sum(F.col("w") * F.col("l")).alias("l"), F.sum(F.col("w") * F.col("b")).alias("b"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        arms = sorted(set(pdf.i))
+        at = {a: k for k, a in enumerate(arms)}
+        m, y = np.zeros((len(arms), len(arms))), np.zeros(len(arms))
+        i, j = pdf.i.map(at).to_numpy(), pdf.j.map(at).to_numpy()
+        m[i, j] = pdf.l
+        np.add.at(y, i, pdf.b.to_numpy())
+        if base not in at:
+            return pd.DataFrame({"r": [], "arm": [], "effect": []})
+        rest = [k for k in range(len(arms)) if k != at[base]]
+        beta = np.linalg.lstsq(m[np.ix_(rest, rest)], y[rest], rcond=None)[0]
+        return pd.DataFrame({"r": int(pdf.r.iloc[0]), "arm": [arms[k] for k in rest], "effect": beta})
+
+    got = sums.groupBy("r").applyInPandas(solve, "r int, arm string, effect double")
+    boot = F.col("r") > 0
+    above = F.avg(F.when(boot, (F.col("effect") > 0).cast("int")))
+    return got.groupBy("arm").agg(
+        F.max(F.when(~boot, F.col("effect"))).alias("effect"),
+        F.percentile(F.when(boot, F.col("effect")), 0.025).alias("lo"),
+        F.percentile(F.when(boot, F.col("effect")), 0.975).alias("hi"),
+        (2 * F.least(above, 1 - above)).alias("p"),
+    )

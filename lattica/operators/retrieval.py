@@ -216,11 +216,14 @@ def ranked_triples(triples: DataFrame, queries: DataFrame, w_text: float = 0.7,
         F.coalesce(F.col("relationship_properties")["extraction_method"] == "system_linking", F.lit(False)).alias("link"),
     )
     q = queries.select("query", F.explode("words").alias("w"), F.size("words").alias("n"))
-    hit = t.select("triple_id", "m", "link", F.explode("tw").alias("w")).join(q, "w").groupBy("query", "n", "triple_id", "m", "link").agg(F.count(F.lit(1)).alias("c"))
-    most = F.max("m").over(Window.partitionBy("query"))
-    mention = F.when(most <= 1, F.lit(1.0)).otherwise(F.log1p("m") / F.log1p(most))
+    # the words of the queries go to the triples where their number is bounded, so a word in a third of all triples
+    # moves none of them, and the matches of a triple are counted where it lies
+    hit = t.select("triple_id", "m", "link", F.explode("tw").alias("w")).join(bounded(q), "w").groupBy("query", "n", "triple_id", "m", "link").agg(F.count(F.lit(1)).alias("c"))
+    hit = materialize(hit, "hits")
+    hit = hit.join(hit.groupBy("query").agg(F.max("m").alias("most")), "query")
+    mention = F.when(F.col("most") <= 1, F.lit(1.0)).otherwise(F.log1p("m") / F.log1p("most"))
     score = (w_text * F.col("c") / F.col("n") + w_mention * mention) * F.when(F.col("link"), 0.5).otherwise(1.0)
-    return hit.withColumn("most", most).withColumn("score", F.round(score, 6)).select("query", "triple_id", "score")
+    return hit.withColumn("score", F.round(score, 6)).select("query", "triple_id", "score")
 
 
 @dataclass(frozen=True)

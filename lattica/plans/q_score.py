@@ -248,3 +248,11 @@ def p23(spark, d) -> DataFrame:
     """Salient words of the question that stand in the passage as whole words."""
     e = table(spark, d, "eval_items").filter("question IS NOT NULL AND passage IS NOT NULL").select("item_id", T.search_words(F.col("question")).alias("q"), T.words(F.col("passage")).alias("p"))
     return e.select("item_id", F.size("q").cast("long").alias("terms"), F.size(F.array_intersect("q", "p")).cast("long").alias("matched")).distinct()
+
+
+@BOOK.add("T03_contrasts")
+def t03(spark, d) -> DataFrame:
+    """Effect of each strategy against the default on insufficient answers, questions as fixed effects and as clusters."""
+    r = _runs(spark, d).select("query_id", "strategy", F.col("insufficient").cast("int").alias("y"))
+    got = M.contrasts(r, "query_id", "strategy", "y", "default")
+    return got.select("arm", *[F.round(c, 9).alias(c) for c in ("effect", "lo", "hi", "p")])
