@@ -288,6 +288,9 @@ def within(seg: np.ndarray, n: np.ndarray, edits: np.ndarray, region: np.ndarray
 def verified(items: list[list[str]], docs: list[list[str]], starts: list, ats: list, sizes: tuple[Size, ...]) -> np.ndarray:
     """For each pair of an item field and a stretch, met at the windows starts and ats, whether one of them holds."""
     longest, most = sizes[0].words, sizes[0].edits
+    if not most:
+        # windows that met are nearly always equal, so the first comparison settles a pair
+        return np.array([any(i[s : s + longest] == d[q : q + longest] for s, q in zip(ss, qs)) for i, d, ss, qs in zip(items, docs, starts, ats)], dtype=bool)
     owner, seg, region, size = [], [], [], []
     for k, (item, doc, ss, qs) in enumerate(zip(items, docs, starts, ats)):
         code: dict[str, int] = {}
