@@ -92,7 +92,7 @@ q AS (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])::DOUBLE AS q
 @query("p2_percentiles")
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     got = digest.days_and_whole(table(spark, d, "results"))
-    return got.select("strategy", "day", "q", "n", F.round("estimate", 6).alias("estimate"), "below", "upto", F.round("rank_error", 8).alias("rank_error"), F.lit(digest.RANK_ERROR).alias("error_bound"), "certified")
+    return got.select("strategy", "day", "q", "n", F.round("estimate", 6).alias("estimate"), "below", "upto", F.round("rank_error", 8).alias("rank_error"), F.greatest(F.lit(digest.RANK_ERROR), 1 / F.col("n")).alias("error_bound"), "certified")
 
 
 @query("p2_certificates", P2_CLEAN + "SELECT strategy, q, n, true AS certified FROM n CROSS JOIN q")
