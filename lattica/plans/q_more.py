@@ -354,17 +354,19 @@ def k10(spark, d) -> DataFrame:
     return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@BOOK.add("X04_acronyms_expanded", r"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Z][a-z]+(?: [A-Z][a-z]+)+) \(([A-Z]{2,6})\)', 1)) AS full_name, unnest(regexp_extract_all(text, '([A-Z][a-z]+(?: [A-Z][a-z]+)+) \(([A-Z]{2,6})\)', 2)) AS acronym FROM documents WHERE text IS NOT NULL),
-m AS (SELECT acronym, min(full_name) AS full_name FROM a GROUP BY acronym), w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z]{2,6}')) AS surface FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, surface, full_name FROM w JOIN m ON acronym = surface""".replace("\\\\", "\\"))
+@BOOK.add("X04_acronyms_expanded", r"""WITH a AS (SELECT upper(alias) AS k, canonical_name FROM (SELECT unnest(aliases) AS alias, canonical_name FROM registry WHERE canonical_name IS NOT NULL) WHERE regexp_matches(alias, '^[A-Z]{2,6}( |$)')
+ AND starts_with(upper(array_to_string(list_transform(regexp_extract_all(canonical_name, '[\p{L}\p{N}]+'), lambda w: left(w, 1)), '')), regexp_extract(alias, '^([A-Z]{2,6})', 1))),
+m AS (SELECT k, min(canonical_name) AS full_name FROM a GROUP BY k), s AS (SELECT DISTINCT n FROM (SELECT subject AS n FROM triples UNION ALL SELECT object FROM triples) WHERE n IS NOT NULL)
+SELECT n AS surface, full_name FROM s JOIN m ON upper(n) = k""")
 def x04(spark, d) -> DataFrame:
-    """Every acronym of a document with the name that stands before it in brackets somewhere in the corpus."""
-    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text")
-    pat = F.lit(r"([A-Z][a-z]+(?: [A-Z][a-z]+)+) \(([A-Z]{2,6})\)")
-    both = docs.select(F.explode(F.arrays_zip(F.regexp_extract_all("text", pat, 1).alias("f"), F.regexp_extract_all("text", pat, 2).alias("a"))).alias("z"))
-    known = both.groupBy(F.col("z.a").alias("surface")).agg(F.min("z.f").alias("full_name"))
-    seen = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z]{2,6})"), 1)).alias("surface")).distinct()
-    return seen.join(known, "surface").select("doc_id", "surface", "full_name")
+    """Names of the triples that are an acronym of a record: an alias in capitals whose letters begin the words of its name."""
+    r = table(spark, d, "registry").filter("canonical_name IS NOT NULL").select("canonical_name", F.explode("aliases").alias("alias"))
+    initials = F.upper(F.array_join(F.transform(F.regexp_extract_all("canonical_name", F.lit(r"([\p{L}\p{N}]+)"), 1), lambda w: F.left(w, F.lit(1))), ""))
+    r = r.filter(F.col("alias").rlike("^[A-Z]{2,6}( |$)") & F.startswith(initials, F.regexp_extract("alias", "^([A-Z]{2,6})", 1)))
+    known = r.groupBy(F.upper("alias").alias("k")).agg(F.min("canonical_name").alias("full_name"))
+    t = table(spark, d, "triples")
+    names = t.select(F.col("subject").alias("surface")).unionByName(t.select(F.col("object").alias("surface"))).filter("surface IS NOT NULL").distinct()
+    return names.withColumn("k", F.upper("surface")).join(known, "k").select("surface", "full_name")
 
 
 @BOOK.add("L19_evidence_lines", "SELECT triple_id, subject || ' ' || lower(replace(predicate, '_', ' ')) || ' ' || object AS line FROM triples WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL")
