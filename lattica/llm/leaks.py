@@ -49,7 +49,7 @@ class Size(NamedTuple):
 WINDOW = 25
 # without edits every position may be sampled at no loss, which keeps texts of one template apart
 EXACT = (Size(25, 0, 32),)
-NEAR = (Size(25, 2, 10), Size(13, 1, 6), Size(8, 0, 12))
+NEAR = (Size(25, 2, 12), Size(13, 1, 8), Size(8, 0, 12))
 RECALL = 0.95
 CELLS_EACH = (16.0, 8.0, 4.0)
 SLICE_WORDS = 1 << 18
@@ -110,6 +110,12 @@ def embedding_keys(h: np.ndarray, starts: np.ndarray, rep: int, sizes: list[Size
     return [mix(k + np.uint64(rep)) for k in keys]
 
 
+def parities(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """64 parities of the words of each window, by the last bits of their hashes; an edit changes two of them at most."""
+    run = np.r_[np.uint64(0), np.bitwise_xor.accumulate(np.uint64(1) << (h & np.uint64(63)))] if len(h) else np.zeros(1, np.uint64)
+    return (run.take(starts + n, mode="clip") ^ run.take(starts, mode="clip")).view(np.int64)
+
+
 def slices(counts: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Runs of rows whose word counts add up to about `limit`."""
     i = 0
@@ -147,7 +153,7 @@ def edits_of(n_words: int, sizes: tuple[Size, ...]) -> int:
 
 
 def item_keys(fields: DataFrame, sizes: tuple[Size, ...], recall: float = RECALL) -> DataFrame:
-    """(key, item_id, field, start), distinct: the keys of every window of every field, in the largest size that fits it."""
+    """(key, item_id, field, start, parity, most), distinct: the keys of every window of every field, in the largest size that fits it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
@@ -162,11 +168,12 @@ def item_keys(fields: DataFrame, sizes: tuple[Size, ...], recall: float = RECALL
                     h = np.array([hashes[w] for i in own[a:b] for w in ws[i]], dtype=np.uint64)
                     starts, text = window_starts(lens[a:b], size.words)
                     first = np.cumsum(lens[a:b]) - lens[a:b]
+                    parity = parities(h, starts, size.words)
                     for rep in range(repetitions(size, recall)):
                         key = embedding_keys(h, starts, rep, [size])[0]
-                        yield pd.DataFrame({"key": key.view(np.int64), "item_id": ids[a + text], "field": fs[a + text], "start": starts - first[text]})
+                        yield pd.DataFrame({"key": key.view(np.int64), "item_id": ids[a + text], "field": fs[a + text], "start": starts - first[text], "parity": parity, "most": 2 * size.edits})
 
-    return fields.mapInPandas(run, "key long, item_id long, field int, start long").distinct()
+    return fields.mapInPandas(run, "key long, item_id long, field int, start long, parity long, most int").distinct()
 
 
 def document_windows(documents: DataFrame, sizes: tuple[Size, ...], recall: float, take, schema: str) -> DataFrame:
@@ -174,7 +181,7 @@ def document_windows(documents: DataFrame, sizes: tuple[Size, ...], recall: floa
 
     take(ids, marks, words, lens, starts, text, keys): documents of the slice and their marks, all words laid end to
     end, words of each document, first word and document of each window, and for each repetition and size the keys with
-    the windows that have them.
+    the windows that have them, and their parities.
     """
     reps = [repetitions(s, recall) for s in sizes]
 
@@ -194,11 +201,13 @@ def document_windows(documents: DataFrame, sizes: tuple[Size, ...], recall: floa
                 room = np.cumsum(lens)[text] - starts
                 fits = [None if k == len(sizes) - 1 else np.flatnonzero(room >= s.words) for k, s in enumerate(sizes)]
 
-                def keys() -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+                parity = [parities(h, starts, s.words) for s in sizes]
+
+                def keys() -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray]]:
                     for rep in range(max(reps)):
                         on = [k for k in range(len(sizes)) if rep < reps[k]]
                         for k, key in zip(on, embedding_keys(h, starts, rep, [sizes[k] for k in on])):
-                            yield (key if fits[k] is None else key[fits[k]]), fits[k]
+                            yield (key, None, parity[k]) if fits[k] is None else (key[fits[k]], fits[k], parity[k][fits[k]])
 
                 yield from take(ids[a:b], marks[a:b], flat, lens, starts, text, keys())
 
@@ -208,7 +217,7 @@ def document_windows(documents: DataFrame, sizes: tuple[Size, ...], recall: floa
 
 
 def stretches(documents: DataFrame, sizes: tuple[Size, ...], recall: float, held=None, blocks: int = 0) -> DataFrame:
-    """(doc_id, stretch, keys, ats, text): runs of document windows that may meet an item, with their words.
+    """(doc_id, stretch, keys, ats, parities, text): runs of document windows that may meet an item, with their words.
 
     ats: the first words of the windows of the keys, counted in text.
 
@@ -223,26 +232,27 @@ def stretches(documents: DataFrame, sizes: tuple[Size, ...], recall: float, held
             some = [np.sort(np.asarray(m, dtype=np.int64)) + f for m, f in zip(marks, first)]
             marked = np.isin(starts, np.concatenate(some))
         bits = None if held is None else held.value
-        win, key = [], []
-        for k, at in keys:
+        win, key, par = [], [], []
+        for k, at, parity in keys:
             ok = np.flatnonzero(sieve.passes(k, bits, blocks) if bits is not None else (marked if at is None else marked[at]))
             win.append(ok if at is None else at[ok])
             key.append(k[ok])
-        win, key = np.concatenate(win), np.concatenate(key)
+            par.append(parity[ok])
+        win, key, par = np.concatenate(win), np.concatenate(key), np.concatenate(par)
         if not len(win):
             return
         order = np.argsort(win, kind="stable")
-        win, key = win[order], key[order]
+        win, key, par = win[order], key[order], par[order]
         cut = np.flatnonzero(np.r_[True, (np.diff(starts[win]) > 1) | (np.diff(text[win]) > 0)])
         rows = []
         for c, e in zip(cut.tolist(), [*cut[1:].tolist(), len(win)]):
             t = int(text[win[c]])
             lo = max(int(starts[win[c]]) - slack, int(first[t]))
             hi = min(int(starts[win[e - 1]]) + sizes[0].words + slack, int(first[t] + lens[t]))
-            rows.append((ids[t], int(starts[win[c]] - first[t]), key[c:e].view(np.int64).tolist(), (starts[win[c:e]] - lo).tolist(), " ".join(flat[lo:hi])))
-        yield pd.DataFrame(rows, columns=["doc_id", "stretch", "keys", "ats", "text"])
+            rows.append((ids[t], int(starts[win[c]] - first[t]), key[c:e].view(np.int64).tolist(), (starts[win[c:e]] - lo).tolist(), par[c:e].tolist(), " ".join(flat[lo:hi])))
+        yield pd.DataFrame(rows, columns=["doc_id", "stretch", "keys", "ats", "parities", "text"])
 
-    return document_windows(documents, sizes, recall, take, "doc_id long, stretch long, keys array<long>, ats array<long>, text string")
+    return document_windows(documents, sizes, recall, take, "doc_id long, stretch long, keys array<long>, ats array<long>, parities array<long>, text string")
 
 
 def met_by_shuffle(documents: DataFrame, keys: DataFrame, sizes: tuple[Size, ...], recall: float) -> DataFrame:
@@ -250,7 +260,7 @@ def met_by_shuffle(documents: DataFrame, keys: DataFrame, sizes: tuple[Size, ...
 
     def take(ids, marks, flat, lens, starts, text, keys):
         first = np.cumsum(lens) - lens
-        for k, at in keys:
+        for k, at, _ in keys:
             t = text if at is None else text[at]
             yield pd.DataFrame({"key": k.view(np.int64), "doc_id": ids[t], "at": (starts if at is None else starts[at]) - first[t]})
 
@@ -331,9 +341,11 @@ def find(documents: DataFrame, items: DataFrame, sizes: tuple[Size, ...] = EXACT
     else:
         some = stretches(met_by_shuffle(documents, keys, sizes, recall), sizes, recall)
     some = materialize(some, "stretches")
-    met = some.select("doc_id", "stretch", F.explode(F.arrays_zip("keys", "ats")).alias("z")).select("doc_id", "stretch", F.col("z.keys").alias("key"), F.col("z.ats").alias("at"))
+    met = some.select("doc_id", "stretch", F.explode(F.arrays_zip("keys", "ats", "parities")).alias("z")).select("doc_id", "stretch", F.col("z.keys").alias("key"), F.col("z.ats").alias("at"), F.col("z.parities").alias("p"))
     # windows that meet in several repetitions, and the windows of one diagonal of a short field, count once
-    meet = met.join(keys, "key").groupBy("doc_id", "stretch", "item_id", "field").agg(F.collect_set(F.struct("start", "at")).alias("met"))
+    # parities tell apart, before anything is compared, windows that differ in more than the edits
+    near_enough = met.join(keys, "key").filter(F.bit_count(F.col("p").bitwiseXOR(F.col("parity"))) <= F.col("most"))
+    meet = near_enough.groupBy("doc_id", "stretch", "item_id", "field").agg(F.collect_set(F.struct("start", "at")).alias("met"))
     pairs = meet.join(some.select("doc_id", "stretch", "text"), ["doc_id", "stretch"]).join(fields.withColumnRenamed("text", "item_text"), ["item_id", "field"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
