@@ -41,6 +41,39 @@ def test_components_and_distances(spark):
     assert {r.node: r.dist for r in got.collect()} == want
 
 
+def test_shortest_lengths_keep_to_the_pairs(spark):
+    from lattica import common
+
+    rnd = random.Random(9)
+    hub = [("h", f"m{i}") for i in range(120)] + [(f"m{i}", "h") for i in range(0, 120, 7)]
+    chain = [("c0", "c1"), ("c2", "c1"), ("c2", "c3"), ("c3", "c4"), ("c4", "c4"), ("m0", "c0")]
+    some = [(f"r{rnd.randint(0, 40):02d}", f"r{rnd.randint(0, 40):02d}") for _ in range(35)]
+    arcs = hub + chain + some
+    names = sorted({x for e in arcs for x in e})
+    near = {}
+    for a, b in arcs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def length(a, b, depth):
+        front, seen = {a}, {a}
+        for k in range(depth + 1):
+            if b in front:
+                return k
+            front = {y for x in front for y in near.get(x, ())} - seen
+            seen |= front
+
+    asked = [*arcs, *[(rnd.choice(names), rnd.choice(names)) for _ in range(150)], ("c0", "c3"), ("c4", "c0"), ("m5", "c1"), ("none", "none"), ("none", "h"), ("h", "none")]
+    pairs = spark.createDataFrame(asked, "a string, b string")
+    for depth in (0, 1, 2, 3, 5):
+        got = [tuple(r) for r in G.shortest_lengths(edges_of(spark, arcs), pairs, depth).collect()]
+        assert sorted(got) == sorted((a, b, k) for a, b in set(asked) if (k := length(a, b, depth)) is not None)
+    # every pair has an edge, so nothing of the hub's square is written
+    held = len(common._written)
+    assert G.shortest_lengths(edges_of(spark, hub), spark.createDataFrame(hub, "a string, b string"), 3).count() == len(hub)
+    assert sum(spark.read.parquet(p).count() for p in common._written[held:]) < 10 * len(hub)
+
+
 def test_subgraph_filters_only_returned_edges(spark):
     e = spark.createDataFrame([("a", "X", "b", 1, 1), ("b", "Y", "c", 2, 1), ("c", "X", "d", 3, 1)], "src string, type string, dst string, edge_id int, n long")
     seeds = spark.createDataFrame([("a",)], "node_id string")
