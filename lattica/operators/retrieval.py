@@ -72,6 +72,176 @@ def top_k(scores: DataFrame, k: int, group: str = "query", score: str = "score",
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+BM25_BLOCK = 2048
+BM25_POSTINGS = 1 << 20
+VOCABULARY = 200_000
+HELD_BYTES = 256 << 20
+COMMON = 1 / 256
+
+
+def _grouped(ids: np.ndarray, at: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Postings in the order of their token: the tokens, how many postings each has, and the postings."""
+    order = np.lexsort((at, ids))
+    found, n = np.unique(ids, return_counts=True)
+    return found.astype(np.int64), n.astype(np.int32), at[order].astype(np.int32), *(x[order] for x in more)
+
+
+def _document_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (key, dl, id, tf), where each document begins with a row of id -1, packed into rows of whole documents."""
+    held: list[pd.DataFrame] = []
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, tf = pdf.id.to_numpy(np.int64), pdf.tf.to_numpy(np.int32)
+        head, at = ids < 0, np.cumsum(ids < 0) - 1
+        found, n, at, tf = _grouped(ids[~head], at[~head], tf[~head])
+        dl = pdf.dl.to_numpy(np.int32)[head]
+        return pd.DataFrame({"keys": [pdf.key[head].tolist()], "dl": [dl.tobytes()], "ids": [found.tobytes()], "n": [n.tobytes()], "at": [at.tobytes()], "tf": [tf.tobytes()]})
+
+    def cut(last: bool) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(held, ignore_index=True)
+        heads = np.append(np.flatnonzero(pdf.id.to_numpy() < 0), len(pdf))
+        a = 0
+        while a < len(heads) - 1:
+            b = min(a + BM25_BLOCK, max(a + 1, int(np.searchsorted(heads, heads[a] + BM25_POSTINGS, side="right")) - 1))
+            if b >= len(heads) - 1:
+                if not last:
+                    break
+                b = len(heads) - 1
+            yield packed(pdf.iloc[heads[a] : heads[b]])
+            a = b
+        held[:] = [pdf.iloc[heads[a] :]] if a < len(heads) - 1 else []
+
+    for pdf in batches:
+        held.append(pdf)
+        if sum(map(len, held)) > BM25_POSTINGS // 4:
+            yield from cut(False)
+    if held:
+        yield from cut(True)
+
+
+def _block_scores(d: pd.Series, q: pd.Series, avgdl: float) -> np.ndarray:
+    """BM25 of every query of a block (rows) in every document of a block (columns); 0 where they share no token."""
+    ints = lambda raw, kind=np.int32: np.frombuffer(raw, kind)
+    dl, tf, d_at, q_at = ints(d.dl), ints(d.tf).astype(float), ints(d["at"]), ints(q.q_at)
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[d_at] / avgdl))
+    _, di, qi = np.intersect1d(ints(d.ids, np.int64), ints(q.q_ids, np.int64), assume_unique=True, return_indices=True)
+    idf = ints(q.q_idf, np.float64)[qi]
+    dn, qn = ints(d.n).astype(np.int64), ints(q.q_n).astype(np.int64)
+    d_to, q_to = np.cumsum(dn)[di], np.cumsum(qn)[qi]
+    d_from, q_from = d_to - dn[di], q_to - qn[qi]
+    shape = (len(q.queries), len(dl))
+    # tokens that many of the pairs share are a product of two matrices, each of the others is added where it is
+    common = (d_to - d_from) * (q_to - q_from) > COMMON * shape[0] * shape[1]
+    some = np.flatnonzero(common)
+    left, right = np.zeros((shape[0], len(some))), np.zeros((len(some), shape[1]))
+    for j, t in enumerate(some):
+        left[q_at[q_from[t] : q_to[t]], j] = idf[t]
+        right[j, d_at[d_from[t] : d_to[t]]] = part[d_from[t] : d_to[t]]
+    s = left @ right
+    for t in np.flatnonzero(~common):
+        s[np.ix_(q_at[q_from[t] : q_to[t]], d_at[d_from[t] : d_to[t]])] += idf[t] * part[d_from[t] : d_to[t]]
+    return s
+
+
+class Leaders:
+    """The k best (score, key) of each query of a block over the blocks of documents seen so far; ties go to the smaller key."""
+
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.queries, self.k, self.waiting = queries, k, 0
+        self.least = np.zeros(len(queries))
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, s: np.ndarray, keys: np.ndarray) -> None:
+        floor = self.least
+        if not self.parts and s.shape[1] > self.k:
+            floor = np.partition(s, -self.k, axis=1)[:, -self.k] - 1e-6
+        # a score is above 0 where a token is shared, and may be rounded up
+        row, col = np.nonzero(s >= np.maximum(floor, np.finfo(float).tiny)[:, None])
+        self.parts.append((row, np.round(s[row, col], 6), keys[col]))
+        self.waiting += len(row)
+        if len(self.parts) == 1 or self.waiting > 2 * self.k * len(self.queries):
+            self.settle()
+
+    def settle(self) -> None:
+        row, score, key = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((key, -score, row))
+        row, score, key = row[order], score[order], key[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        last = nth == self.k - 1
+        self.least[row[last]] = score[last] - 1e-6
+        keep = nth < self.k
+        self.parts, self.waiting = [(row[keep], score[keep], key[keep])], 0
+
+    def rows(self) -> pd.DataFrame:
+        self.settle()
+        row, score, key = self.parts[0]
+        return pd.DataFrame({"query": self.queries[row], "key": key, "score": score})
+
+
+def bm25_top_k(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, question: str, k: int) -> DataFrame:
+    """(query, key, score, rank): the k best rows of bm25_scores for each query, exact, for query sets that grow with the documents.
+
+    Nearly every pair of a query and a document shares some token, so pairs are never rows: documents are tokenised once
+    and packed with their tokens that any query has, queries likewise, and each block of queries meets each block of
+    documents once. A task keeps the k best of each query of its blocks, and only these are shuffled. Keys are unique.
+    """
+    spark = docs.sparkSession
+    q = materialize(queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(T.words(F.col(question)))).alias("token")).distinct(), "queries")
+    ids = materialize(q.select("token").distinct().withColumn("id", F.monotonically_increasing_id()), "tokens")
+    few = ids.limit(VOCABULARY + 1).count() <= VOCABULARY
+    wanted = ids.unionByName(spark.range(1).select(F.lit("").alias("token"), F.lit(-1).cast("long").alias("id")))
+    rows = term_arrays(docs, key, text)
+    post = rows.select("key", "dl", F.explode_outer(F.concat(F.array(F.struct(F.lit("").alias("token"), F.lit(0).alias("tf"))), F.coalesce("terms", F.array()))).alias("t")).select("key", "dl", "t.token", "t.tf")
+    post = post.join(F.broadcast(wanted) if few else wanted, "token").select("key", "dl", "id", "tf")
+    if not few:
+        post = post.repartition("key").sortWithinPartitions("key", "id")
+    kinds = dict(post.dtypes) | {"query": dict(q.dtypes)["query"]}
+    blocks = materialize(post.mapInPandas(_document_blocks, f"keys array<{kinds['key']}>, dl binary, ids binary, n binary, at binary, tf binary"), "postings")
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for dl, found, n in zip(pdf.dl, pdf.ids, pdf.n):
+                dl = np.frombuffer(dl, np.int32)
+                yield pd.DataFrame({"id": np.r_[-1, np.frombuffer(found, np.int64)], "df": np.r_[(dl > 0).sum(), np.frombuffer(n, np.int32)].astype(np.int64), "all": np.r_[dl.sum(dtype=np.int64), np.zeros(len(found) // 8, np.int64)]})
+
+    df = materialize(blocks.select("dl", "ids", "n").mapInPandas(counts, "id long, df long, all long").groupBy("id").agg(F.sum("df").alias("df"), F.sum("all").alias("all")), "counts")
+    size = df.filter("id = -1 AND df > 0").select(F.col("df").alias("n"), (F.col("all") / F.col("df")).alias("avgdl"))
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = q.join(ids, "token").join(df.select("id", "df"), "id").crossJoin(F.broadcast(size)).groupBy("query", "avgdl").agg(F.collect_list(F.struct("id", idf.alias("idf"))).alias("t"))
+
+    def query_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), BM25_BLOCK):
+                part = pdf.iloc[a : a + BM25_BLOCK]
+                at = np.repeat(np.arange(len(part)), part.t.map(len))
+                every = [x for t in part.t for x in t]
+                found, n, at, idf = _grouped(np.array([x["id"] for x in every], np.int64), at, np.array([x["idf"] for x in every]))
+                each = idf[np.cumsum(n) - n]
+                yield pd.DataFrame({"queries": [part["query"].tolist()], "q_ids": [found.tobytes()], "q_n": [n.tobytes()], "q_at": [at.tobytes()], "q_idf": [each.tobytes()], "avgdl": [part.avgdl.iloc[0]]})
+
+    if terms.limit(BM25_BLOCK * 64 + 1).count() <= BM25_BLOCK * 64:
+        terms = terms.coalesce(1)
+    packed = materialize(terms.mapInPandas(query_blocks, f"queries array<{kinds['query']}>, q_ids binary, q_n binary, q_at binary, q_idf binary, avgdl double").withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, Leaders] = {}
+        for pdf in batches:
+            for _, r in pdf.iterrows():
+                own = held.get(r.block)
+                if own is None:
+                    own = Leaders(np.asarray(r.queries), k)
+                    # beyond what a task may hold, the leaders of one block of documents are given at once
+                    if (len(held) + 1) * BM25_BLOCK * k * 3 * 24 <= HELD_BYTES:
+                        held[r.block] = own
+                own.add(_block_scores(r, r, r.avgdl), np.asarray(r["keys"]))
+                if r.block not in held:
+                    yield own.rows()
+        for own in held.values():
+            yield own.rows()
+
+    return top_k(blocks.crossJoin(bounded(packed, 64)).mapInPandas(best, f"query {kinds['query']}, key {kinds['key']}, score double"), k)
+
+
 def mmr(pool: DataFrame, k: int, lam: float = 0.7) -> DataFrame:
     """Diverse choice from (query, key, score, tokens): the next row maximises lam * score / best less
     (1 - lam) * its largest Jaccard overlap with the rows chosen. The pool of a query is a top-k, so it is small."""

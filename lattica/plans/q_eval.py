@@ -253,7 +253,7 @@ def m01(spark, d) -> DataFrame:
     """
     items = table(spark, d, "eval_items").select(F.col("item_id").alias("query"), "question", "passage").distinct()
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
-    run = R.top_k(R.bm25_scores(docs, "key", "text", items.select("query", "question").distinct(), "query", "question"), 100)
+    run = R.bm25_top_k(docs, "key", "text", items.select("query", "question").distinct(), "query", "question", 100)
     run = materialize(run.select("query", "key", "rank"), "run")
     rel = _sentences(docs, "key", "text").join(bounded(_sentences(items, "query", "passage").distinct()), "s").select("query", "key").distinct()
     got = M.ranking_metrics(run, materialize(rel, "relevant"), 10)

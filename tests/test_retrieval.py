@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators import metrics as M
@@ -18,6 +19,34 @@ def test_bm25_does_not_reward_padding(spark):
     assert abs(s[1] - round(2 * idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 3 / avgdl)), 6)) < 1e-6
 
 
+def test_bm25_top_k_equals_the_scores_and_writes_no_pairs(spark, monkeypatch):
+    from lattica import common
+
+    rng = np.random.default_rng(5)
+    vocab = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(vocab[int(i)] for i in rng.zipf(1.3, n) % 60)
+    texts = [text(int(rng.integers(1, 40))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:60])] + [(900, None), (901, ""), (902, "...")], "id long, t string").repartition(3)
+    asked = spark.createDataFrame([(f"q{i:03d}", text(12)) for i in range(200)] + [("none", "zzz"), ("empty", ""), ("null", None)], "q string, t string")
+    want = sorted(tuple(r) for r in R.top_k(R.bm25_scores(docs, "id", "t", asked, "q", "t"), 5).select("query", "key", "score", "rank").collect())
+    assert len(want) == 1000
+    held = len(common._written)
+    ask = lambda: sorted(tuple(r) for r in R.bm25_top_k(docs, "id", "t", asked, "q", "t", 5).select("query", "key", "score", "rank").collect())
+    assert ask() == want
+    assert sum(spark.read.parquet(p).count() for p in common._written[held:]) < 200 * 20
+    for name, value in (("VOCABULARY", 0), ("BM25_BLOCK", 16), ("COMMON", 2.0), ("BM25_POSTINGS", 90), ("HELD_BYTES", 0)):
+        monkeypatch.setattr(R, name, value)
+        assert ask() == want
+
+
+@pytest.mark.parametrize("name", ["M01_M06_ranking_metrics", "R22_multi_query"])
+def test_queries_of_all_items_score_no_pairs_in_rows(spark, data, monkeypatch, name):
+    from lattica.plans import registry
+
+    monkeypatch.setattr(R, "bm25_scores", lambda *a: pytest.fail("a row for each pair of item and document"))
+    assert registry.queries()[name](spark, data).count() > 0
+
+
 def test_mmr_drops_a_near_duplicate(spark):
     pool = spark.createDataFrame([(1, 1, 1.0, ["a", "b", "c"]), (1, 2, 0.99, ["a", "b", "c"]), (1, 3, 0.5, ["x", "y"])], "query long, key long, score double, tokens array<string>")
     got = sorted((r["rank"], r.key) for r in R.mmr(pool, 2, 0.5).collect())
