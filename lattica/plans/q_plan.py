@@ -104,7 +104,7 @@ SELECT * FROM (SELECT grp AS "group", key, score, row_number() OVER (PARTITION B
 def r22(spark, d) -> DataFrame:
     """The questions of one passage as one search: up to four rankings merged by best score."""
     items = table(spark, d, "eval_items")
-    ranked = R.top_k(R.bm25_scores(table(spark, d, "documents"), "doc_id", "text", items.select("item_id", "question").distinct(), "item_id", "question"), 10)
+    ranked = R.bm25_top_k(table(spark, d, "documents"), "doc_id", "text", items.select("item_id", "question").distinct(), "item_id", "question", 10)
     members = items.filter("passage IS NOT NULL").select(F.md5("passage").alias("group"), F.col("item_id").alias("query")).distinct()
     return P.merged_queries(ranked, members, 10)
 
