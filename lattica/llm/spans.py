@@ -192,21 +192,41 @@ SLICE_WINDOWS = 1 << 20
 REP = ("at", "n", "h1", "h2", "lo", "hi")
 
 
+WINDOW_KINDS = {"w1": np.int64, "w2": np.int64, "h1": np.int64, "h2": np.int64, "lo": np.int64, "hi": np.int64, "i": np.int32}
+
+
+def windows_of(pdf: pd.DataFrame, window: int) -> Iterator[pd.DataFrame]:
+    """The windows of the stretches of a batch of texts; short texts share a frame, since each frame has a cost of its own."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for text, *own in zip(pdf.text, *(pdf[k] for k in REP)):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        sums = prefix_sums(codes)
+        at, n, h1, h2, lo, hi = (np.asarray(x, dtype=np.int64) for x in own)
+        ends = np.cumsum(n)
+        for s in range(0, int(ends[-1]), SLICE_WINDOWS):
+            w = np.arange(s, min(s + SLICE_WINDOWS, int(ends[-1])))
+            row = np.searchsorted(ends, w, side="right")
+            i = w - (ends - n)[row]
+            held.append((*text_hash(sums, at[row] + i, window), h1[row], h2[row], lo[row], hi[row], i))
+            size += len(w)
+            if size >= SLICE_WINDOWS // 8:
+                yield _framed(held)
+                held, size = [], 0
+    if held:
+        yield _framed(held)
+
+
+def _framed(held: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    return pd.DataFrame({k: np.concatenate(x).astype(t, copy=False) for (k, t), x in zip(WINDOW_KINDS.items(), zip(*held))})
+
+
 def single_windows(texts: DataFrame, window: int) -> DataFrame:
     """(w1, w2, h1, h2, lo, hi, i): the windows of the stretches `reps` of each text, with a 128-bit hash of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for text, *own in zip(pdf.text, *(pdf[k] for k in REP)):
-                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                sums = prefix_sums(codes)
-                at, n, h1, h2, lo, hi = (np.asarray(x, dtype=np.int64) for x in own)
-                for s in range(0, int(n.sum()), SLICE_WINDOWS):
-                    w = np.arange(s, min(s + SLICE_WINDOWS, int(n.sum())))
-                    row = np.searchsorted(np.cumsum(n), w, side="right")
-                    i = w - (np.cumsum(n) - n)[row]
-                    w1, w2 = text_hash(sums, at[row] + i, window)
-                    yield pd.DataFrame({"w1": w1, "w2": w2, "h1": h1[row], "h2": h2[row], "lo": lo[row], "hi": hi[row], "i": i.astype(np.int32)})
+            yield from windows_of(pdf, window)
 
     return texts.select("text", *[F.col("reps")[k].alias(k) for k in REP]).mapInPandas(run, "w1 long, w2 long, h1 long, h2 long, lo long, hi long, i int")
 

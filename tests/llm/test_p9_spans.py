@@ -91,3 +91,21 @@ def test_sketch_loses_no_repeat_and_lets_few_others_pass(monkeypatch):
     bits = np.packbits((count >= 2).ravel())
     assert sieve.passes(twice, bits, blocks).all()
     assert sieve.passes(once, bits, blocks).mean() < 0.08
+
+
+def test_windows_of_short_texts_share_a_frame():
+    import numpy as np
+    import pandas as pd
+
+    texts = [f"{i:03d} abcdefghij é\U0001f600 {i * i:06d}" for i in range(50)]
+    pdf = pd.DataFrame({"text": texts, "at": [[0, 4]] * 50, "n": [[3, 2]] * 50, "h1": [[i, -i] for i in range(50)], "h2": [[7, 8]] * 50, "lo": [[i, i] for i in range(50)], "hi": [[i, 99] for i in range(50)]})
+    frames = list(spans.windows_of(pdf, 10))
+    assert len(frames) == 1 and len(frames[0]) == 250
+    want = []
+    for i, t in enumerate(texts):
+        sums = spans.prefix_sums(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32))
+        for at, n, h1, h2, hi in ((0, 3, i, 7, i), (4, 2, -i, 8, 99)):
+            for k in range(n):
+                w1, w2 = spans.text_hash(sums, np.array([at + k]), 10)
+                want.append((w1[0], w2[0], h1, h2, i, hi, k))
+    assert list(frames[0].itertuples(index=False, name=None)) == want
